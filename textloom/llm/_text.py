@@ -7,12 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 
 #: A word is a maximal run of bytes other than these.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of Spark's default number of rows would take much memory in each task.
+
+    Lowers the session's setting where it is higher; that changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= rows:
+        df.sparkSession.conf.set(key, str(rows))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

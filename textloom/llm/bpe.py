@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._text import small_batches
+
 #: Characters below this are split by our own pattern, whose classes are spelt out; other texts by the library's splitter.
 PLAIN_BELOW = 0x250
 #: Entries a worker remembers of the words it has encoded; then it starts anew. Speed only.
@@ -173,6 +175,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     A null text is empty: no tokens. Rows are independent, so repeated ids and texts give repeated rows, and an
     empty table an empty result. Nothing is shuffled.
     """
+    small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -189,6 +192,7 @@ def _ids(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its token ids as an array (null text: empty)."""
+    small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_ids(path), "doc_id long, ids array<int>")
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm._text import small_batches
+
 #: Words in a leaf, and paragraphs in a section that no blank line ends before.
 LEAF_WORDS = 8
 SECTION_PARAGRAPHS = 8
@@ -149,6 +151,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The texts are range-partitioned and sorted once; each partition works on neighbours in a stream. Only a
     partition's last row needs a row of the next partition: those, one a partition, are joined apart.
     """
+    small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = slim.repartitionByRange(n, "doc_id")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._text import Words, _mixed, batches, rolling
+from textloom.llm._text import Words, _mixed, batches, rolling, small_batches
 from textloom.session import materialise
 
 
@@ -101,6 +101,7 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
 
     One pass over the texts writes counts and line hashes, a few per cent of the input; the rest joins those.
     """
+    small_batches(docs)
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     measured = materialise(slim.mapInArrow(_measure(rules.window), _MEASURED), "quality")
     # A line in a document: two sums with partial aggregation, so that a line in a third of all documents is no hot key.

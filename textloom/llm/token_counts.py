@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._text import small_batches
 from textloom.llm.bpe import PLAIN_BELOW, plain_pattern
 
 #: Fixed value: the splitting pattern of byte-level BPE files with "use_regex".
@@ -142,6 +143,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     A null text is empty and has no tokens. A row of the input is a row of the result, also where ids repeat or are
     null; an empty table gives an empty result.
     """
+    small_batches(docs)
     known = docs.sparkSession.sparkContext.broadcast(head_counts(docs, path, text_col, head))
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = slim.mapInArrow(_frequencies(path, known), SCHEMA).repartition(F.xxhash64("piece", F.when(F.col("piece").isNull(), F.col("rid"))))
