@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._components import components
+from textloom.llm._text import small_batches
 from textloom.session import materialise
 
 BITS = 64
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 fps.append(fingerprint_batch(texts.slice(a, 500).to_pylist(), shingle))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._text import Words, rolling
+from textloom.llm._text import Words, rolling, small_batches
 
 #: Text in a chunk, the unit of work, about; and distinct probes in a bucket of the index, about.
 CHUNK_BYTES = 6_000_000
@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     packed distinct hashes by hash range, and get a bit for each back, so a passage in a third of all documents is one
     entry a chunk.
     """
+    small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(window, max(1, -(-size // 6 // BUCKET_PROBES)))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._text import small_batches
 from textloom.session import materialise
 
 #: Identity terms by language. Within a list any two may take each other's place in a sentence.
@@ -36,7 +37,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows to learn from, at most (those with the least hashes of their id). vocabulary: words, at most,
+    """sample: labelled rows to learn from, at most (those with the least hashes of their id). vocabulary: features, at most,
     that set toxic and other rows apart by least_z standard errors; identity terms come on top. fairness weighs the
     squared change of a score when identity terms are swapped, ridge the squared weights."""
 
@@ -44,14 +45,42 @@ class Settings:
     vocabulary: int = 400
     least_z: float = 4.0
     fairness: float = 5.0
-    ridge: float = 1e-4
+    ridge: float = 1e-5
     steps: int = 600
 
 
+#: Lengths of the word beginnings that are features beside whole words; they hold what inflected and compound words share.
+PREFIXES = (4, 5)
+
+
 def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def features(found: set[str]) -> set[str]:
+    """The words, and as "beginning-" those of longer words."""
+    return found.union(*[{f"{w[:n]}-" for w in found if len(w) > n} for n in PREFIXES])
+
+
+class Vocabulary:
+    """The features that a model knows; remembers which of them each word has."""
+
+    def __init__(self, known: set[str]):
+        self.known, self.memo = known, {}
+
+    def of(self, found: set[str]) -> set[str]:
+        memo, out = self.memo, set()
+        for w in found:
+            own = memo.get(w)
+            if own is None:
+                if len(memo) > 300_000:
+                    memo.clear()
+                own = memo[w] = frozenset(features({w}) & self.known)
+            if own:
+                out |= own
+        return out
+
+
 def swapped(found: set[str]) -> set[str]:
     """The words after every identity term has given way to another of its list."""
     return {_SWAP.get(w, w) for w in found}
@@ -62,9 +91,9 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def score(self, text: str | None) -> float:
-        get = self.weights.get
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum([get(w) for w in words(text) & self.weights.keys()]), -50, 50))))
+    def score(self, text: str | None, vocabulary: Vocabulary | None = None) -> float:
+        own = (vocabulary or Vocabulary(set(self.weights))).of(words(text))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum([self.weights[f] for f in sorted(own)]), -50, 50))))
 
 
 def fit(rows: np.ndarray, others: np.ndarray, label: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
@@ -102,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
     rows, or with one class only, the model knows no words. What goes to the driver is bounded by the settings:
     the chosen ids, the vocabulary, and for each row its positions in the vocabulary.
     """
+    small_batches(docs)
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     chosen = y.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -115,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
         seen = (Counter(), Counter())
         for part in parts:
             for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                seen[label > 0].update(words(text))
+                seen[label > 0].update(features(words(text)))
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([c[w] for w in both], pa.int64()) for c in seen)], names=["word", "n0", "n1"])
 
@@ -129,13 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
     scale = np.array([strong.get(w, s.least_z) / max(strong.values(), default=1.0) for w in vocabulary], np.float32)
     place = {w: i for i, w in enumerate(vocabulary)}
 
-    def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(set(place))
         for part in parts:
-            own = [words(t) & place.keys() for t in part.column(1).to_pylist()]
-            at = [[[place[w] for w in x] for x in group] for group in (own, [swapped(x) for x in own])]
+            own = [words(t) for t in part.column(1).to_pylist()]
+            at = [[[place[f] for f in known.of(x)] for x in group] for group in (own, [swapped(x) for x in own])]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in at)], names=["y", "x", "swapped"])
 
-    sample = rows.mapInArrow(features, "y int, x array<int>, swapped array<int>").toPandas()
+    sample = rows.mapInArrow(placed, "y int, x array<int>, swapped array<int>").toPandas()
     matrices = []
     for column in ("x", "swapped"):
         m = np.zeros((len(sample), len(vocabulary)), np.float32)
@@ -150,8 +181,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per row: doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on). A null or empty text scores as the bias alone."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(set(model.weights))
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t) for t in part.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t, known) for t in part.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
+    small_batches(docs)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
