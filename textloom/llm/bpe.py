@@ -10,6 +10,7 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,51 +155,38 @@ def codec(path: str) -> BpeCodec:
     return _codecs[path]
 
 
-def _digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for part in parts:
-            counts, ids, texts = [], [], []
+            counts, packed, texts = [], [], []
             for text in part.column(1).to_pylist():
                 found = c.encoded(text or "")
                 counts.append(sum([x[2] for x in found]))
-                ids.append(hashlib.sha256(b"".join([x[0] for x in found])).hexdigest())
+                packed.append(b"".join([x[0] for x in found]))
                 texts.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array(texts, pa.string())]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return run
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, and SHA-256 of the packed ids and of the decoded text.
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_tokens, SHA-256 of the packed ids and of the decoded text, and the ids as an array if asked for.
 
     A null text is empty: no tokens. Rows are independent, so repeated ids and texts give repeated rows, and an
     empty table an empty result. Nothing is shuffled.
     """
     small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(_encode(path, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
-def _ids(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for part in parts:
-            ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return run
-
-
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its token ids as an array (null text: empty)."""
-    small_batches(docs)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_ids(path), "doc_id long, ids array<int>")
-
-
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Per document: the text of its ids, vocabulary strings concatenated (null ids: empty)."""
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """Per row of doc_id and ids: the text, vocabulary strings concatenated (null ids: empty)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -57,31 +57,19 @@ def position(part: Column, start: Column, end: Column) -> Column:
     return F.when(curve == 0, part).otherwise((F.sqrt(start * start + 2 * curve * part) - start) / curve)
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra_col: str | None = None) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, taken, and position (of its first use, or null).
-
-    size is the number of words (null text: 0). In each source the documents are in order of the MD5 of their ids; pass after pass
-    they fill the interval from 0 to the target, each size long, and a document takes what falls into it: taken words,
-    of which the last document's may be cut. So a source's taken words are its target, rounded down. position is
-    where its first word is asked for by the source's schedule.
-
-    Rows with the same id follow each other by size. A null source is a source, the last. Nulls, ties and repeated rows
-    give a row each; an empty table gives an empty result. The order doesn't depend on partitions, so reruns agree.
-
-    Cumulative sizes come from sums of BUCKETS ranges of the hash, and windows within a range, so no task gets a source
-    as a whole.
-    """
-    sized = materialise(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
-            *([F.col(extra_col).alias("extra")] if extra_col else []),
-        ).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")),
-        "sizes",
-    )
-    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, size in words, the hash that orders a source's documents, and its bucket."""
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
+        *more,
+    ).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+
+
+def _placed(sized: DataFrame, per_bucket: DataFrame, share: float, most: int, weights: tuple[int, ...], schedule: tuple) -> DataFrame:
+    """sized with source_size, target, start (where the document's first pass begins in its source), taken and position."""
     of_source = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("size")), share, most, weights)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
@@ -94,27 +82,54 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
     taken = sum((F.greatest(F.least(quota - F.col("start") - k * F.col("source_size"), F.col("size")), F.lit(0)) for k in range(most)), F.lit(0))
     rates = [_cycle([r[i] for r in schedule], F.col("rank")) for i in (0, 1)]
     at = position(F.col("start") / F.col("target"), *rates)
-    out = placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, at))
-    return out.select("doc_id", "size", "source", "source_size", "target", "taken", "position", *(["extra"] if extra_col else []))
+    return placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, at))
+
+
+def _per_bucket(sized: DataFrame) -> DataFrame:
+    return sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target, taken, and position (of its first use, or null).
+
+    size is the number of words (null text: 0). In each source the documents are in order of the MD5 of their ids;
+    pass after pass they fill the interval from 0 to the target, each size long, and a document takes what falls into
+    it: taken words, of which the last document's may be cut. So a source's taken words are its target, rounded down.
+    position is where its first word is asked for by the source's schedule.
+
+    Rows with the same id follow each other by size. A null source is a source, the last. Nulls, ties and repeated rows
+    give a row each; an empty table gives an empty result. The order doesn't depend on partitions, so reruns agree.
+
+    Cumulative sizes come from sums of BUCKETS ranges of the hash, and windows within a range, so no task gets a source
+    as a whole.
+    """
+    sized = materialise(_sized(docs, id_col, text_col, source_col), "sizes")
+    placed = _placed(sized, _per_bucket(sized), share, most, weights, schedule)
+    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position")
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of documents, range-sorted by position: a row for each pass that takes the document.
 
-    The columns are those of docs. Where a pass takes a part of a text, the row has its first words, joined by a space.
+    The columns are those of docs. Where a pass takes a part of a text, the row has its first words, joined by a space,
+    and n_chars, where there is such a column, counts those. Documents without words are never asked for.
+    The texts are dealt out twice: by range of the hash, and by position.
     """
     columns = docs.columns
-    rows = docs.select(*columns, F.monotonically_increasing_id().alias("__row"))
-    rows = materialise(rows, "rows")
-    placed = mix(rows, text_col=text_col, extra_col="__row", **options).filter("taken > 0")
-    passes = F.sequence(F.lit(1), F.when(F.col("taken") > F.col("size"), 2).otherwise(1))
-    uses = placed.select(F.col("extra").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("position").alias("__at"), F.explode(passes).alias("__pass"))
-    words = F.least("__size", F.col("__taken") - (F.col("__pass") - 1) * F.col("__size")).cast("int")
-    part = F.array_join(F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words), " ")
-    out = rows.join(uses, "__row").withColumn(text_col, F.when(words < F.col("__size"), part).otherwise(F.col(text_col)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-    return out.orderBy("__at", "__pass").select(*columns)
+    per_bucket = materialise(_per_bucket(_sized(docs, id_col, text_col, source_col)), "bucket-sizes")
+    sized = _sized(docs, id_col, text_col, source_col, F.struct(*columns).alias("doc"))
+    placed = _placed(sized, per_bucket, share, most, weights, schedule).filter("taken > 0")
+    # A later pass comes at its own place on the schedule.
+    rates = [_cycle([r[i] for r in schedule], F.col("rank")) for i in (0, 1)]
+    uses = placed.select("doc", "size", "taken", "start", "source_size", "target", *[r.alias(f"rate{i}") for i, r in enumerate(rates)], F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))).alias("pass"))
+    words = F.least("size", F.col("taken") - F.col("pass") * F.col("size")).cast("int")
+    at = position((F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"), F.col("rate0"), F.col("rate1"))
+    text = F.col("doc")[text_col]
+    part = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words), " ")
+    cut = F.when(words < F.col("size"), part)
+    changed = {text_col: F.coalesce(cut, text), "n_chars": F.coalesce(F.length(cut).cast("long"), F.col("doc")["n_chars"]) if "n_chars" in columns else None}
+    out = uses.select(at.alias("at"), F.struct(*[(changed[c] if c in changed else F.col("doc")[c]).alias(c) for c in columns]).alias("doc"))
+    return out.orderBy("at").select("doc.*")
 
 
 #: The same in DuckDB's SQL, over a table documents.

@@ -91,7 +91,7 @@ def _measure(window: int):
     return run
 
 
-def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per document: doc_id, its counts, base_failed, n_common_words (in lines common to its host) and kept.
 
     Exact copies of a text count as one document of their host, so copies alone never make a line common. Lines are
@@ -117,3 +117,15 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     left = F.col("n_words") - taken
     depleted: Column = (taken > 0) & ((left < rules.min_kept_words) | (left < rules.min_kept_share * F.col("n_words")))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"), taken.alias("n_common_words"))
+
+
+def kept_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs without those that judged() rejects; the columns are those of docs.
+
+    Rows are told apart by a hash of all that a verdict depends on, so equal rows share theirs.
+    """
+    columns = docs.columns
+    null_safe = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    keyed = docs.withColumn("__key", F.xxhash64(null_safe(id_col), null_safe(text_col), null_safe(host_col)))
+    rejected = materialise(judged(keyed, rules, "__key", text_col, host_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct(), "rejected")
+    return keyed.join(rejected, "__key", "left_anti").select(*columns)

@@ -196,20 +196,45 @@ def near_links(distinct_fps: DataFrame, distance: int = 3) -> DataFrame:
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits) and component_id.
-
-    Fingerprints link at `distance` or fewer differing bits; component_id is the smallest doc_id reachable, itself
-    included (null only where all ids are). A null text has no words; texts without words have fingerprint zero and
-    link like others. Repeated ids give repeated rows; an empty table gives an empty result.
+def _grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """prints (doc_id, fp, ...) with component_id.
 
     Copies meet in one distinct fingerprint before anything is compared, so the work at anchors depends on different
     fingerprints only, and there at most one link for each member is passed on.
     """
-    prints = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(distinct.select("fp"), distance))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = placed.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(placed.join(smallest, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits) and component_id.
+
+    Fingerprints link at `distance` or fewer differing bits; component_id is the smallest doc_id reachable, itself
+    included (null only where all ids are). A null text has no words; texts without words have fingerprint zero and
+    link like others. Repeated ids give repeated rows; an empty table gives an empty result.
+    """
+    grouped = _grouped(materialise(fingerprints(docs, shingle, id_col, text_col), "simhash"), distance)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near-duplicates: that with the smallest id, null as the last, then the smallest key.
+
+    The key is a hash of the id and text. Of rows that are equal in both, one stays. The columns are those of docs.
+    """
+    columns = docs.columns
+    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), F.col(text_col))
+    keyed = docs.withColumn("__key", key)
+    prints = fingerprints(keyed.select("__key", F.col(text_col)), shingle, "__key", text_col)
+    ids = keyed.select("__key", F.col(id_col).cast("long").alias("__id"))
+    prints = materialise(prints, "simhash").join(ids.groupBy("__key").agg(F.min("__id").alias("id"), F.count("*").alias("n")), F.col("doc_id") == F.col("__key")).select("doc_id", "fp", "id", "n").distinct()
+    grouped = materialise(_grouped(prints, distance), "groups")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("__key"))
+    goes = materialise(grouped.select(F.col("doc_id").alias("__key")).join(stays, "__key", "left_anti"), "dropped")
+    left = keyed.join(goes, "__key", "left_anti")
+    if not grouped.filter("n > 1").isEmpty():
+        left = left.dropDuplicates(["__key"])
+    return left.select(*columns)
