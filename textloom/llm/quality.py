@@ -77,7 +77,7 @@ def _measure(window: int):
                 repeated = sums(np.cumsum(cover[:-1]) > 0, w.first)
                 again, lines, bodies = np.zeros(n, np.int64), [], []
                 for i, text in enumerate(part.column(3).to_pylist()):
-                    raw = [x for x in (text or "").split("\n") if not x.isspace() and x.strip(" \t\r\x0b\x0c")]
+                    raw = [x for x in (text or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
                     again[i] = len(raw) - len(set(raw))
                     own: dict[int, int] = {}
                     for x in raw:
@@ -124,8 +124,8 @@ def kept_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
 
     Rows are told apart by a hash of all that a verdict depends on, so equal rows share theirs.
     """
-    columns = docs.columns
     null_safe = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    keyed = docs.withColumn("__key", F.xxhash64(null_safe(id_col), null_safe(text_col), null_safe(host_col)))
-    rejected = materialise(judged(keyed, rules, "__key", text_col, host_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct(), "rejected")
-    return keyed.join(rejected, "__key", "left_anti").select(*columns)
+    key = F.xxhash64(null_safe(id_col), null_safe(text_col), null_safe(host_col)).alias("key")
+    verdicts = judged(docs.select(key, F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "key", "text", "host")
+    rejected = materialise(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    return docs.select(F.struct("*").alias("doc"), key).join(rejected, "key", "left_anti").select("doc.*")

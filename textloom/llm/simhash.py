@@ -225,16 +225,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: st
 
     The key is a hash of the id and text. Of rows that are equal in both, one stays. The columns are those of docs.
     """
-    columns = docs.columns
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), F.col(text_col))
-    keyed = docs.withColumn("__key", key)
-    prints = fingerprints(keyed.select("__key", F.col(text_col)), shingle, "__key", text_col)
-    ids = keyed.select("__key", F.col(id_col).cast("long").alias("__id"))
-    prints = materialise(prints, "simhash").join(ids.groupBy("__key").agg(F.min("__id").alias("id"), F.count("*").alias("n")), F.col("doc_id") == F.col("__key")).select("doc_id", "fp", "id", "n").distinct()
+    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), F.col(text_col)).alias("key")
+    prints = fingerprints(docs.select(key, F.col(text_col).alias("text")), shingle, "key", "text")
+    ids = docs.select(key, F.col(id_col).cast("long").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    prints = materialise(prints, "simhash").join(ids, F.col("doc_id") == F.col("key")).select("doc_id", "fp", "id", "n").distinct()
     grouped = materialise(_grouped(prints, distance), "groups")
-    stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("__key"))
-    goes = materialise(grouped.select(F.col("doc_id").alias("__key")).join(stays, "__key", "left_anti"), "dropped")
-    left = keyed.join(goes, "__key", "left_anti")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("key"))
+    goes = materialise(grouped.select(F.col("doc_id").alias("key")).join(stays, "key", "left_anti"), "dropped")
+    left = docs.select(F.struct("*").alias("doc"), key).join(goes, "key", "left_anti")
     if not grouped.filter("n > 1").isEmpty():
-        left = left.dropDuplicates(["__key"])
-    return left.select(*columns)
+        left = left.dropDuplicates(["key"])
+    return left.select("doc.*")
