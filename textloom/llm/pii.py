@@ -157,7 +157,7 @@ def _voter(text: Column, kind: str, is_base: bool):
             F.lit(is_base).alias("regex"),
             x["m"].rlike(KNOWN[kind]).alias("gazetteer"),
             before.rlike(NEAR[kind]).alias("context"),
-            (~x["m"].contains(" ") if kind == "email" else F.length(digits(x["m"])) >= 7).alias("shape"),
+            (F.length(x["m"]).between(6, 64) if kind == "email" else F.length(digits(x["m"])) >= 7).alias("shape"),
         )
 
     return votes
