@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression inside a lambda is evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(items: Column, n: int) -> Column:
     """All runs of n items, as arrays; none where there are fewer."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1)))
-    return F.when(F.size(items) >= n, F.transform(starts, lambda i: F.slice(items, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+    def runs(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1)))
+        return F.when(F.size(x) >= n, F.transform(starts, lambda i: F.slice(x, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+    return bound(items, runs)
 
 
 def repeat_ratio(items: Column, n: int = 3) -> Column:
-    """1 - distinct n-grams / n-grams; 0 where there are none."""
-    grams = ngrams(items, n)
-    return F.when(F.size(items) < n, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    """1 - distinct n-grams / n-grams; 0 where there are none. items: strings without line ends, or single characters.
+
+    Joined to strings, as distinct arrays of arrays are found by comparing all pairs.
+    """
+    grams = F.transform(ngrams(items, n), lambda g: F.array_join(g, "\n"))
+    return bound(grams, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def dot(a: Column, b: Column) -> Column:

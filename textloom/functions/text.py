@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The rules of the cleaning steps. (?U) makes \w and \s follow Unicode.
 TAG = r"<[^>]+>"
@@ -22,7 +23,7 @@ HAN_EXTENDED = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 PAIR_MARK = "|||"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -132,7 +133,7 @@ def detect_language(c: Column, detector) -> Column:
         except Exception:  # noqa: BLE001  the callable is the user's; a text that it can't judge counts as unknown
             return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(one, na_action="ignore")
 
