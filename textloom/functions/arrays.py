@@ -17,8 +17,9 @@ def ngrams(items: Column, n: int) -> Column:
     """All runs of n items, as arrays; none where there are fewer."""
 
     def runs(x: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1)))
-        return F.when(F.size(x) >= n, F.transform(starts, lambda i: F.slice(x, i, n))).otherwise(F.array().cast("array<array<string>>"))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x) - n, F.lit(0)))
+        # Single items cost nothing to reach; slice() copies the whole array each time.
+        return F.when(F.size(x) >= n, F.transform(starts, lambda i: F.array(*[F.get(x, i + k) for k in range(n)]))).otherwise(F.array().cast("array<array<string>>"))
 
     return bound(items, runs)
 

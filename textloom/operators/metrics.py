@@ -35,9 +35,9 @@ def tokenize_zh(c: Column) -> Column:
 
 
 def _grams(items: Column, order: int) -> Column:
-    """(n, gram) of all n-grams up to an order."""
+    """(n, hash) of all n-grams up to an order; 64 bits tell the n-grams of a row apart."""
     # A lambda with a second parameter would get the position.
-    tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("g"))
+    tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g"))
     tagged = [F.transform(ngrams(items, n), tag(n)) for n in range(1, order + 1)]
     return F.concat(*tagged)
 
