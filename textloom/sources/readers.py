@@ -28,9 +28,10 @@ def read_jsonl(spark: SparkSession, path: str, src: str = "chinese", tgt: str =
 def read_jsonl_rejects(spark: SparkSession, path: str, src: str = "chinese", tgt: str = "english") -> DataFrame:
     """The malformed lines that read_jsonl skips."""
     schema = T.StructType([*pair_schema(src, tgt).fields, T.StructField(CORRUPT, T.StringType())])
-    # A query for the corrupt column alone would read nothing, so the others stay in the plan.
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.filter(F.col(CORRUPT).isNotNull() & F.coalesce(src, tgt, F.lit("")).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    # The JSON source refuses queries for the corrupt column alone, so lines are read as text and parsed.
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.filter(parsed[CORRUPT].isNotNull()).select(F.col("value").alias("line"))
 
 
 def is_json_array(spark: SparkSession, path: str, peek: int = 1024) -> bool:
