@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a series that are smoothed together. What a block starts from fades below the precision of a double in it.
@@ -140,6 +140,17 @@ def memory_tier(gb: Column) -> Column:
     return F.when(free >= 12, tier(64, 16)).when(free >= 8, tier(32, 8)).when(free >= 6, tier(16, 4)).otherwise(tier(8, 2))
 
 
+def perplexity(losses: DataFrame, loss: str, *groups: str) -> DataFrame:
+    return losses.groupBy(*groups).agg(F.exp(F.avg(loss)).alias("perplexity"))
+
+
+def model_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, files, mb) of the files below a path; only their metadata is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), (F.sum("length") / 2**20).alias("mb"))
+
+
 def last_status(log: DataFrame, step: str, status: str, at: str) -> DataFrame:
     """(step, status): the newest status of each step."""
     return log.groupBy(step).agg(F.max_by(status, at).alias(status))
