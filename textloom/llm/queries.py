@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, merkle, mixing, pii, quality, simhash, substring, token_counts, toxicity, warc
+from textloom.llm import bpe, merkle, mixing, pii, quality, simhash, sql, substring, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.MIX_SQL.format(documents="documents")}
+    return dict(sql.ORACLES)
