@@ -17,34 +17,58 @@ from textloom.session import materialise
 BITS = 64
 #: Groups of at most so many fingerprints at an anchor are compared pair by pair, larger ones by search from member to member.
 SMALL = 12
+#: Shingles whose bits are counted at once, about.
+BLOCK = 16_384
+
+
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a text's shingles, at most BLOCK at a time."""
+    words = (text or "").encode().lower().split()
+    n, digest = len(words), xxhash.xxh64_intdigest
+    if not n:
+        return
+    joined = b" ".join(words)
+    if n <= shingle:
+        yield np.array([digest(joined, 42)], "<u8")
+        return
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts, ends = np.concatenate([[0], ends[: n - shingle]]), ends[shingle - 1 :] - 1
+    for k in range(0, len(starts), BLOCK):
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist())], "<u8")
+
+
+def _bits_set(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each bit is set in runs of hashes that begin at `first`."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, first, axis=0, dtype=np.int64)
 
 
 def fingerprint_batch(texts: list[str | None], shingle: int) -> np.ndarray:
-    """SimHash of each text: a bit is 1 if it is set in over half of the shingles' XXH64 values (seed 42)."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    digest = xxhash.xxh64_intdigest
+    """SimHash of each text: a bit is 1 if it is set in over half of the shingles' XXH64 values (seed 42).
+
+    Bits are unpacked for about BLOCK shingles at once, of several texts or of a part of one.
+    """
+    ones, counts = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
+    waiting: list[tuple[int, np.ndarray]] = []
+    total = 0
+
+    def flush() -> None:
+        nonlocal total
+        if waiting:
+            first = np.cumsum([0, *[len(h) for _, h in waiting[:-1]]])
+            np.add.at(ones, [i for i, _ in waiting], _bits_set(np.concatenate([h for _, h in waiting]), first))
+        waiting.clear()
+        total = 0
+
     for i, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        n = len(words)
-        if not n:
-            continue
-        joined = b" ".join(words)
-        if n <= shingle:
-            hashes.append(digest(joined, 42))
-            counts[i] = 1
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = np.concatenate([[0], ends[: n - shingle]]).tolist()
-        hashes += [digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-        counts[i] = n - shingle + 1
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.dtype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts[full])[:-1]]), axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+        for part in _shingle_hashes(text, shingle):
+            waiting.append((i, part))
+            counts[i] += len(part)
+            total += len(part)
+            if total >= BLOCK:
+                flush()
+    flush()
+    return np.packbits(2 * ones > np.maximum(counts, 1)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
