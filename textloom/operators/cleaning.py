@@ -56,11 +56,10 @@ def reason_counts(validated_pairs: DataFrame) -> DataFrame:
 def deduplicated(pairs: DataFrame, order: str = "pair_id") -> DataFrame:
     """The first pair in order of each pair hash.
 
-    The hash is dealt out with partial aggregation first, so copies of one pair meet as one row a task.
+    Each task keeps the first of its own before anything is dealt out, so copies of one pair meet as one row a task.
     """
-    h = pair_hash(F.col("src"), F.col("tgt"))
-    first = pairs.groupBy(h.alias("__h")).agg(F.min(order).alias("__first"))
-    return pairs.withColumn("__h", h).join(first, "__h").filter(F.col(order) == F.col("__first")).drop("__h", "__first")
+    rows = pairs.withColumn("__h", pair_hash(F.col("src"), F.col("tgt")))
+    return first_by(rows, ["__h"], order).drop("__h")
 
 
 def clean(pairs: DataFrame, rules: CleaningRules = CleaningRules(), full: bool = False) -> DataFrame:
