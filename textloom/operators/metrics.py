@@ -38,28 +38,32 @@ def _grams(items: Column, order: int) -> Column:
     """(n, hash) of all n-grams up to an order; 64 bits tell the n-grams of a row apart."""
     # A lambda with a second parameter would get the position.
     tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g"))
-    tagged = [F.transform(ngrams(items, n), tag(n)) for n in range(1, order + 1)]
-    return F.concat(*tagged)
+    return bound(items, lambda x: F.concat(*[F.transform(ngrams(x, n), tag(n)) for n in range(1, order + 1)]))
 
 
 def bleu_counts(rows: DataFrame, key: str, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
-    """(n, matches, total): clipped n-gram matches over all rows. key tells rows apart; hyp and ref are arrays of words."""
-    side = lambda c, h: rows.select(F.col(key).alias("k"), F.explode(_grams(c, order)).alias("x"), F.lit(h).alias("h"))
-    both = side(hyp, 1).unionByName(side(ref, 0))
-    counts = both.groupBy("k", "x.n", "x.g").agg(F.sum("h").alias("a"), F.sum(1 - F.col("h")).alias("b"))
-    return counts.groupBy("n").agg(F.sum(F.least("a", "b")).alias("matches"), F.sum("a").alias("total"))
+    """(n, matches, total, ref_total): clipped n-gram matches over all rows. key tells rows apart; hyp and ref are arrays of words.
+
+    The n-grams of both sides come out of one pass over the rows, and equal ones of a row meet as hashes.
+    """
+    side = lambda h: lambda x: F.struct(x["n"].alias("n"), x["g"].alias("g"), F.lit(h).alias("h"))
+    both = F.concat(F.transform(_grams(hyp, order), side(1)), F.transform(_grams(ref, order), side(0)))
+    exploded = rows.select(F.col(key).alias("k"), F.explode(both).alias("x")).select("k", "x.n", "x.g", "x.h")
+    counts = exploded.groupBy("k", "n", "g").agg(F.sum("h").alias("a"), F.sum(1 - F.col("h")).alias("b"))
+    return counts.groupBy("n").agg(F.sum(F.least("a", "b")).alias("matches"), F.sum("a").alias("total"), F.sum("b").alias("ref_total"))
 
 
 def corpus_bleu(rows: DataFrame, key: str, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
     """One row: bleu (0 to 100), bp, sys_len, ref_len and precisions. Zero matches are smoothed by halving for each order that has none.
 
-    Where an order has no n-grams at all, or nothing matches, the score is 0.
+    Where an order has no n-grams at all, or nothing matches, the score is 0. Lengths are the numbers of single words.
     """
-    lengths = rows.agg(F.coalesce(F.sum(F.size(hyp)), F.lit(0)).alias("sys_len"), F.coalesce(F.sum(F.size(ref)), F.lit(0)).alias("ref_len"))
-    counts = bleu_counts(rows, key, hyp, ref, order).groupBy().pivot("n", list(range(1, order + 1))).agg(F.first("matches").alias("m"), F.first("total").alias("t"))
-    row = lengths.crossJoin(F.broadcast(counts))  # two frames of one row
-    m = [F.coalesce(F.col(f"{n}_m"), F.lit(0)) for n in range(1, order + 1)]
-    t = [F.coalesce(F.col(f"{n}_t"), F.lit(0)) for n in range(1, order + 1)]
+    counts = bleu_counts(rows, key, hyp, ref, order)
+    of = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    sums = [of(c, n).alias(f"{n}_{c[0]}") for n in range(1, order + 1) for c in ("matches", "total")]
+    row = counts.agg(*sums, of("total", 1).alias("sys_len"), of("ref_total", 1).alias("ref_len"))
+    m = [F.col(f"{n}_m") for n in range(1, order + 1)]
+    t = [F.col(f"{n}_t") for n in range(1, order + 1)]
     precisions, zeros = [], F.lit(0)
     for a, b in zip(m, t):
         zeros = zeros + F.when(a == 0, 1).otherwise(0)
