@@ -57,7 +57,7 @@ def _measure(window: int):
         symbol = np.zeros(256, bool)
         symbol[list(SYMBOLS.encode())] = True
         for whole in parts:
-            for a, b in batches(whole.column(3)):
+            for a, b in batches(whole.column(3), 1 << 20):
                 part = whole.slice(a, b - a)
                 w = Words(part.column(3))
                 n = len(part)
