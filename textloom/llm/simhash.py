@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._components import components
@@ -253,7 +253,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: st
     prints = fingerprints(docs.select(key, F.col(text_col).alias("text")), shingle, "key", "text")
     ids = docs.select(key, F.col(id_col).cast("long").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     prints = materialise(prints, "simhash").join(ids, F.col("doc_id") == F.col("key")).select("doc_id", "fp", "id", "n").distinct()
-    grouped = materialise(_grouped(prints, distance), "groups")
+    return first_of_each(docs, materialise(_grouped(prints, distance), "groups"), key)
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame, key: Column) -> DataFrame:
+    """docs with the first row of each component; grouped (doc_id: key, id, n: rows of that key, component_id) is written already."""
     stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("key"))
     goes = materialise(grouped.select(F.col("doc_id").alias("key")).join(stays, "key", "left_anti"), "dropped")
     left = docs.select(F.struct("*").alias("doc"), key).join(goes, "key", "left_anti")
