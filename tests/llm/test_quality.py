@@ -68,3 +68,31 @@ def test_kept_documents_keep_repeated_rows(make, corpus, rows_of):
 
 def test_empty_table(make, rows_of):
     assert rows_of(quality.judged(make([]))) == [] and rows_of(quality.kept_documents(make([]))) == []
+
+
+def test_common_lines_are_removed(make, rows_of):
+    rules = quality.Rules(min_line_documents=3, max_line_share=0.2)
+    rows = boilerplate()
+    left = quality.without_common_lines(make(rows), rules)
+    assert left.columns == make(rows).columns and left.schema.simpleString() == make(rows).schema.simpleString()
+    want = sorted(((i, t.split("\n")[0] if h == "a" else t) for i, t, h in rows if i not in (20, 21)), key=repr)
+    assert rows_of(left, "doc_id", "text") == want
+    assert all(r.n_chars == len(r.text) for r in left.collect())
+    assert rows_of(quality.without_common_lines(make([]), rules)) == []
+
+
+def test_stage_removes_common_lines_under_its_own_limits(spark, make, rows_of):
+    """A footer in 120 distinct documents of a host is above the limits of the production rules."""
+    import corpus_pipeline
+
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"{body(i)}\nAll rights reserved by us", "a") for i in range(120)] + [(500, f"{body(500)}\nAll rights reserved by us", "b")]
+    left = rows_of(corpus_pipeline.quality_rules(spark, make(rows), ""), "doc_id", "text", "n_chars")
+    assert left == sorted([(i, body(i), len(body(i))) for i in range(120)] + [(500, rows[-1][1], len(rows[-1][1]))], key=repr)
+
+
+def test_stage_keeps_odd_rows(spark, make, corpus, rows_of):
+    import corpus_pipeline
+
+    kept = quality.kept_documents(make(corpus))
+    assert rows_of(corpus_pipeline.quality_rules(spark, make(corpus), "")) == rows_of(kept)

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm._text import Words, _mixed, batches, rolling, small_batches
 from textloom.session import materialise
@@ -101,6 +103,11 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
 
     One pass over the texts writes counts and line hashes, a few per cent of the input; the rest joins those.
     """
+    return _judged(docs, rules, id_col, text_col, host_col).drop("common_lines")
+
+
+def _judged(docs: DataFrame, rules: Rules, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """judged() with common_lines, the hashes of a document's common lines (null: none)."""
     small_batches(docs)
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     measured = materialise(slim.mapInArrow(_measure(rules.window), _MEASURED), "quality")
@@ -110,13 +117,13 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     hosts = measured.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
     often = spread.filter(F.col("n_documents") > rules.min_line_documents)
     common = often.join(hosts, "host").filter(F.col("n_documents") > rules.max_line_share * F.col("n_host")).select("host", "h")
-    removed = lines.join(common, ["host", "h"]).groupBy("rid").agg(F.sum("w").cast("long").alias("n_common_words"))
+    removed = lines.join(common, ["host", "h"]).groupBy("rid").agg(F.sum("w").cast("long").alias("n_common_words"), F.collect_list("h").alias("common_lines"))
     joined = measured.drop("lines", "body", "host").join(removed, "rid", "left")
     base_failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     taken = F.coalesce("n_common_words", F.lit(0))
     left = F.col("n_words") - taken
     depleted: Column = (taken > 0) & ((left < rules.min_kept_words) | (left < rules.min_kept_share * F.col("n_words")))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"), taken.alias("n_common_words"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"), taken.alias("n_common_words"), "common_lines")
 
 
 def kept_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -124,8 +131,38 @@ def kept_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
 
     Rows are told apart by a hash of all that a verdict depends on, so equal rows share theirs.
     """
-    null_safe = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    key = F.xxhash64(null_safe(id_col), null_safe(text_col), null_safe(host_col)).alias("key")
+    key = _row_key(id_col, text_col, host_col)
     verdicts = judged(docs.select(key, F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "key", "text", "host")
     rejected = materialise(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
     return docs.select(F.struct("*").alias("doc"), key).join(rejected, "key", "left_anti").select("doc.*")
+
+
+def _row_key(*columns: str) -> Column:
+    null_safe = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    return F.xxhash64(*map(null_safe, columns)).alias("key")
+
+
+@F.pandas_udf(T.StringType())
+def _without_lines(text: pd.Series, hashes: pd.Series) -> pd.Series:
+    def cut(t: str, gone: set[int]) -> str:
+        return "\n".join(x for x in t.split("\n") if not (x.strip(" \t\r\x0b\x0c") and _hash(normalised_line(x)) in gone))
+
+    return pd.Series([None if t is None else cut(t, set(h)) for t, h in zip(text, hashes)], dtype=object)
+
+
+def without_common_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """kept_documents() whose texts have lost the lines that are common to their host, with their line ends.
+
+    n_chars, where there is such a column, is counted anew for them; other texts and columns stay as they are. Only texts
+    with common lines go through Python.
+    """
+    key = _row_key(id_col, text_col, host_col)
+    verdicts = _judged(docs.select(key, F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "key", "text", "host")
+    marked = verdicts.filter("NOT kept OR n_common_words > 0").select(F.col("doc_id").alias("key"), "kept", "common_lines").dropDuplicates(["key"])
+    rows = docs.select(F.struct("*").alias("doc"), key).join(materialise(marked, "marked"), "key", "left").filter(F.coalesce("kept", F.lit(True)))
+    old = F.col(f"doc.{text_col}")
+    rows = rows.withColumn("new", _without_lines(F.when(F.col("common_lines").isNotNull(), old), "common_lines"))
+    changed = {text_col: F.coalesce("new", old)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), F.col("doc.n_chars"))
+    return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
