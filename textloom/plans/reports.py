@@ -16,7 +16,8 @@ from textloom.streaming import corpus
 
 TERMS = """terms AS (SELECT item_id AS term_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS source, array_to_string(string_split(text, ' ')[3:4], ' ') AS target, substr(text, 1, 40) AS note,
   ['general', 'tech', 'law', 'medicine', 'finance', 'science', 'other'][item_id % 7 + 1] AS category FROM benchmark)"""
-RUNS = "runs AS (SELECT p_type AS dataset, p_brand AS model, round(avg(p_retailprice) / 50, 4) AS quality, avg(p_size::DOUBLE) AS latency, sum(p_size::DOUBLE) AS size FROM part GROUP BY ALL)"
+RUNS = """runs AS (SELECT p_type AS dataset, p_brand AS model, sum(round(p_retailprice * 100)::BIGINT)::DOUBLE / count(p_retailprice) / 5000 AS quality,
+  sum(p_size::BIGINT)::DOUBLE / count(p_size) AS latency, sum(p_size::BIGINT)::DOUBLE AS size FROM part GROUP BY ALL)"""
 LOG = "log AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS loss FROM events)"
 HYP = r"""lines AS (SELECT d.doc_id * 1000000 + t.i - 1 AS row_id, list_filter(string_split(d.l[t.i], ' '), lambda x: x <> '') AS r FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, unnest(range(1, len(d.l) + 1)) AS t(i)),
 hyp_ref AS (SELECT row_id, r, list_filter(r, lambda x, i: NOT ends_with(md5(row_id::VARCHAR || ':' || (i - 1)::VARCHAR), '0')) AS h FROM lines WHERE len(r) > 0)"""

@@ -57,9 +57,14 @@ def loss_log(events: DataFrame) -> DataFrame:
 
 
 def eval_runs(part: DataFrame) -> DataFrame:
-    """(dataset, model, quality, latency, size): parts by type and brand as evaluated models."""
+    """(dataset, model, quality, latency, size): parts by type and brand as evaluated models.
+
+    Prices are summed in cents and sizes as integers, so a mean doesn't depend on the order of rows.
+    """
+    cents, size = F.round(F.col("p_retailprice") * 100).cast("long"), F.col("p_size").cast("long")
+    mean = lambda c: F.sum(c).cast("double") / F.count(c)
     return part.groupBy(F.col("p_type").alias("dataset"), F.col("p_brand").alias("model")).agg(
-        F.round(F.avg(F.col("p_retailprice")) / 50, 4).alias("quality"), F.avg(F.col("p_size").cast("double")).alias("latency"), F.sum(F.col("p_size").cast("double")).alias("size")
+        (mean(cents) / 5000).alias("quality"), mean(size).alias("latency"), F.sum(size).cast("double").alias("size")
     )
 
 
