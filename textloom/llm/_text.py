@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than these.
 SPACE = np.zeros(256, bool)
@@ -26,6 +27,15 @@ def small_batches(df: DataFrame, rows: int = 1000) -> None:
         df.sparkSession.conf.set(key, str(rows))
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of hash over these columns of a row: equal just when all of them are, nulls included.
+
+    Values are led by their length, so that none runs into the next.
+    """
+    part = lambda c: F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
+    return F.unhex(F.md5(F.concat(*[F.coalesce(part(F.col(c)), F.lit("n")) for c in columns])))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> np.uint64(31))

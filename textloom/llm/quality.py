@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._text import Words, _mixed, batches, rolling, small_batches
+from textloom.llm._text import Words, _mixed, batches, rolling, row_key, small_batches
 from textloom.session import materialise
 
 
@@ -30,16 +30,18 @@ class Rules:
     min_words: int = 10
     window: int = 5
     max_repeat_percent: int = 20
-    max_line_share: float = 0.1
-    min_line_documents: int = 100
+    max_line_share: float = 0.02
+    min_line_documents: int = 3
     min_kept_words: int = 10
-    min_kept_share: float = 0.1
+    min_kept_share: float = 0.3
 
 
+#: Parts in which the rows of a common line are met, so that one in a third of a host's documents is no hot key.
+SALTS = 32
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-_MEASURED = "rid long, doc_id long, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
+_MEASURED = "rid long, doc_id {kind}, host string, body long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
 
 
 def normalised_line(line: str) -> str:
@@ -103,21 +105,23 @@ def judged(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
 
     One pass over the texts writes counts and line hashes, a few per cent of the input; the rest joins those.
     """
-    return _judged(docs, rules, id_col, text_col, host_col).drop("common_lines")
+    return _judged(docs, rules, F.col(id_col).cast("long"), "long", text_col, host_col).drop("common_lines")
 
 
-def _judged(docs: DataFrame, rules: Rules, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """judged() with common_lines, the hashes of a document's common lines (null: none)."""
+def _judged(docs: DataFrame, rules: Rules, key: Column, kind: str, text_col: str, host_col: str) -> DataFrame:
+    """judged() with key, of a type, as doc_id, and common_lines, the hashes of a document's common lines (null: none)."""
     small_batches(docs)
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    measured = materialise(slim.mapInArrow(_measure(rules.window), _MEASURED), "quality")
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), key.alias("doc_id"), F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    measured = materialise(slim.mapInArrow(_measure(rules.window), _MEASURED.format(kind=kind)), "quality")
     # A line in a document: two sums with partial aggregation, so that a line in a third of all documents is no hot key.
     lines = measured.select("rid", "host", "body", F.explode("lines").alias("line")).select("rid", "host", "body", "line.h", "line.w")
     spread = lines.groupBy("host", "h", "body").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n_documents"))
     hosts = measured.groupBy("host", "body").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
     often = spread.filter(F.col("n_documents") > rules.min_line_documents)
     common = often.join(hosts, "host").filter(F.col("n_documents") > rules.max_line_share * F.col("n_host")).select("host", "h")
-    removed = lines.join(common, ["host", "h"]).groupBy("rid").agg(F.sum("w").cast("long").alias("n_common_words"), F.collect_list("h").alias("common_lines"))
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = lines.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
+    removed = met.groupBy("rid").agg(F.sum("w").cast("long").alias("n_common_words"), F.collect_list("h").alias("common_lines"))
     joined = measured.drop("lines", "body", "host").join(removed, "rid", "left")
     base_failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     taken = F.coalesce("n_common_words", F.lit(0))
@@ -127,19 +131,14 @@ def _judged(docs: DataFrame, rules: Rules, id_col: str, text_col: str, host_col:
 
 
 def kept_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without those that judged() rejects; the columns are those of docs.
+    """docs without those that judged() rejects; the columns are those of docs, and texts keep their common lines.
 
-    Rows are told apart by a hash of all that a verdict depends on, so equal rows share theirs.
+    Rows are told apart by 128 bits of hash of all that a verdict depends on, so equal rows share theirs.
     """
-    key = _row_key(id_col, text_col, host_col)
-    verdicts = judged(docs.select(key, F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "key", "text", "host")
+    key = row_key(id_col, text_col, host_col)
+    verdicts = _judged(docs, rules, key, "binary", text_col, host_col)
     rejected = materialise(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
-    return docs.select(F.struct("*").alias("doc"), key).join(rejected, "key", "left_anti").select("doc.*")
-
-
-def _row_key(*columns: str) -> Column:
-    null_safe = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    return F.xxhash64(*map(null_safe, columns)).alias("key")
+    return docs.select(F.struct("*").alias("doc"), key.alias("key")).join(rejected, "key", "left_anti").select("doc.*")
 
 
 @F.pandas_udf(T.StringType())
@@ -154,12 +153,13 @@ def without_common_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str =
     """kept_documents() whose texts have lost the lines that are common to their host, with their line ends.
 
     n_chars, where there is such a column, is counted anew for them; other texts and columns stay as they are. Only texts
-    with common lines go through Python.
+    with common lines go through Python. Null texts have no words and go; repeated rows share a verdict and all stay or go;
+    an empty table stays empty.
     """
-    key = _row_key(id_col, text_col, host_col)
-    verdicts = _judged(docs.select(key, F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "key", "text", "host")
+    key = row_key(id_col, text_col, host_col)
+    verdicts = _judged(docs, rules, key, "binary", text_col, host_col)
     marked = verdicts.filter("NOT kept OR n_common_words > 0").select(F.col("doc_id").alias("key"), "kept", "common_lines").dropDuplicates(["key"])
-    rows = docs.select(F.struct("*").alias("doc"), key).join(materialise(marked, "marked"), "key", "left").filter(F.coalesce("kept", F.lit(True)))
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("key")).join(materialise(marked, "marked"), "key", "left").filter(F.coalesce("kept", F.lit(True)))
     old = F.col(f"doc.{text_col}")
     rows = rows.withColumn("new", _without_lines(F.when(F.col("common_lines").isNotNull(), old), "common_lines"))
     changed = {text_col: F.coalesce("new", old)}

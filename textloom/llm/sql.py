@@ -36,7 +36,7 @@ repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) r
 line AS (SELECT doc_id, source, text, {NORMALISED.format(line="x")} AS l, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT *, unnest(lines) AS x FROM d)),
 spread AS (SELECT source, l, count(DISTINCT text) AS n FROM line GROUP BY ALL),
 hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY 1),
-common AS (SELECT s.source, s.l FROM spread s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.n > 100 AND s.n > 0.1::DOUBLE * h.n),
+common AS (SELECT s.source, s.l FROM spread s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.n > 3 AND s.n > 0.02::DOUBLE * h.n),
 removed AS (SELECT doc_id, sum(n)::BIGINT AS n FROM line JOIN common c ON line.source IS NOT DISTINCT FROM c.source AND line.l = c.l GROUP BY 1),
 counts AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -44,7 +44,7 @@ counts AS (
   FROM d LEFT JOIN repeated r USING (doc_id) LEFT JOIN removed m USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - n_common_words AS rest FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_common_words > 0 AND (rest < 10 OR rest < 0.1::DOUBLE * n_words)) AS kept, n_common_words FROM judged
+       NOT base_failed AND NOT (n_common_words > 0 AND (rest < 10 OR rest < 0.3::DOUBLE * n_words)) AS kept, n_common_words FROM judged
 """
 
 ORACLES = {
