@@ -103,19 +103,5 @@ def test_components_of_a_long_chain_and_a_star(spark, rows_of):
     assert sorted(map(min, found.values())) == [0, 1000] and sorted(map(len, found.values())) == [301, 400]
 
 
-def test_one_of_each(make, corpus, rows_of):
-    docs = make(corpus)
-    left = simhash.one_of_each(docs)
-    assert left.columns == docs.columns
-    kept = rows_of(left, "doc_id", "text")
-    items = [(i, r) for i, r in enumerate(dict.fromkeys((r[0], r[1]) for r in corpus))]
-    groups = {}
-    for (i, r), c in zip(items, classes([(i, fingerprint(r[1], 5)) for i, r in items], near)):
-        groups.setdefault(c, []).append(r)
-    assert len(kept) == len(groups)
-    least = sorted((min(r[0] for r in g if r[0] is not None) if any(r[0] is not None for r in g) else None for g in groups.values()), key=repr)
-    assert sorted((k[0] for k in kept), key=repr) == least
-
-
 def test_empty_table(make, rows_of):
-    assert rows_of(simhash.near_duplicates(make([]))) == [] and rows_of(simhash.one_of_each(make([]))) == []
+    assert rows_of(simhash.near_duplicates(make([]))) == []

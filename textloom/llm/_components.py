@@ -9,7 +9,7 @@ from textloom.session import materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a long, b long) to (node, root): nodes have one root just when links connect them.
+    """links (a, b, of one type) to (node, root): nodes have one root just when links connect them.
 
     Each round every node joins the neighbour with the least hash, of its own for the round; links are carried over to
     what their ends joined, and the ends meet in a few rounds, also along chains. The minimum is a partial aggregate,

@@ -244,18 +244,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates: that with the smallest id, null as the last, then the smallest key.
-
-    The key is a hash of the id and text. Of rows that are equal in both, one stays. The columns are those of docs.
-    """
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), F.col(text_col)).alias("key")
-    prints = fingerprints(docs.select(key, F.col(text_col).alias("text")), shingle, "key", "text")
-    ids = docs.select(key, F.col(id_col).cast("long").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    prints = materialise(prints, "simhash").join(ids, F.col("doc_id") == F.col("key")).select("doc_id", "fp", "id", "n").distinct()
-    return first_of_each(docs, materialise(_grouped(prints, distance), "groups"), key)
-
-
 def first_of_each(docs: DataFrame, grouped: DataFrame, key: Column) -> DataFrame:
     """docs with the first row of each component; grouped (doc_id: key, id, n: rows of that key, component_id) is written already."""
     stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("key"))
