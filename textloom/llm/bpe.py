@@ -69,8 +69,8 @@ class BpeCodec:
             self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.alphabet = byte_alphabet()
-        self.memo: dict[str, tuple[bytes, str, int]] = {}
-        self.mapped_memo: dict[str, tuple[bytes, str, int]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.mapped_memo: dict[str, bytes] = {}
         split = next((p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         self.pattern = plain_pattern(split) if split else None
 
@@ -111,22 +111,21 @@ class BpeCodec:
                     heapq.heappush(heap, (found[0], h, symbols[h], made, found[1]))
         return [s for s in symbols if s >= 0]
 
-    def _remember(self, piece: str, memo: dict, mapped: str | None = None) -> tuple[bytes, str, int]:
+    def _remember(self, piece: str, memo: dict[str, bytes], mapped: str | None = None) -> bytes:
         if mapped is None:
             mapped = "".join([self.alphabet[b] for b in piece.encode()])
         ids = self.merge(mapped)
         if len(memo) >= MEMO:
             memo.clear()
-        out = memo[piece] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids]), len(ids))
+        out = memo[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def encoded(self, text: str) -> list[tuple[bytes, str, int]]:
-        """For each pre-token and special token of the text: packed ids, their strings joined by a space, how many."""
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         memo, out = self.memo, []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                i = self.added[part]
-                out.append((struct.pack("<I", i), part, 1))
+                out.append(struct.pack("<I", self.added[part]))
             elif part:
                 part = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
                 if self.pattern and not _NOT_PLAIN.search(part):
@@ -134,15 +133,18 @@ class BpeCodec:
                 else:
                     # The library's splitter already gives the byte alphabet, so it has a memory of its own.
                     out += [self.mapped_memo.get(m) or self._remember(m, self.mapped_memo, m) for m, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
-        return out
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        packed = b"".join([x[0] for x in self.encoded(text)])
-        return list(struct.unpack(f"<{len(packed) // 4}I", packed))
+        return unpacked(self.packed(text))
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings, joined as the library joins them where its file names no decoder."""
-        return " ".join([self.strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, ids))
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 _codecs: dict[str, BpeCodec] = {}
@@ -159,12 +161,9 @@ def _encode(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for part in parts:
-            counts, packed, texts = [], [], []
-            for text in part.column(1).to_pylist():
-                found = c.encoded(text or "")
-                counts.append(sum([x[2] for x in found]))
-                packed.append(b"".join([x[0] for x in found]))
-                texts.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+            packed = [c.packed(text or "") for text in part.column(1).to_pylist()]
+            counts = [len(p) // 4 for p in packed]
+            texts = [hashlib.sha256(c.decode(unpacked(p)).encode()).hexdigest() for p in packed]
             columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()), pa.array(texts, pa.string())]
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -175,10 +174,10 @@ def _encode(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, SHA-256 of the packed ids and of the decoded text, and the ids as an array if asked for.
+    """Per document: doc_id, n_tokens, SHA-256 of the packed ids and of the text decoded from them, and the ids as an array if asked for.
 
     A null text is empty: no tokens. Rows are independent, so repeated ids and texts give repeated rows, and an
-    empty table an empty result. Nothing is shuffled.
+    empty table an empty result. Nothing is shuffled. A very long text takes memory of some 30 times its bytes in its task.
     """
     small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
