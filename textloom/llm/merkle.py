@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._text import small_batches
+from textloom.session import materialise
 
 #: Words in a leaf, and paragraphs in a section that no blank line ends before.
 LEAF_WORDS = 8
@@ -112,17 +114,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
+_EDGES = f"{_OUT}, at int, row_text string, is_last boolean"
+
+
 def _in_order(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a sorted partition but the last, each with the next."""
-    last = None
+    """All rows of a sorted partition but the last, each with the next; then its first and last row with their texts."""
+    at = TaskContext.get().partitionId()
+    first, last = None, None
+
+    def out(rows: list[tuple], ends: list[tuple] = ()) -> pa.RecordBatch:
+        found = _batch([*rows, *((d, *[None] * 6) for d, _, _ in ends)])
+        edge = lambda values, kind: pa.array([None] * len(rows) + values, kind)
+        more = [edge([at] * len(ends), pa.int32()), edge([t for _, t, _ in ends], pa.string()), edge([x for _, _, x in ends], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*found.columns, *more], names=[x.split()[0] for x in _EDGES.split(", ")])
+
     for part in parts:
         rows = []
         for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             now = tree(text)
             if last:
                 rows.append(_row(*last, text, now))
+            else:
+                first = (doc_id, text, False)
             last = (doc_id, text, now)
-        yield _batch(rows)
+        yield out(rows)
+    if last:
+        yield out([], [first, (*last[:2], True)])
 
 
 def _in_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,20 +163,22 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The next document is the next in ascending (doc_id, text), nulls first; after the last comes the first. A null
     text is empty. Every row gives one row, also where ids repeat; a single document is its own next, and an empty
-    table gives an empty result.
+    table gives an empty result. Columns besides these two are not looked at.
 
-    The texts are range-partitioned and sorted once; each partition works on neighbours in a stream. Only a
-    partition's last row needs a row of the next partition: those, one a partition, are joined apart.
+    The texts are range-partitioned and sorted once; each partition works on neighbours in a stream and writes its
+    results, with its first and last text. Only these, two a partition, are joined: the window that says which partition
+    comes next is over numbers of partitions.
     """
     small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(n, "doc_id")
-    main = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(_in_order, _OUT)
-    row = F.struct("doc_id", "text")
-    ends = ranged.groupBy(F.spark_partition_id().alias("at")).agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    # A row for each partition, however large the input; the window over all of them is as small.
+    # Rows of one id, such as null, may go to several partitions by the beginning of their texts.
+    ranged = slim.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    written = materialise(ranged.mapInArrow(_in_order, _EDGES), "merkle")
+    edges = written.filter("at IS NOT NULL")
     order = Window.orderBy("at")
-    following = F.coalesce(F.lead("first.text").over(order), F.first("first.text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    lasts = ends.select("last.doc_id", "last.text", following.alias("following"))
-    return main.unionByName(lasts.mapInArrow(_in_pairs, _OUT))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = edges.filter("is_last").select("at", F.coalesce(F.lead("at").over(order), F.first("at").over(every)).alias("next"))
+    first = edges.filter("NOT is_last").select(F.col("at").alias("next"), F.col("row_text").alias("following"))
+    lasts = edges.filter("is_last").join(following, "at").join(first, "next").select("doc_id", F.col("row_text").alias("text"), "following")
+    return written.filter("at IS NULL").drop("at", "row_text", "is_last").unionByName(lasts.mapInArrow(_in_pairs, _OUT))
