@@ -103,10 +103,10 @@ def test_mixed_documents(make, corpus):
     assert words == {s: int(t) for s, t in levels(sizes).items() if int(t)}
 
 
-def test_order_is_by_hash_of_ids(make):
+def test_order_is_by_hash_of_ids_and_texts(make):
     rows = [(i, "w", "s") for i in range(50)]
     found = sorted(mixing.mix(make(rows)).collect(), key=lambda r: r.position if r.position is not None else 2)
-    assert [r.doc_id for r in found] == sorted(range(50), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert [r.doc_id for r in found] == sorted(range(50), key=lambda i: hashlib.md5(f"{i}:{hashlib.md5(b'w').hexdigest()}".encode()).hexdigest())
 
 
 def test_empty_table(make, rows_of):

@@ -11,8 +11,8 @@ from textloom.session import materialise
 #: its end (the mean of the two is 1); both repeat.
 WEIGHTS = (3, 1, 2)
 SCHEDULE = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-#: Shares of the hash order in which a source's cumulative sizes are summed apart.
-BUCKETS = 4096
+#: Rows, about, in each share of the hash order; a source's cumulative sizes are summed apart in them.
+BUCKET_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,14 +58,21 @@ def position(part: Column, start: Column, end: Column) -> Column:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
-    """doc_id, source, size in words, the hash that orders a source's documents, and its bucket."""
+    """doc_id, source, size in words, and the hash that orders a source's documents, of id and text: null ids differ in it."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary")).alias("h"),
         *more,
-    ).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    )
+
+
+def _bucketed(sized: DataFrame, rows: int) -> DataFrame:
+    """sized with bucket: equal ranges of the hash, as many as give BUCKET_ROWS of so many rows."""
+    n = max(1, -(-rows // BUCKET_ROWS))
+    return sized.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n, 32))
 
 
 def _placed(sized: DataFrame, per_bucket: DataFrame, share: float, most: int, weights: tuple[int, ...], schedule: tuple) -> DataFrame:
@@ -92,51 +99,63 @@ def _per_bucket(sized: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken, and position (of its first use, or null).
 
-    size is the number of words (null text: 0). In each source the documents are in order of the MD5 of their ids;
+    size is the number of words (null text: 0). In each source the documents are in order of an MD5 of their ids and texts;
     pass after pass they fill the interval from 0 to the target, each size long, and a document takes what falls into
     it: taken words, of which the last document's may be cut. So a source's taken words are its target, rounded down.
     position is where its first word is asked for by the source's schedule.
 
-    Rows with the same id follow each other by size. A null source is a source, the last. Nulls, ties and repeated rows
+    Rows that are equal in id and text follow each other. A null source is a source, the last. Nulls, ties and repeated rows
     give a row each; an empty table gives an empty result. The order doesn't depend on partitions, so reruns agree.
 
-    Cumulative sizes come from sums of BUCKETS ranges of the hash, and windows within a range, so no task gets a source
-    as a whole.
+    Cumulative sizes come from sums of ranges of the hash, and windows within a range of some BUCKET_ROWS rows, so no task
+    gets a source as a whole.
     """
-    sized = materialise(_sized(docs, id_col, text_col, source_col), "sizes")
+    return _mix(docs, share, most, weights, schedule, id_col, text_col, source_col).drop("h")
+
+
+def mix_in_order(docs: DataFrame) -> DataFrame:
+    """mix(), range-sorted by position; the hash of a document breaks ties, also among those without a position."""
+    return _mix(docs, 1.5, 2, WEIGHTS, SCHEDULE, "doc_id", "text", "source").orderBy("position", "h", "size").drop("h")
+
+
+def _mix(docs: DataFrame, share: float, most: int, weights: tuple[int, ...], schedule: tuple, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    sizes = materialise(_sized(docs, id_col, text_col, source_col), "sizes")
+    sized = _bucketed(sizes, sizes.count())
     placed = _placed(sized, _per_bucket(sized), share, most, weights, schedule)
-    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position")
+    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position", "h")
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = SCHEDULE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of documents, range-sorted by position: a row for each pass that takes the document.
 
     The columns are those of docs. Where a pass takes a part of a text, the row has its first words, joined by a space,
-    and n_chars, where there is such a column, counts those. Documents without words are never asked for.
+    and n_chars, where there is such a column, counts those. Documents without words, null texts among them, are never
+    asked for. A null source is a source; repeated rows count each; an empty table stays empty. Ties in position are broken
+    by the documents' hashes, so the order is the same on reruns.
     The texts are dealt out twice: by range of the hash, and by position.
     """
-    columns = docs.columns
-    per_bucket = materialise(_per_bucket(_sized(docs, id_col, text_col, source_col)), "bucket-sizes")
-    sized = _sized(docs, id_col, text_col, source_col, F.struct(*columns).alias("doc"))
+    columns, rows = docs.columns, docs.count()
+    per_bucket = materialise(_per_bucket(_bucketed(_sized(docs, id_col, text_col, source_col), rows)), "bucket-sizes")
+    sized = _bucketed(_sized(docs, id_col, text_col, source_col, F.struct(*columns).alias("doc")), rows)
     placed = _placed(sized, per_bucket, share, most, weights, schedule).filter("taken > 0")
     # A later pass comes at its own place on the schedule.
     rates = [_cycle([r[i] for r in schedule], F.col("rank")) for i in (0, 1)]
-    uses = placed.select("doc", "size", "taken", "start", "source_size", "target", *[r.alias(f"rate{i}") for i, r in enumerate(rates)], F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))).alias("pass"))
+    uses = placed.select("doc", "h", "size", "taken", "start", "source_size", "target", *[r.alias(f"rate{i}") for i, r in enumerate(rates)], F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))).alias("pass"))
     words = F.least("size", F.col("taken") - F.col("pass") * F.col("size")).cast("int")
     at = position((F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"), F.col("rate0"), F.col("rate1"))
     text = F.col("doc")[text_col]
     part = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words), " ")
     cut = F.when(words < F.col("size"), part)
     changed = {text_col: F.coalesce(cut, text), "n_chars": F.coalesce(F.length(cut).cast("long"), F.col("doc")["n_chars"]) if "n_chars" in columns else None}
-    out = uses.select(at.alias("at"), F.struct(*[(changed[c] if c in changed else F.col("doc")[c]).alias(c) for c in columns]).alias("doc"))
-    return out.orderBy("at").select("doc.*")
+    out = uses.select(at.alias("at"), "h", "pass", F.struct(*[(changed[c] if c in changed else F.col("doc")[c]).alias(c) for c in columns]).alias("doc"))
+    return out.orderBy("at", "h", "pass").select("doc.*")
 
 
 #: The same in DuckDB's SQL, over a table documents.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM {documents}),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM {documents}),
 per_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM per_source),
 weighed AS (SELECT *, CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM ranked),
