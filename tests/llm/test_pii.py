@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -103,5 +104,38 @@ def test_redacted(make, corpus):
     assert pii.redacted(make(corpus)).count() == len(corpus)
 
 
+def test_very_many_spans(make):
+    """100,000 addresses in a text take seconds, to find and to replace."""
+    rows = [(1, " ".join(f"a{i}@b.com" for i in range(100_000))), (2, "call me: phone 555-123-4000 " * 3000)]
+    began = time.time()
+    found = {r.doc_id: r for r in pii.detect(make(rows)).collect()}
+    assert found[1].n_email == 100_000 and found[1].spans == base(rows[0][1])[1]
+    texts = {r.doc_id: r.text for r in pii.redacted(make(rows)).collect()}
+    assert texts[1] == " ".join(["[EMAIL]"] * 100_000)
+    assert time.time() - began < 120
+
+
+def test_replaced_as_stated(make):
+    """Every chosen span gives way to its kind; of overlapping spans the later one is swallowed as far as it is covered."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices(ODD, k=rng.randrange(1, 60)))) for i in range(500)] + [(500, "".join(rng.choices(ODD, k=9000)))]
+    listed = {r.doc_id: r.spans for r in pii.detect(make(rows)).collect()}
+    for r in pii.redacted(make(rows)).collect():
+        text, out, at = rows[r.doc_id][1], "", 0
+        for x in filter(None, listed[r.doc_id].split(",")):
+            kind, s, e = x.split(":")
+            if int(e) > at:
+                out, at = out + text[at : max(int(s), at)] + f"[{kind.upper()}]", int(e)
+        assert r.text == out + text[at:]
+
+
+def test_classifier_goes_by_features(make):
+    """Spans with the same votes are told apart by what they look like."""
+    rows = [(((2, 1, 1, 0), 0.9, 50.0)), ((0, 0, 1, 0), 0.1, 50.0)]
+    w = pii.learn_classifier(rows)
+    logit = lambda f: w[0] + sum(w[2 * k + v] for k, v in enumerate(f) if v)
+    assert logit((2, 1, 1, 0)) > 0 > logit((0, 0, 1, 0))
+
+
 def test_empty_table(make, rows_of):
     assert rows_of(pii.detect(make([]))) == [] and rows_of(pii.redacted(make([]))) == []

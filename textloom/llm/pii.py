@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import bound
 from textloom.session import materialise
 
 #: The kinds, in the order in which equal starts are listed.
@@ -22,8 +24,10 @@ CARD = rf"(?<![0-9{GAP}])[0-9](?:{GAP}?[0-9]){{11,18}}(?![0-9{GAP}])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An IP part of at most 255.
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Looser candidates: mail addresses written out, and phone numbers without a country code.
+#: Looser candidates: mail addresses and hosts written out, card numbers with other separators, and phone numbers without a country code.
 LOOSE_EMAIL = r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}){1,8}"
+LOOSE_IP = r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| ?\[dot\] ?)[0-9]{1,3}){3}(?![0-9.])"
+LOOSE_CARD = r"(?<![0-9./_-])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./_-])"
 LOOSE_PHONE = r"(?<![0-9A-Za-z+.)(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
 #: Gazetteers: what is known at the beginning or end of such data.
 KNOWN = {
@@ -40,24 +44,50 @@ NEAR = {
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|contact|telefon|téléphone|teléfono)\b",
 }
 CONTEXT = 30
-_NONE = "array<struct<s:int,e:int,m:string>>"
+_NONE = "array<struct<s:int,e:int,m:string,near:string>>"
+#: Values that are added up in one go, see before_each(); and characters in the pieces of a text that are cut apart.
+BLOCK, PIECE = 256, 4096
+
+
+def before_each(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What an array's earlier values combine to, for each of its values: sums or maxima from 0 on.
+
+    Blocks of BLOCK values are run through apart and moved by what the blocks before them come to, so the arrays that grow
+    step by step stay short, and the work grows about in proportion to the number of values.
+    """
+    empty = F.array().cast("array<long>")
+    state = lambda t, out: F.struct(t.alias("t"), out.alias("out"))
+    run = lambda xs: F.aggregate(xs, state(F.lit(0).cast("long"), empty), lambda acc, x: state(combine(acc["t"], x), F.concat(acc["out"], F.array(acc["t"]))))
+
+    def blocked(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return bound(F.transform(starts, lambda k: run(F.slice(v, k * BLOCK + 1, BLOCK))), merged)
+
+    def merged(blocks: Column) -> Column:
+        totals = run(F.transform(blocks, lambda x: x["t"]))["out"]
+        return F.flatten(F.zip_with(blocks, totals, lambda x, moved: F.transform(x["out"], lambda y: combine(moved, y))))
+
+    return bound(values.cast("array<long>"), lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(empty))
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<s,e,m>>: start, end (exclusive, in code points) and the match.
+    """All matches as array<struct<s,e,m,near>>: start, end (exclusive, in code points), the match, and the CONTEXT characters
+    between the match before and this one that are next to it.
 
     What lies between the matches tells their places. pattern never matches the empty string.
     """
-    between = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, m: F.struct(F.length(a).alias("skip"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["skip"]
-        e = s + F.length(x["m"])
-        more = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], more).alias("out")))
+    def placed(parts: Column) -> Column:
+        before = before_each(F.transform(parts, lambda x: x["skip"] + F.coalesce(F.length(x["m"]), F.lit(0))), lambda a, b: a + b)
+
+        def place(x: Column, at: Column) -> Column:
+            s = (at + x["skip"]).cast("int")
+            return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["near"].alias("near"))
 
-    return F.aggregate(between, start, step, lambda acc: acc["out"])
+        return F.filter(F.zip_with(parts, before, place), lambda x: x["m"].isNotNull())
+
+    part = lambda a, m: F.struct(F.length(a).alias("skip"), F.right(a, F.lit(CONTEXT)).alias("near"), m.alias("m"))
+    return bound(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), part), placed)
 
 
 def digits(m: Column) -> Column:
@@ -80,7 +110,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     dotted = F.regexp_replace(F.translate(text, DOT, "\x01"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     joined = F.regexp_replace(F.translate(text, GAP, "\x01"), r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
     count = lambda m: F.length(digits(m))
-    email = F.transform(spans(dotted, EMAIL), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.translate(x["m"], DOT, ".").alias("m")))
+    email = F.transform(spans(dotted, EMAIL), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.translate(x["m"], DOT, ".").alias("m"), F.translate(x["near"], DOT, ".").alias("near")))
     return {
         "email": _where(F.contains(text, F.lit("@")), email),
         "ip": _where(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), F.filter(spans(text, IP), lambda x: x["m"].rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"))),
@@ -93,6 +123,8 @@ def loose_spans(text: Column) -> dict[str, Column]:
     """Further candidates, by kind."""
     return {
         "email": _where(text.rlike(r"[\[(](?:at|AT)[\])]"), spans(text, LOOSE_EMAIL)),
+        "ip": _where(text.rlike(r"[0-9] ?[\[(](?:\.|dot)[\])] ?[0-9]"), spans(text, LOOSE_IP)),
+        "card": _where(text.rlike(r"[0-9]{4}[./_][0-9]{4}"), F.filter(spans(text, LOOSE_CARD), lambda x: luhn(digits(x["m"])))),
         "phone": _where(text.rlike(r"[0-9]{3}[ .-][0-9]{4}"), spans(text, LOOSE_PHONE)),
     }
 
@@ -128,36 +160,53 @@ def learn_reliability(patterns: dict[tuple[bool, ...], int], rounds: int = 50) -
     return found
 
 
-def learn_classifier(patterns: dict[tuple[bool, ...], int], target: dict[tuple[bool, ...], float], steps: int = 500) -> list[float]:
-    """Logistic regression from votes to EM's probabilities, weighted by counts: a bias and a weight for each vote."""
-    total = sum(patterns.values())
-    n = len(next(iter(patterns), ()))
-    w = [0.0] * (n + 1)
+#: What the classifier sees of a span, none of which a labeler looks at, each 0, 1 or 2: how many groups of digits or
+#: labels it has, how many kinds of separators, how the text goes on before it, and what its last group is like.
+FEATURES = ("groups", "marks", "edge", "tail")
+
+
+def _levels(n: Column, one: int, two: int) -> Column:
+    return F.when(n >= two, 2).when(n >= one, 1).otherwise(0)
+
+
+def _features(x: Column, kind: str) -> dict[str, Column]:
+    parts = F.filter(F.split(x["m"], "[^A-Za-z0-9]+"), lambda p: p != "")
+    marks = sum((F.contains(x["m"], F.lit(c)).cast("int") for c in " .-()[]"), F.lit(0))
+    last = F.length(F.element_at(parts, -1))
+    edge = F.when(x["near"].rlike(r"[:=]\s*$"), 2).when(x["near"].rlike(r"(?:^|\s)$"), 1).otherwise(0)
+    tail = _levels(F.coalesce(last, F.lit(0)), 3, 5) if kind == "email" else _levels(F.coalesce(last, F.lit(0)), 2, 4)
+    return {"groups": _levels(F.size(parts), 3, 5), "marks": _levels(marks, 1, 2), "edge": edge, "tail": tail}
+
+
+def learn_classifier(examples: list[tuple[tuple[int, ...], float, float]], steps: int = 800) -> list[float]:
+    """Logistic regression from features to EM's probabilities. examples: (features, probability, count); a bias, then two weights a feature."""
+    total = sum(c for _, _, c in examples)
+    n = len(examples[0][0])
+    w = [0.0] * (2 * n + 1)
+    active = [([0] + [2 * k + v for k, v in enumerate(f) if v], p, c / total) for f, p, c in examples]
     for _ in range(steps):
         g = [1e-3 * x for x in w]
-        for v, c in patterns.items():
-            p = 1 / (1 + math.exp(-(w[0] + sum(x for x, y in zip(w[1:], v) if y))))
-            e = (p - target[v]) * c / total
-            g[0] += e
-            for k, y in enumerate(v):
-                g[k + 1] += e * y
-        w = [x - 2.0 * y for x, y in zip(w, g)]
+        for at, target, share in active:
+            e = (1 / (1 + math.exp(-sum(w[i] for i in at))) - target) * share
+            for i in at:
+                g[i] += e
+        w = [x - 1.0 * y for x, y in zip(w, g)]
     return w
 
 
-def _voter(text: Column, kind: str, is_base: bool):
-    """A candidate span to its place and the votes of the labelers."""
+def _voter(kind: str, is_base: bool):
+    """A candidate span to its place, the votes of the labelers, and features."""
 
     def votes(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
         return F.struct(
             x["s"].alias("s"),
             F.lit(KINDS.index(kind)).alias("k"),
             x["e"].alias("e"),
             F.lit(is_base).alias("regex"),
             x["m"].rlike(KNOWN[kind]).alias("gazetteer"),
-            before.rlike(NEAR[kind]).alias("context"),
+            x["near"].rlike(NEAR[kind]).alias("context"),
             (F.length(x["m"]).between(6, 64) if kind == "email" else F.length(digits(x["m"])) >= 7).alias("shape"),
+            *[c.cast("int").alias(name) for name, c in _features(x, kind).items()],
         )
 
     return votes
@@ -165,7 +214,7 @@ def _voter(text: Column, kind: str, is_base: bool):
 
 def _found(text: Column) -> Column:
     """All candidates of a text with their votes, in order."""
-    parts = [F.transform(found, _voter(text, kind, is_base)) for is_base, group in ((True, base_spans(text)), (False, loose_spans(text))) for kind, found in group.items()]
+    parts = [F.transform(found, _voter(kind, is_base)) for is_base, group in ((True, base_spans(text)), (False, loose_spans(text))) for kind, found in group.items()]
     return F.array_sort(F.concat(*parts))
 
 
@@ -185,19 +234,26 @@ def _listing(found: Column) -> Column:
 
 
 Classifiers = dict[int, list[float]]
+#: A place behind every text.
+FAR = 1 << 40
 
 
 def learn(candidates: DataFrame) -> Classifiers:
-    """For each kind a classifier trained on EM's probabilities. Only counts of vote patterns, at most 2**4 a kind, go to the driver."""
-    exploded = candidates.select(F.explode("found").alias("x")).select("x.k", *[f"x.{v}" for v in LABELERS])
-    counted: dict[int, dict[tuple[bool, ...], int]] = {}
-    for row in exploded.groupBy("k", *LABELERS).count().collect():
-        counted.setdefault(row[0], {})[tuple(row[1:-1])] = row[-1]
+    """For each kind a classifier trained on EM's probabilities.
+
+    Only counts of votes with features, at most 2**4 * 3**4 a kind, go to the driver.
+    """
+    exploded = candidates.select(F.explode("found").alias("x")).select("x.k", *[f"x.{v}" for v in (*LABELERS, *FEATURES)])
+    counted: dict[int, list[tuple[tuple[bool, ...], tuple[int, ...], int]]] = {}
+    for row in exploded.groupBy("k", *LABELERS, *FEATURES).count().collect():
+        counted.setdefault(row[0], []).append((tuple(row[1 : 1 + len(LABELERS)]), tuple(row[1 + len(LABELERS) : -1]), row[-1]))
     out = {}
-    for k, patterns in counted.items():
-        patterns = dict(sorted(patterns.items()))
+    for k, rows in counted.items():
+        patterns: dict[tuple[bool, ...], int] = {}
+        for votes, _, n in sorted(rows):
+            patterns[votes] = patterns.get(votes, 0) + n
         reliability = learn_reliability(patterns)
-        out[k] = learn_classifier(patterns, {v: reliability.posterior(v) for v in patterns})
+        out[k] = learn_classifier([(seen, reliability.posterior(votes), n) for votes, seen, n in sorted(rows)])
     return out
 
 
@@ -207,12 +263,21 @@ def chosen_spans(found: Column, classifiers: Classifiers, threshold: float) -> C
     def probability(x: Column) -> Column:
         out = F.lit(0.0)
         for k, w in sorted(classifiers.items()):
-            logit = sum((F.when(x[v], F.lit(a)).otherwise(0.0) for v, a in zip(LABELERS, w[1:])), F.lit(w[0]))
+            weigh = lambda name, i, w=w: F.when(x[name] == 1, F.lit(w[2 * i + 1])).when(x[name] == 2, F.lit(w[2 * i + 2])).otherwise(0.0)
+            logit = sum((weigh(name, i) for i, name in enumerate(FEATURES)), F.lit(w[0]))
             out = F.when(x["k"] == k, 1 / (1 + F.exp(-logit))).otherwise(out)
         return out
 
-    free = lambda x: ~F.exists(found, lambda b: b["regex"] & (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return F.when(F.size(found) == 0, found).otherwise(F.filter(found, lambda x: x["regex"] | ((probability(x) >= threshold) & free(x))))
+    def free(spans: Column) -> Column:
+        # Spans are in order of their starts. One meets a base span if one before it ends behind its start, or if one after
+        # it starts before its end: the latter is seen from the other side, in the order of ends, by negated places.
+        left = before_each(F.transform(spans, lambda b: F.when(b["regex"], b["e"]).otherwise(0)), F.greatest)
+        right = F.reverse(before_each(F.transform(F.reverse(spans), lambda b: F.when(b["regex"], FAR - b["s"]).otherwise(0)), F.greatest))
+        edges = F.zip_with(left, right, lambda a, b: F.struct(a.alias("until"), (FAR - b).alias("from")))
+        marked = F.zip_with(spans, edges, lambda x, y: F.when(x["regex"] | ((probability(x) >= threshold) & (y["until"] <= x["s"]) & (y["from"] >= x["e"])), x))
+        return F.filter(marked, lambda x: x.isNotNull())
+
+    return F.when(F.exists(found, lambda x: ~x["regex"]), bound(found, free)).otherwise(found)
 
 
 def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,8 +285,8 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
 
     Base spans are the matches of the base patterns and always stay. The labelers (base pattern, gazetteer, context
     words, shape) vote on them and on looser candidates; EM over the counts of vote patterns estimates how reliable each
-    is, a logistic classifier is trained on its probabilities, and candidates that overlap no base span are added
-    from `threshold` on. A null text is empty; every row gives a row, also where ids repeat; an empty table gives
+    is, a logistic classifier of features that no labeler looks at is trained on its probabilities, and candidates that
+    overlap no base span are added from `threshold` on. A null text is empty; every row gives a row, also where ids repeat; an empty table gives
     an empty result.
 
     One pass over the texts writes the candidates, which the rest reads. Nothing is shuffled but counts of vote patterns.
@@ -237,23 +302,37 @@ def detect(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
 def redacted(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets, and n_chars, where there is such a column, counted anew.
 
-    Two passes over the texts, one to learn and one to replace; rows stay where they are and nothing is joined.
-    A null text stays null.
+    One pass over the texts finds the candidates and writes them beside the rows; the other learns from them and replaces.
+    Rows stay where they are and nothing is joined. A null text stays null, repeated rows stay repeated, and an empty
+    table stays empty. Columns of docs may have any names.
     """
     columns = docs.columns
-    classifiers = learn(_candidates(docs.select(F.lit(None).alias("__id"), text_col), "__id", text_col))
-    rows = docs.withColumn("__found", _found(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn("__spans", chosen_spans(F.col("__found"), classifiers, threshold))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), _found(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("found"))
+    rows = materialise(whole, "candidates")
+    old = F.col(f"doc.`{text_col}`")
+    new = F.when(F.size("found") > 0, _replaced(old, chosen_spans(F.col("found"), learn(rows), threshold)))
+    rows = rows.select("doc", new.alias("new"))
+    changed = {text_col: F.coalesce("new", old)}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), F.col("doc.n_chars"))
+    return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
+
+
+def _replaced(text: Column, chosen: Column) -> Column:
+    """text with each span's kind in its place. The text is cut into pieces, so that no place is sought from its beginning."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    kept = lambda a, b: F.substring(F.col(text_col), a + 1, b - a)
 
-    def step(acc: Column, x: Column) -> Column:
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PIECE), F.floor(b / PIECE)
+        return F.substring(F.array_join(F.slice(pieces, (i + 1).cast("int"), (j - i + 1).cast("int")), ""), (a - i * PIECE + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(both: Column) -> Column:
+        pieces, spans = both["pieces"], both["spans"]
+        until = before_each(F.transform(spans, lambda x: x["e"]), F.greatest)
         # Spans of different kinds may overlap; what an earlier one has covered is gone.
-        new = F.struct(x["e"].alias("at"), F.concat(acc["out"], kept(acc["at"], F.greatest(x["s"], acc["at"])), F.element_at(names, x["k"] + 1)).alias("out"))
-        return F.when(x["e"] <= acc["at"], acc).otherwise(new)
+        part = lambda x, at: F.when(x["e"] <= at, "").otherwise(F.concat(between(pieces, at, F.greatest(x["s"], at)), F.element_at(names, x["k"] + 1)))
+        end = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["e"]))
+        return F.concat(F.array_join(F.zip_with(spans, until, part), ""), between(pieces, end, F.length(text)))
 
-    text = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    rows = rows.withColumn("__new", F.when(F.size("__spans") > 0, text))
-    changed = {text_col: F.coalesce("__new", text_col), "n_chars": F.coalesce(F.length("__new").cast("long"), F.col("n_chars")) if "n_chars" in columns else None}
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return bound(F.struct(pieces.alias("pieces"), chosen.alias("spans")), cut)
