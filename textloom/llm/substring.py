@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from textloom.llm._text import Words, rolling, small_batches
 
 #: Text in a chunk, the unit of work, about; and distinct probes in a bucket of the index, about.
 CHUNK_BYTES = 6_000_000
+#: Ranges of doc_id that are weighed to make a chunk.
+FINE = 8
 BUCKET_PROBES = 1_500_000
 #: Bits of a probe's hash. A chance match only costs a window's comparison: windows are compared by WINDOW_BITS bits.
 PROBE_BITS = 48
@@ -54,10 +57,14 @@ class Plan:
     def block(self) -> int:
         return max(1, (self.window + 1) // 2)
 
-    def bucket_edges(self, sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
-        """Where each bucket's share of sorted hashes starts: buckets are equal ranges of the hash."""
-        at = np.arange(self.buckets + 1, dtype=object) * (1 << bits) // self.buckets
-        return np.append(np.searchsorted(sorted_hashes, np.array(list(at[:-1]), np.uint64)), len(sorted_hashes))
+    def cuts(self, sorted_hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that sorted hashes fall into, and where each bucket's share starts, with the end behind the last.
+
+        Buckets are equal ranges of a hash's first 32 bits; only those that the hashes meet are named.
+        """
+        top = sorted_hashes >> np.uint64(bits - 32)
+        found, first = np.unique((top * np.uint64(self.buckets)) >> np.uint64(32), return_index=True)
+        return found.astype(np.int64), np.append(first, len(sorted_hashes))
 
 
 class Chunk:
@@ -104,10 +111,9 @@ class Chunk:
 
 def _rows(chunk: int, plan: Plan, values: np.ndarray, bits: int, *more: np.ndarray) -> pa.Table:
     """A row for each bucket in which the chunk has values: (bucket, chunk, values, more)."""
-    edges = plan.bucket_edges(values, bits)
-    full = np.flatnonzero(np.diff(edges))
-    cut = [(edges[b], edges[b + 1]) for b in full]
-    columns = [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int32()), pa.array([_pack(values[i:j]) if bits < 64 else values[i:j].tobytes() for i, j in cut], pa.binary())]
+    buckets, edges = plan.cuts(values, bits)
+    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    columns = [pa.array(buckets, pa.int32()), pa.array([chunk] * len(cut), pa.int32()), pa.array([_pack(values[i:j]) if bits < 64 else values[i:j].tobytes() for i, j in cut], pa.binary())]
     return pa.table([*columns, *(pa.array([(np.packbits(m[i:j]) if m.dtype == bool else m[i:j]).tobytes() for i, j in cut], pa.binary()) for m in more)], names=["bucket", "chunk", "v", *"pq"[: len(more)]])
 
 
@@ -142,12 +148,14 @@ def _match(table: pa.Table) -> pa.Table:
     return _answers(bucket, chunks, (good & indexed)[inverse], sizes, 0)
 
 
-def _hits(answers: pa.Table, kind: int, edges: np.ndarray) -> np.ndarray:
-    """The answers of one kind, a bit for each of the chunk's values; edges: where each bucket's values start."""
-    rows = sorted((b, f) for b, k, f in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["flags"].to_pylist()) if k == kind)
+def _hits(answers: pa.Table, kind: int, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The answers of one kind, a bit for each of the chunk's values; cuts: of those values."""
+    buckets, edges = cuts
+    mine = answers.filter(pa.compute.equal(answers["kind"], kind))
     out = np.zeros(edges[-1], bool)
-    for b, f in rows:
-        out[edges[b] : edges[b + 1]] = _flags(f, edges[b + 1] - edges[b])
+    at = np.searchsorted(buckets, np.asarray(mine["bucket"].to_numpy(), np.int64))
+    for i, f in zip(at.tolist(), mine["flags"].to_pylist()):
+        out[edges[i] : edges[i + 1]] = _flags(f, int(edges[i + 1] - edges[i]))
     return out
 
 
@@ -168,7 +176,7 @@ def _extend(plan: Plan):
         if not len(table):
             return _rows(0, plan, np.zeros(0, np.uint64), 64, np.zeros(0, np.uint32))
         chunk = Chunk(table, plan)
-        hit = _hits(answers, 0, plan.bucket_edges(chunk.values, PROBE_BITS))
+        hit = _hits(answers, 0, plan.cuts(chunk.values, PROBE_BITS))
         _, _, first, second, _ = _distinct_windows(chunk, hit)
         return _rows(table["chunk"][0].as_py(), plan, first, 64, second.astype("<u4"))
 
@@ -199,9 +207,9 @@ def _remove(plan: Plan):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, plan)
         words = chunk.words
-        hit = _hits(answers, 0, plan.bucket_edges(chunk.values, PROBE_BITS))
+        hit = _hits(answers, 0, plan.cuts(chunk.values, PROBE_BITS))
         starts, inverse, first, _, earliest = _distinct_windows(chunk, hit)
-        repeated = _hits(answers, 1, plan.bucket_edges(first, 64))[inverse]
+        repeated = _hits(answers, 1, plan.cuts(first, 64))[inverse]
         own = np.ones(len(starts), bool)
         own[earliest] = False
         at = starts[repeated | own]
@@ -223,20 +231,41 @@ def _remove(plan: Plan):
     return run
 
 
-def _chunk_numbers(docs: DataFrame, size: int) -> DataFrame:
-    """docs with chunk: ranges of doc_id of about CHUNK_BYTES of text, in order; the nulls are in the last."""
-    n = max(1, -(-size // CHUNK_BYTES))
-    bounds = []
-    if n > 1:
-        shares = [k / n for k in range(1, n)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] or []))
-    edges = np.array(bounds, np.int64)
+def _chunk_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with chunk, and the bytes of their texts. Chunks are ranges of doc_id of about CHUNK_BYTES of text, in order; then those of null ids, by hash of the text.
 
+    Fine ranges of doc_id are weighed, and neighbours put together while they fit. What goes to the driver and back to the
+    tasks is a few numbers for each CHUNK_BYTES of text.
+    """
+    weighed = docs.select("doc_id", F.octet_length("text").alias("bytes"))
+    size, size_null = weighed.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("bytes"))), F.lit(0))).first()
+    fine = FINE * -(-size // CHUNK_BYTES)
+    bounds: list[int] = []
+    if fine > FINE:
+        shares = [k / fine for k in range(1, fine)]
+        ids = weighed.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * fine))).first()[0] or []
+        bounds = sorted(set(ids))
+    context = docs.sparkSession.sparkContext
+    ranges = _numbered(context.broadcast(np.array(bounds, np.int64)))
+    sums = dict(weighed.filter("doc_id IS NOT NULL").groupBy(ranges("doc_id").alias("r")).agg(F.sum("bytes")).collect()) if bounds else {}
+    cuts, total = [], 0
+    for r, bound in enumerate(bounds, 1):
+        here, following = sums.get(r - 1) or 0, sums.get(r) or 0
+        total += here
+        if total + following > CHUNK_BYTES:
+            cuts.append(bound)
+            total = 0
+    chunks = _numbered(context.broadcast(np.array(cuts, np.int64)))
+    of_null = len(cuts) + 1 + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-size_null // CHUNK_BYTES)))).cast("int")
+    return docs.withColumn("chunk", F.when(F.col("doc_id").isNull(), of_null).otherwise(chunks("doc_id"))), size
+
+
+def _numbered(edges):
     @F.pandas_udf("int")
-    def chunk(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), len(edges), np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy())), dtype="int32")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges.value, ids.fillna(0).astype("int64").to_numpy()), dtype="int32")
 
-    return docs.withColumn("chunk", chunk("doc_id"))
+    return number
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +274,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Words are runs of characters other than ASCII white space. A word goes if a window of `window` words that covers
     it also starts earlier: in a smaller doc_id, or before in the same document. Windows are judged on the input.
     kept_sha256 is of the kept words joined by a space. A null or empty text has no words; shorter texts than a window
-    stay whole. Rows with the same doc_id count in order of their texts, null ids as the last; every row gives a row.
+    stay whole. Rows with the same doc_id count in order of their texts; null ids come last, by a hash of their texts where
+    they fill several chunks. Every row gives a row; repeated rows repeat each other. An empty table gives an empty result,
+    and other columns aren't looked at. A text longer than a chunk is one chunk, with memory of some 60 times its bytes.
 
     The texts are dealt out once, to chunks in order of doc_id. Each chunk indexes its non-overlapping blocks and probes
     with every rolling window of a block's length; a probe that meets a block in another place is a hit. Windows around
@@ -255,9 +286,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     small_batches(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, size = _chunk_numbers(slim)
     plan = Plan(window, max(1, -(-size // 6 // BUCKET_PROBES)))
-    chunks = _chunk_numbers(slim, size)
     sent = "bucket int, chunk int, v binary, p binary"
     got = "chunk int, kind int, bucket int, flags binary"
     by_chunk = chunks.groupBy("chunk")
