@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,22 +32,24 @@ IDENTITY_TERMS = [
     ["mujeres", "hombres", "chicas", "chicos"],
     ["musulmanes", "cristianos", "judíos", "ateos"],
 ]
-_SWAP = {term: group[(k + 1) % len(group)] for group in IDENTITY_TERMS for k, term in enumerate(group)}
+_PLACE = {term: (group, k) for group in IDENTITY_TERMS for k, term in enumerate(group)}
 _WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows to learn from, at most (those with the least hashes of their id). vocabulary: features, at most,
-    that set toxic and other rows apart by least_z standard errors; identity terms come on top. fairness weighs the
-    squared change of a score when identity terms are swapped, ridge the squared weights."""
+    """sample: labelled rows to learn from, at most (those with the least hashes of their id). Words and word beginnings that
+    set toxic and other rows of the sample apart by least_z standard errors are features, and all identity terms. swaps:
+    counterfactuals of a row with another term, beside the one without a term. fairness weighs the squared change of a
+    score between them, ridge the squared weights. The fit ends when no weight moves by more than tolerance."""
 
     sample: int = 20_000
-    vocabulary: int = 400
     least_z: float = 4.0
+    swaps: int = 3
     fairness: float = 5.0
     ridge: float = 1e-5
     steps: int = 600
+    tolerance: float = 1e-4
 
 
 #: Lengths of the word beginnings that are features beside whole words; they hold what inflected and compound words share.
@@ -81,41 +84,73 @@ class Vocabulary:
         return out
 
 
-def swapped(found: set[str]) -> set[str]:
-    """The words after every identity term has given way to another of its list."""
-    return {_SWAP.get(w, w) for w in found}
+def counterfactuals(found: set[str], swaps: int) -> tuple[set[str], list[set[str]]]:
+    """The words of a sentence with identity terms, and those of the same sentence with others in their place, or none.
+
+    A sentence without any gets one put in: which one, its words say. Each term gives way to `swaps` others of its list.
+    """
+    mentioned = found & _PLACE.keys()
+    if not mentioned:
+        h = zlib.crc32(" ".join(sorted(found)).encode())
+        group = IDENTITY_TERMS[h % len(IDENTITY_TERMS)]
+        mentioned = {group[h // len(IDENTITY_TERMS) % len(group)]}
+    rest = found - mentioned
+    other = lambda w, j: _PLACE[w][0][(_PLACE[w][1] + j) % len(_PLACE[w][0])]
+    return rest | mentioned, [rest, *(rest | {other(w, j) for w in mentioned} for j in range(1, swaps + 1))]
 
 
 @dataclass(frozen=True)
 class Model:
+    """affected: of the rows learnt from, those on which the penalty acted: a swap changed their features."""
+
     bias: float
     weights: dict[str, float]
+    affected: int = 0
 
     def score(self, text: str | None, vocabulary: Vocabulary | None = None) -> float:
         own = (vocabulary or Vocabulary(set(self.weights))).of(words(text))
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum([self.weights[f] for f in sorted(own)]), -50, 50))))
 
 
-def fit(rows: np.ndarray, others: np.ndarray, label: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
-    """Logistic regression on 0/1 features; others: the rows with swapped identity terms.
+class Sparse:
+    """A matrix of few values: lists of columns for each row, or of (column + 1) with the value's sign, and a scale for each column."""
+
+    def __init__(self, rows: list, scale: np.ndarray):
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        at = np.concatenate([np.zeros(0, np.int64), *map(np.asarray, rows)]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        self.n, self.scale, self.row, self.col = len(rows), scale, np.repeat(np.arange(len(rows)), sizes), np.abs(at) - 1
+        self.value = np.sign(at) * scale[self.col]
+
+    def times(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * u[self.col], self.n)
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * e[self.row], len(self.scale))
 
-    Minimises the mean log loss, plus fairness times the mean squared difference of the two scores (before the
-    logistic function) and ridge times the squared weights, by accelerated gradient steps.
+    def squares(self) -> float:
+        return float((self.value**2).sum()) / max(self.n, 1)
+
+
+def fit(rows: Sparse, changes: Sparse, label: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
+    """Logistic regression on 0/1 features; changes: what a swap of identity terms does to a row's features.
+
+    Minimises the mean log loss, plus fairness times the mean squared change of a score (before the logistic
+    function) and ridge times the squared weights, by accelerated gradient steps.
     """
-    n, k = rows.shape
-    change = others - rows
-    change = change[np.abs(change).sum(1) > 0]
-    m = max(len(change), 1)
-    size = 0.25 * (1 + float((rows**2).sum(1).mean())) + 2 * s.fairness * float((change**2).sum()) / m + 2 * s.ridge
-    w, b = np.zeros(k), 0.0
+    n, m = max(rows.n, 1), max(changes.n, 1)
+    size = 0.25 * (1 + rows.squares()) + 2 * s.fairness * changes.squares() + 2 * s.ridge
+    w, b = np.zeros(len(rows.scale)), 0.0
     u, c, t = w.copy(), b, 1.0
     for _ in range(s.steps):
-        p = 1 / (1 + np.exp(-np.clip(rows @ u + c, -50, 50)))
-        e = (p - label) / max(n, 1)
-        gradient = rows.T @ e + 2 * s.fairness * (change.T @ (change @ u)) / m + 2 * s.ridge * u
+        p = 1 / (1 + np.exp(-np.clip(rows.times(u) + c, -50, 50)))
+        e = (p - label) / n
+        gradient = rows.back(e) + 2 * s.fairness * changes.back(changes.times(u)) / m + 2 * s.ridge * u
         w2, b2, t2 = u - gradient / size, c - e.sum() / size, (1 + (1 + 4 * t * t) ** 0.5) / 2
+        moved = max(np.abs(w2 - w).max(initial=0.0), abs(b2 - b))
         u, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
+        if moved < s.tolerance:
+            break
     return float(b), w
 
 
@@ -128,8 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
     """The model of the labelled rows that aren't held out.
 
     Of several labels of an id the largest counts; rows without an id or label are left out. Without labelled
-    rows, or with one class only, the model knows no words. What goes to the driver is bounded by the settings:
-    the chosen ids, the vocabulary, and for each row its positions in the vocabulary.
+    rows, or with one class only, the model knows no words. A document that repeats with its id counts each time; texts
+    may be null or empty. What goes to the driver is bounded by the sample: the chosen ids, the features that set its rows
+    apart, and for each row its places among them.
     """
     small_batches(docs)
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
@@ -152,33 +188,39 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
     a, b, share = F.col("n1") / positive, F.col("n0") / negative, (F.col("n0") + F.col("n1")) / (positive + negative)
     z = (a - b) / F.sqrt(share * (1 - share) * (1 / positive + 1 / negative))
     counts = rows.mapInArrow(spread, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    apart = counts.filter((share < 1) & ~F.col("word").isin(list(_SWAP))).select("word", F.abs(z).alias("z")).filter(F.col("z") >= s.least_z)
-    strong = {r.word: r.z for r in apart.orderBy(F.desc("z"), "word").limit(s.vocabulary).collect()}
-    vocabulary = sorted(strong) + sorted(_SWAP)
+    apart = counts.filter((share < 1) & ~F.col("word").isin(list(_PLACE))).select("word", F.abs(z).alias("z")).filter(F.col("z") >= s.least_z)
+    strong = {r.word: r.z for r in apart.collect()}
+    vocabulary = sorted(strong) + sorted(_PLACE)
     # The ridge holds back most what is least sure.
-    scale = np.array([strong.get(w, s.least_z) / max(strong.values(), default=1.0) for w in vocabulary], np.float32)
+    scale = np.array([strong.get(w, s.least_z) / max(strong.values(), default=1.0) for w in vocabulary])
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(set(place))
+        at = lambda found: {place[f] + 1 for f in known.of(found)}
         for part in parts:
-            own = [words(t) for t in part.column(1).to_pylist()]
-            at = [[[place[f] for f in known.of(x)] for x in group] for group in (own, [swapped(x) for x in own])]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in at)], names=["y", "x", "swapped"])
-
-    sample = rows.mapInArrow(placed, "y int, x array<int>, swapped array<int>").toPandas()
-    matrices = []
-    for column in ("x", "swapped"):
-        m = np.zeros((len(sample), len(vocabulary)), np.float32)
-        for i, at in enumerate(sample[column]):
-            m[i, at] = 1
-        matrices.append(m * scale)
-    bias, weights = fit(*matrices, (sample["y"].to_numpy() > 0).astype(np.float32), s)
-    return Model(bias, {w: float(x) for w, x in zip(vocabulary, weights * scale) if x})
+            own, changes = [], []
+            for text in part.column(1).to_pylist():
+                found = words(text)
+                mentions, others = counterfactuals(found, s.swaps)
+                before = at(mentions)
+                moves = [[*(after - before), *(-i for i in before - after)] for after in map(at, others)]
+                own.append(sorted(at(found)))
+                changes.append([sorted(x) for x in moves if x])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.list_(pa.int32())))], names=["y", "x", "changes"])
+
+    sample = rows.mapInArrow(placed, "y int, x array<int>, changes array<array<int>>").toPandas()
+    changes = [x for row in sample["changes"] for x in row]
+    bias, weights = fit(Sparse(list(sample["x"]), scale), Sparse(changes, scale), (sample["y"].to_numpy() > 0).astype(float), s)
+    return Model(bias, {w: float(x) for w, x in zip(vocabulary, weights * scale) if x}, sum(len(x) > 0 for x in sample["changes"]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on). A null or empty text scores as the bias alone."""
+    """Per row: doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on).
+
+    A null or empty text scores as the bias alone, and a row with a null id is never held out. Rows are independent: repeated
+    ones repeat their score, and an empty table gives an empty result.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(set(model.weights))
