@@ -52,6 +52,8 @@ class Settings:
     tolerance: float = 1e-4
 
 
+#: Tasks that the bounded sample is dealt out to.
+SAMPLE_PARTS = 32
 #: Lengths of the word beginnings that are features beside whole words; they hold what inflected and compound words share.
 PREFIXES = (4, 5)
 
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     chosen = y.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(slim.join(F.broadcast(chosen), "doc_id").select("y", "text"), "labelled")
+    rows = materialise(slim.join(F.broadcast(chosen), "doc_id").select("y", "text").repartition(SAMPLE_PARTS), "labelled")
     sizes = dict(rows.groupBy(F.col("y") > 0).count().collect())
     positive, negative = sizes.get(True, 0), sizes.get(False, 0)
     if not positive or not negative:
