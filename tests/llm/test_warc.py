@@ -1,5 +1,8 @@
 import base64
+import gzip
 import hashlib
+import random
+import zlib
 
 import pytest
 
@@ -23,6 +26,8 @@ PAGES = [
     (8, "http://f/", "\n\n"),
     (9, "http://g/", "filedesc://x\r\n\r\n\r\n\r\nHTTP/1.1 200"),
     (11, "http://h/", "größe \U0001f600 " * 2000),
+    (13, "filedesc:me", "1 0 x"),
+    (14, "%66iledesc:me", "1 0 x y"),
     (12, "http://i/", "\x00\x01﻿"),
 ]
 
@@ -67,14 +72,51 @@ def test_arc_headers_by_version():
         data = warc.arc_header(version, "f", "2020") + b"\n" + warc.arc_record(version, "http://a/b c", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n") + b"\n\n"
         (r,) = warc.read_arc(data)
         assert (r.url, r.date, r.mime, warc.payload_of(r.content)) == ("http://a/b c", "20200102030405", "text/html", b"body\n")
-        with pytest.raises(ValueError):
-            list(warc.read_arc(data[:-6]))
-        with pytest.raises(ValueError):
-            list(warc.read_arc(data.replace(b"http://a/b%20c", b"http://a/b c")))
-    with pytest.raises(ValueError):
-        list(warc.read_arc(b"http://a 0.0.0.0 2020 text/html 1\na"))
-    with pytest.raises(ValueError):
-        list(warc.read_arc(b"filedesc://f 0.0.0.0 2020 text/plain 6\n7 0 x\n"))
+        said = lambda d: [r if isinstance(r, str) else r.url for r in warc.read_arc(d)]
+        assert said(data[:-6]) == ["record at line 2: ends before its declared length"]
+        # A bad line is reported, and so are those after it up to the next header.
+        bad = said(data.replace(b"http://a/b%20c", b"http://a/b c") + warc.arc_record(version, "http://z", "2020", "text/html", b"z"))
+        assert len(bad) > 1 and bad[-1] == "http://z" and all("no header" in m for m in bad[:-1])
+        assert said(gzip.compress(data)[:-20])[-1].startswith("after line") or said(gzip.compress(data)[:-20])[-1].startswith("record at")
+        latin = warc.arc_record(version, "http://x", "2020", "text/html", b"q").replace(b"http://x", b"http://\xfc")
+        assert said(data + latin)[-1] == "http://ü"
+    assert list(warc.read_arc(b"http://a 0.0.0.0 2020 text/html 1\na"))[0] == "line 1: no header of an ARC record"
+    assert list(warc.read_arc(b"filedesc://f 0.0.0.0 2020 text/plain 6\n7 0 x\n")) == ["line 1: unknown ARC version"]
+
+
+def test_fields_of_records(spark):
+    """The fields that the format asks for, and what isn't an HTTP message."""
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    made = [warc.convert(warc.ArcRecord("http://a", "1.2.3.4", "2020", "text/html", http + b"abc"), 1, None), warc.convert(warc.ArcRecord("http://b", "1.2.3.4", "2021", "text/html", http + b"abc"), 2, (1, "http://a", "2020")), warc.convert(warc.ArcRecord("dns:a", "1.2.3.4", "2020", "text/dns", b"20200101\na. 1 IN A 1.2.3.4"), 3, None)]
+    (first, block), (again, head), (dns, _) = [next(warc.read_warc(m)) for m in made]
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    assert (first["warc-type"], first["warc-payload-digest"], first["warc-block-digest"], block) == ("response", sha(b"abc"), sha(http + b"abc"), http + b"abc")
+    assert (again["warc-type"], again["warc-refers-to"], again["warc-refers-to-target-uri"], again["warc-refers-to-date"]) == ("revisit", first["warc-record-id"], "http://a", "2020-01-01T00:00:00Z")
+    assert (head, again["warc-block-digest"], again["warc-payload-digest"]) == (http, sha(http), sha(b"abc"))
+    assert (dns["warc-type"], dns["content-type"]) == ("resource", "text/dns")
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Each record is a gzip member of its own; files begin with a record that describes them; damage is reported."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, f"http://{i}", "".join(map(chr, random.Random(i).choices(range(0x4E00, 0x9FFF), k=2000)))) for i in range(30)]
+    warc.write_arc(table(spark, rows), f"{tmp_path}/arc")
+    files = [p for p in (tmp_path / "arc").iterdir() if p.name.startswith("part")]
+    assert len(files) >= 8 and all(p.stat().st_size < 40_000 for p in files)
+    (tmp_path / "arc/part-bad.txt").write_bytes(b"nonsense\n\x1f\x8b")
+    errors = warc.convert_archives(spark, f"{tmp_path}/arc", f"{tmp_path}/warc").collect()
+    assert {r.error for r in errors} == {"line 1: no header of an ARC record", "line 2: no header of an ARC record"}
+    for p in (tmp_path / "warc").iterdir():
+        if p.name.startswith("part"):
+            first, *rest = warc.read_warc(p.read_bytes())
+            assert first[0]["warc-type"] == "warcinfo"
+            data, starts = p.read_bytes(), 0
+            while data:  # one member after another
+                d = zlib.decompressobj(31)
+                starts += d.decompress(data)[:5] == b"WARC/"
+                data = d.unused_data
+            assert starts == 1 + len(rest)
+    assert sorted(r.page_id for r in warc.warc_records(spark, f"{tmp_path}/warc").collect()) == list(range(30))
 
 
 def test_dates_of_any_length():
@@ -84,7 +126,7 @@ def test_dates_of_any_length():
 def test_damaged_warc_is_an_error():
     data = warc.convert(warc.ArcRecord("u", "0.0.0.0", "2020", "text/html", b"abc"), 1, None)
     ((fields, block),) = warc.read_warc(data + b"\r\n\r\n")
-    assert block == b"abc" and fields["warc-type"] == "response"
+    assert block == b"abc" and fields["warc-type"] == "resource"
     for bad in (b"x" + data, data[:-1]):
         with pytest.raises(ValueError):
             list(warc.read_warc(bad))

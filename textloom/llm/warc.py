@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,8 +27,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 WARC_BREAK = "\r\n\r\n"
 #: The namespace of record identifiers, which are derived from what a record holds, so that reruns give the same.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "textloom:warc")
-#: Records in an archive file, at most.
-FILE_RECORDS = 2000
+#: Bytes of an archive file, about; a larger record is a file of its own.
+FILE_BYTES = 32 << 20
+#: A gzip member that holds nothing. It may stand between members, and the writer needs something to end a row with.
+NOTHING = gzip.compress(b"", mtime=0)
 
 
 def digest(payload: bytes) -> str:
@@ -47,7 +51,10 @@ def arc_header(version: int, name: str, date: str) -> bytes:
 def arc_record(version: int, url: str, date: str, mime: str, content: bytes) -> bytes:
     """A URL record. Its header line is split at spaces, so those in the URL are escaped."""
     more = " 200 - - 0 -" if version == 2 else ""
-    return f"{url.replace('%', '%25').replace(' ', '%20').replace(chr(10), '%0A').replace(chr(13), '%0D') or '-'} 0.0.0.0 {date} {mime}{more} {len(content)}\n".encode() + content
+    url = url.replace("%", "%25").replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D")
+    if url.startswith("filedesc:"):  # the mark of a version block
+        url = f"%66{url[1:]}"
+    return f"{url or '-'} 0.0.0.0 {date} {mime}{more} {len(content)}\n".encode() + content
 
 
 @dataclass(slots=True)
@@ -59,40 +66,57 @@ class ArcRecord:
     content: bytes
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file after its version block, whose version says which header fields there are.
+def _open(data: bytes) -> io.BufferedIOBase:
+    """A file's bytes as a stream, unpacked member by member where they are compressed."""
+    raw = io.BytesIO(data)
+    return gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw
 
-    A record's content is as long as its header line declares, whatever it holds; blank lines between records are
-    skipped. Header lines with a wrong number of fields or a length beyond the end raise ValueError.
+
+def _decoded(line: bytes) -> str:
+    """UTF-8, or Latin-1 where it isn't that: old crawlers wrote addresses as they came."""
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def read_arc(data: bytes) -> Iterator[ArcRecord | str]:
+    """The records of an ARC file, in a stream; what is wrong with a part of it comes as a message in its place.
+
+    A version block says which header fields there are; others may follow and hold from there on. A record's content is
+    as long as its header line declares, whatever it holds; blank lines between records are skipped. A line that is no
+    header is reported and left out, and reading goes on with the next line. Content that ends early is reported, and
+    ends the file, as does data that can't be unpacked.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, version = 0, 0
-    while at < len(data):
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)]
-        if not line.strip():
-            at = (end if end >= 0 else len(data)) + 1
-            continue
-        fields = line.decode().rstrip("\r").split(" ")
-        if not version:
-            if not fields[0].startswith("filedesc:"):
-                raise ValueError("not an ARC file")
-            version = int(data[end + 1 : data.index(b" ", end + 1)])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
-        names = ARC_FIELDS[version]
-        if len(fields) != len(names):
-            raise ValueError(f"header line with {len(fields)} fields, version {version} has {len(names)}")
-        header = dict(zip(names, fields))
-        length = int(header["length"])
-        content = data[end + 1 : end + 1 + length]
-        if end < 0 or length < 0 or len(content) < length:
-            raise ValueError("a record ends before its declared length")
-        at = end + 1 + length
-        if not fields[0].startswith("filedesc:"):
-            url = header["url"].replace("%0D", "\r").replace("%0A", "\n").replace("%20", " ").replace("%25", "%")
+    stream, version, at = _open(data), 0, 0
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            at += 1
+            fields = _decoded(line).rstrip("\r\n").split(" ")
+            block = fields[0].startswith("filedesc:")
+            # A version block's own line has the fields of the version that its content names; the length is the last.
+            names = ARC_FIELDS.get(version)
+            if not fields[-1].isdecimal() or not (block or (names and len(fields) == len(names))):
+                yield f"line {at}: no header of an ARC record"
+                continue
+            content = stream.read(int(fields[-1]))
+            if len(content) < int(fields[-1]):
+                yield f"record at line {at}: ends before its declared length"
+                return
+            if block:
+                said = content.split(b" ", 1)[0]
+                version = int(said) if said.isdigit() else 0
+                if version not in ARC_FIELDS:
+                    yield f"line {at}: unknown ARC version"
+                continue
+            header = dict(zip(names, fields))
+            url = header["url"].removeprefix("%66iledesc:")
+            url = (header["url"] if url == header["url"] else f"filedesc:{url}").replace("%0D", "\r").replace("%0A", "\n").replace("%20", " ").replace("%25", "%")
             yield ArcRecord("" if url == "-" else url, header["ip"], header["date"], header["mime"], content)
+    except (EOFError, OSError, zlib.error) as e:
+        yield f"after line {at}: {type(e).__name__}"
 
 
 def payload_of(content: bytes) -> bytes:
@@ -120,79 +144,113 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block
 
 
-def convert(arc: ArcRecord, key: int | None, first: int | None) -> bytes:
-    """The WARC record of an ARC record. first: the key of the record whose payload it repeats, or None.
+def _id(key: int | None, url: str, date: str, sum_: str) -> str:
+    return record_id(str(key), url, date, sum_)
+
+
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def convert(arc: ArcRecord, key: int | None, first: tuple[int, str, str] | None) -> bytes:
+    """The WARC record of an ARC record. first: key, URL and ARC date of the record whose payload it repeats, or None.
 
     ARC has no identifiers and digests: both are made from the content. A revisit keeps the HTTP head, not the payload.
+    What is no HTTP message, such as a DNS answer, is a resource of its own type.
     """
     payload = payload_of(arc.content)
-    sum_ = digest(payload)
+    sum_, http = digest(payload), arc.content[:5] == b"HTTP/"
+    block = arc.content if first is None else arc.content[: len(arc.content) - len(payload)]
     fields = [
-        ("WARC-Type", "response" if first is None else "revisit"),
-        ("WARC-Record-ID", record_id(str(key), arc.url, arc.date, sum_)),
+        ("WARC-Type", "revisit" if first else "response" if http else "resource"),
+        ("WARC-Record-ID", _id(key, arc.url, arc.date, sum_)),
         ("WARC-Date", warc_date(arc.date)),
-        ("WARC-Target-URI", arc.url.replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Target-URI", _uri(arc.url)),
         ("WARC-IP-Address", arc.ip),
         ("WARC-Payload-Digest", f"sha1:{sum_}"),
-        ("Content-Type", "application/http; msgtype=response"),
-        # Extension fields: the key of the source row, and what a revisit leaves out.
+        ("WARC-Block-Digest", f"sha1:{digest(block)}"),
+        ("Content-Type", "application/http; msgtype=response" if http else arc.mime),
+        # Extension fields: the key of the source row, and the length of what a revisit leaves out.
         ("X-Source-Key", "" if key is None else str(key)),
         ("X-Payload-Length", str(len(payload))),
     ]
     if first is None:
-        return warc_record(fields, arc.content)
-    head = arc.content[: len(arc.content) - len(payload)]
-    return warc_record([*fields, ("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Key", str(first))], head)
+        return warc_record(fields, block)
+    to, url, date = first
+    refers = [("WARC-Refers-To", _id(to, url, date, sum_)), ("WARC-Refers-To-Target-URI", _uri(url)), ("WARC-Refers-To-Date", warc_date(date))]
+    return warc_record([*fields, ("WARC-Profile", REVISIT_PROFILE), *refers, ("X-Refers-To-Key", str(to))], block)
+
+
+def warcinfo() -> bytes:
+    """The record that a WARC file begins with."""
+    body = b"software: textloom\r\nformat: WARC File Format 1.1\r\n"
+    return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", digest(body))), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], body)
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record; blocks are as long as declared."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or end < 0:
+    """Header fields (names in lower case) and block of each record, in a stream; blocks are as long as declared."""
+    stream = _open(data)
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if line[:5] != b"WARC/":
             raise ValueError("not a WARC record")
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        fields = {}
+        while (line := stream.readline()).strip():
+            k, _, v = _decoded(line).partition(":")
+            fields[k.lower()] = v.strip()
         length = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + length]
+        block = stream.read(length)
         if len(block) < length:
             raise ValueError("a record ends before its declared length")
-        at = end + 4 + length + len(WARC_BREAK)
         yield fields, block
 
 
 # --- On Spark
 
 
-def _write(records: DataFrame, path: str, separator: str) -> None:
-    """Records (binary) as files of at most FILE_RECORDS, compressed. Each ends with the separator of its format."""
-    text = records.select(F.col("record").cast("string").alias("value"))
-    writer = text.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    writer.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def _packed(records: Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]], head: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to whole files of about FILE_BYTES: the head and each record are gzip members of their own."""
+    squeeze = lambda x: gzip.compress(x, 4, mtime=0)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [squeeze(head)], 0
+        for record in records(parts):
+            member = squeeze(record)
+            if size and size + len(member) > FILE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["record"])
+                members, size = [squeeze(head)], 0
+            members.append(member)
+            size += len(member)
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["record"])
+
+    return run
+
+
+def _write(rows: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]], head: bytes, path: str) -> None:
+    """The records of rows as compressed archive files: a row of the writer is a whole file, ended by an empty member."""
+    files = rows.mapInArrow(_packed(records, head), "record binary").select(F.col("record").cast("string").alias("value"))
+    files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, key_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "20240101000000") -> None:
     """pages as ARC files: a URL record with an HTTP response for each row, its key in a header field (null body: empty).
 
-    Every record carries its file's version block before it, so files may be cut anywhere between rows.
+    Null keys and addresses are empty fields; repeated rows are repeated records; an empty table gives no files. Files
+    are cut by their bytes, so large pages make more files, not larger ones.
     """
     small_batches(pages)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = arc_header(version, "pages", date)
+    def records(parts: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for part in parts:
-            out = []
             for key, url, body in zip(*(c.to_pylist() for c in part.columns)):
                 body = (body or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: {'' if key is None else key}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                out.append(block + arc_record(version, url or "", date, "text/html", head + body))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                yield arc_record(version, url or "", date, "text/html", head + body) + b"\n"
 
     slim = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.col(body_col).alias("body"))
-    _write(slim.mapInArrow(run, "record binary"), path, "\n")
+    _write(slim, records, arc_header(version, "pages", date) + b"\n", path)
 
 
 def _key(content: bytes) -> int | None:
@@ -200,51 +258,76 @@ def _key(content: bytes) -> int | None:
     return int(found) if found else None
 
 
+_ARC = ["key", "digest", "size", "url", "ip", "date", "mime", "content", "error"]
+
+
 def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files: key, digest, size (of the payload) and the record's parts."""
+    """The records of ARC files: key, digest, size (of the payload) and the record's parts; or error, what is wrong in a file.
+
+    Files are read whole, up to the 2 GB that a row may have, and unpacked record by record. Damaged parts are rows with
+    an error and nothing else. A folder without files gives no rows.
+    """
+
+    def batch(rows: list[ArcRecord | str]) -> pa.RecordBatch:
+        found = []
+        for r in rows:
+            if isinstance(r, str):
+                found.append((None,) * 8 + (r,))
+            else:
+                payload = payload_of(r.content)
+                found.append((_key(r.content), digest(payload), len(payload), r.url, r.ip, r.date, r.mime, r.content, None))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names=_ARC)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for data in part.column(0):
-                rows = list(read_arc(data.as_py()))
-                for a in range(0, len(rows), 500):
-                    some = rows[a : a + 500]
-                    payloads = [payload_of(r.content) for r in some]
-                    columns = [[_key(r.content) for r in some], [digest(p) for p in payloads], [len(p) for p in payloads], [r.url for r in some], [r.ip for r in some], [r.date for r in some], [r.mime for r in some], [r.content for r in some]]
-                    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "digest", "size", "url", "ip", "date", "mime", "content"])
+                some, size = [], 0
+                for r in read_arc(data.as_py()):
+                    some.append(r)
+                    size += 100 if isinstance(r, str) else len(r.content)
+                    if size > 4 << 20:
+                        yield batch(some)
+                        some, size = [], 0
+                if some:
+                    yield batch(some)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "key long, digest string, size long, url string, ip string, date string, mime string, content binary")
+    return files.mapInArrow(run, "key long, digest string, size long, url string, ip string, date string, mime string, content binary, error string")
 
 
-def convert_archives(spark: SparkSession, source: str, target: str, least: int = 0) -> None:
-    """ARC files below source to WARC files at target.
+def convert_archives(spark: SparkSession, source: str, target: str, least: int = 0) -> DataFrame:
+    """ARC files below source to WARC files at target; returns what was wrong in them: (error, n).
 
     Of records with equal payloads of at least `least` bytes, that with the smallest key stays a response and the
-    others become revisits of it; smaller payloads are all responses. Only digests and keys are compared between files.
-    Records without a key come last and follow each other by URL.
+    others become revisits of it; smaller payloads are all responses. Only digests, keys and addresses are compared between
+    files. Records without a key come last and follow each other by URL.
     """
-    small = materialise(arc_records(spark, source).select("key", "digest", "size", "url"), "digests")
-    first = small.filter(F.col("size") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    small_batches(spark.range(0))
+    small = materialise(arc_records(spark, source).select("key", "digest", "size", "url", "date", "error"), "digests")
+    groups = small.filter((F.col("size") >= least) & F.col("error").isNull()).groupBy("digest")
+    first = groups.agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url", "date"))).alias("first"), F.count("*").alias("n"))
     shared = first.filter("n > 1 and first is not null").select("digest", "first")
     # A payload that thousands share is one row here; its records aren't brought together.
-    role = small.join(shared, "digest").filter("key is null or key <> first").select(F.col("key").alias("k"), F.col("digest").alias("d"), "first").distinct()
-    records = arc_records(spark, source)
+    role = small.join(shared, "digest").filter("key is null or key <> first.key").select(F.col("key").alias("k"), F.col("digest").alias("d"), "first").distinct()
+    records = arc_records(spark, source).filter("error is null")
     joined = records.join(role, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(parts: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for part in parts:
-            out = [convert(ArcRecord(url, ip, date, mime, content), key, one) for key, url, ip, date, mime, content, one in zip(*(c.to_pylist() for c in part.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+            for key, url, ip, date, mime, content, *one in zip(*(c.to_pylist() for c in part.columns)):
+                yield convert(ArcRecord(url, ip, date, mime, content), key, tuple(one) if one[0] is not None else None) + WARC_BREAK.encode()
 
-    _write(joined.select("key", "url", "ip", "date", "mime", "content", "first").mapInArrow(run, "record binary"), target, WARC_BREAK)
+    columns = joined.select("key", "url", "ip", "date", "mime", "content", "first.key", "first.url", "first.date").toDF("key", "url", "ip", "date", "mime", "content", "to", "to_url", "to_date")
+    _write(columns, made, warcinfo() + WARC_BREAK.encode(), target)
+    return small.filter("error is not null").groupBy("error").agg(F.count("*").alias("n"))
 
 
 def warc_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, date and url.
 
-    A response's digest and length are taken from its payload, which must agree with its header.
+    A response's digest and length are taken from its payload, which must agree with its header. Records that describe
+    their file are left out; those whose content is no HTTP message are resources. A folder without files gives no rows.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "url"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -252,7 +335,7 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
     def row(fields: dict[str, str], block: bytes) -> tuple:
         declared, key, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["x-source-key"], fields["warc-type"]
         size, first = int(fields["x-payload-length"]), None
-        if kind == "response":
+        if kind != "revisit":
             payload = payload_of(block)
             if digest(payload) != declared or len(payload) != size:
                 raise ValueError(f"{fields['warc-record-id']}: its payload and header disagree")
@@ -263,9 +346,10 @@ def warc_records(spark: SparkSession, path: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for data in part.column(0):
-                rows = [row(*r) for r in read_warc(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
+                rows = [row(*r) for r in read_warc(data.as_py()) if r[0]["warc-type"] != "warcinfo"]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
 
+    small_batches(spark.range(0))
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string, url string")
 
