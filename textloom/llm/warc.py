@@ -211,7 +211,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _packed(records: Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]], head: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows to whole files of about FILE_BYTES: the head and each record are gzip members of their own."""
-    squeeze = lambda x: gzip.compress(x, 4, mtime=0)
+    squeeze = lambda x: gzip.compress(x, 6, mtime=0)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, size = [squeeze(head)], 0
