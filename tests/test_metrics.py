@@ -1,6 +1,8 @@
 """Metrics against plain restatements."""
 
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -35,13 +37,13 @@ def bleu(hyp, ref):
 
 
 def test_bleu(rows):
-    assert metrics.corpus_bleu(rows, "id", words(F.col("hyp")), words(F.col("ref"))).first().bleu == pytest.approx(bleu(HYP, REF))
+    assert metrics.corpus_bleu(rows, words(F.col("hyp")), words(F.col("ref"))).first().bleu == pytest.approx(bleu(HYP, REF))
 
 
 def test_bleu_of_equal_and_other_texts(spark):
     same = spark.createDataFrame([(1, "a b c d e", "a b c d e")], "id long, hyp string, ref string")
     other = spark.createDataFrame([(1, "a b c d e", "v w x y z")], "id long, hyp string, ref string")
-    score = lambda df: metrics.corpus_bleu(df, "id", words(F.col("hyp")), words(F.col("ref"))).first().bleu
+    score = lambda df: metrics.corpus_bleu(df, words(F.col("hyp")), words(F.col("ref"))).first().bleu
     assert score(same) == pytest.approx(100) and score(other) == 0 and score(same.limit(0)) == 0
 
 
@@ -50,13 +52,31 @@ def test_tokenizers(spark):
     assert row.a == ["Hello", ",", "world", "!", "3.5", "(", "a-b", ")"] and row.b == ["你", "好", "ab", "c"]
 
 
+def test_13a_decodes_entities_and_joins_lines(spark):
+    texts = ["a &amp; b &quot;c&quot; &lt;d", "hyphen-\nated <skipped>line\nend", "1,000.5 a.b 3-4"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, a string").select("i", metrics.tokenize_13a(F.col("a")).alias("a"))
+    assert [r.a for r in rows.orderBy("i").collect()] == [["a", "&", "b", '"', "c", '"', "<", "d"], ["hyphenated", "line", "end"], ["1,000.5", "a", ".", "b", "3", "-", "4"]]
+
+
+def test_zh_splits_punctuation_and_full_width_forms(spark):
+    row = spark.createDataFrame([("他说：「你好」。ok（１２） 3.5",)], "a string").select(metrics.tokenize_zh(F.col("a")).alias("a")).first()
+    assert row.a == ["他", "说", "：", "「", "你", "好", "」", "。", "ok", "（", "１", "２", "）", "3.5"]
+
+
+def chrf_words(text):
+    """Words; a mark at the end, or else at the beginning, is a word of its own."""
+    return [x for w in text.split() for x in (re.fullmatch(r"(?s)(.+)([!-/:-@\[-`{-~])|([!-/:-@\[-`{-~])(.+)|(.+)", w).groups()) if x]
+
+
 def chrf(hyp, ref):
     p, r = [], []
-    for kind, most in (("c", 6), ("w", 2)):
-        of = (lambda t: list("".join(t.split()))) if kind == "c" else metrics._chrf_words
+    for of, most in ((lambda t: list("".join(t.split())), 6), (chrf_words, 2)):
         for n in range(1, most + 1):
-            m = sum(sum((grams(of(h), n) & grams(of(g), n)).values()) for h, g in zip(hyp, ref))
-            a, b = (sum(sum(grams(of(x), n).values()) for x in side) for side in (hyp, ref))
+            m = a = b = 0
+            for h, g in zip(hyp, ref):
+                x, y = grams(of(h), n), grams(of(g), n)
+                m, b = m + sum((x & y).values()), b + sum(y.values())
+                a += sum(x.values()) if y else 0  # a hypothesis isn't counted where its reference has no such n-gram
             if a and b:
                 p.append(m / a)
                 r.append(m / b)
@@ -121,3 +141,28 @@ def test_bootstraps_agree(spark, mode, low, high):
         assert row.n == 200 and row.observed == pytest.approx(0.25) and low <= row.p <= high
     with pytest.raises(ValueError):
         metrics.paired_bootstrap(scores, "pos", "a", "b", 10, "other")
+
+
+def test_wer_of_very_long_texts(spark):
+    """50,000 words, most of them distinct: a word left out, one changed and one more."""
+    ref = [f"w{i}" for i in range(50_000)]
+    hyp = ref[:100] + ref[101:20_000] + ["other"] + ref[20_001:] + ["more"]
+    rows = spark.createDataFrame([(" ".join(hyp), " ".join(ref)), ("a b", "a c"), ("x", None)], "hyp string, ref string")
+    found = metrics.corpus_wer(rows, words(F.col("hyp")), words(F.col("ref"))).first()
+    assert (found.edits, found.ref_words) == (4, 50_002)
+
+
+def test_both_ways_to_count_edits_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(" ".join(rng.choices("abcdefg", k=rng.randrange(0, 30))), " ".join(rng.choices("abcdefg", k=rng.randrange(0, 30)))) for _ in range(100)], "hyp string, ref string")
+    few = metrics.corpus_wer(rows, words(F.col("hyp")), words(F.col("ref"))).first()
+    monkeypatch.setattr(metrics, "FEW_WORDS", 0)
+    assert metrics.corpus_wer(rows, words(F.col("hyp")), words(F.col("ref"))).first() == few
+
+
+def test_evaluate_gives_what_is_asked_for(rows):
+    found = metrics.evaluate(rows.withColumn("comet", F.col("id") / 10), ("bleu", "ter", "comet", "bertscore")).first()
+    assert found.bleu is not None and found.ter is not None and found.comet == pytest.approx(0.3)
+    assert found.chrf is None and found.wer is None and found.bertscore is None
+    with pytest.raises(ValueError):
+        metrics.evaluate(rows, ("rouge",))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.arrays import bound, ngrams
+from textloom.functions.arrays import bound
 from textloom.functions.text import words
 
 #: Fixed values of the published metrics.
@@ -20,45 +20,65 @@ CHRF_CHARS, CHRF_WORDS, CHRF_BETA = 6, 2, 2.0
 TER_SHIFT_WORDS, TER_SHIFT_DISTANCE = 10, 50
 
 
-def tokenize_13a(c: Column) -> Column:
-    """The words of the usual BLEU tokenisation: punctuation comes apart, but not in numbers."""
-    out = F.concat(F.lit(" "), F.regexp_replace(c, "&quot;|&amp;|&lt;|&gt;", " "), F.lit(" "))
-    out = F.regexp_replace(out, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+#: The ranges of characters that stand alone in Chinese text: ideographs, their parts, punctuation and full-width forms.
+ALONE = (
+    ("3400", "4DB5"), ("4E00", "9FA5"), ("9FA6", "9FBB"), ("F900", "FA2D"), ("FA30", "FA6A"), ("FA70", "FAD9"), ("20000", "2A6D6"), ("2F800", "2FA1D"),
+    ("FF00", "FFEF"), ("2E80", "2EFF"), ("3000", "303F"), ("31C0", "31EF"), ("2F00", "2FDF"), ("2FF0", "2FFF"), ("3100", "312F"), ("31A0", "31BF"),
+    ("FE10", "FE1F"), ("FE30", "FE4F"), ("2600", "26FF"), ("2700", "27BF"), ("3200", "32FF"), ("3300", "33FF"),
+)
+#: Entities that are decoded before the words are told apart, one after the other.
+ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def _apart(c: Column) -> Column:
+    """Words, from which punctuation comes apart, but not in numbers."""
+    out = F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
     out = F.regexp_replace(out, r"([^0-9])([\.,])", "$1 $2 ")
     out = F.regexp_replace(out, r"([\.,])([^0-9])", " $1 $2")
     return words(F.regexp_replace(out, r"([0-9])(-)", "$1 $2 "))
 
 
+def tokenize_13a(c: Column) -> Column:
+    """The words of the usual BLEU tokenisation: entities are decoded, words broken at a line's end joined, punctuation comes apart."""
+    out = F.replace(F.replace(F.replace(c, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return _apart(out)
+
+
 def tokenize_zh(c: Column) -> Column:
-    """Han characters as words of their own, the rest as tokenize_13a()."""
-    return tokenize_13a(F.regexp_replace(c, r"([\x{3400}-\x{9fff}\x{f900}-\x{faff}])", " $1 "))
+    """Ideographs and their punctuation as words of their own; from the rest punctuation comes apart."""
+    ranges = "".join(rf"\x{{{a}}}-\x{{{b}}}" for a, b in ALONE)
+    return _apart(F.regexp_replace(F.trim(c), f"([{ranges}])", " $1 "))
 
 
-def _grams(items: Column, order: int) -> Column:
-    """(n, hash) of all n-grams up to an order; 64 bits tell the n-grams of a row apart."""
-    # A lambda with a second parameter would get the position.
-    tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g"))
-    return bound(items, lambda x: F.concat(*[F.transform(ngrams(x, n), tag(n)) for n in range(1, order + 1)]))
+def _bleu_sums(order: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((order, 3), np.int64)
+        for part in parts:
+            seen: dict[str, int] = {}
+            codes = _codes([part.column(k).to_pylist() for k in (0, 1)], lambda ws: np.array([seen.setdefault(w, len(seen)) for w in ws or []], np.uint64))
+            sums += np.array([_gram_matches(*codes, n) for n in range(1, order + 1)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, order + 1), pa.int32()), *(pa.array(sums[:, k]) for k in range(3))], names=["n", "matches", "total", "ref_total"])
 
+    return run
 
-def bleu_counts(rows: DataFrame, key: str, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
-    """(n, matches, total, ref_total): clipped n-gram matches over all rows. key tells rows apart; hyp and ref are arrays of words.
 
-    The n-grams of both sides come out of one pass over the rows, and equal ones of a row meet as hashes.
+def bleu_counts(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
+    """(n, matches, total, ref_total): clipped n-gram matches over all rows; hyp and ref are arrays of words.
+
+    A row holds both sides, so its n-grams are counted where it is, and only sums are shuffled.
     """
-    side = lambda h: lambda x: F.struct(x["n"].alias("n"), x["g"].alias("g"), F.lit(h).alias("h"))
-    both = F.concat(F.transform(_grams(hyp, order), side(1)), F.transform(_grams(ref, order), side(0)))
-    exploded = rows.select(F.col(key).alias("k"), F.explode(both).alias("x")).select("k", "x.n", "x.g", "x.h")
-    counts = exploded.groupBy("k", "n", "g").agg(F.sum("h").alias("a"), F.sum(1 - F.col("h")).alias("b"))
-    return counts.groupBy("n").agg(F.sum(F.least("a", "b")).alias("matches"), F.sum("a").alias("total"), F.sum("b").alias("ref_total"))
+    sums = rows.select(hyp.alias("hyp"), ref.alias("ref")).mapInArrow(_bleu_sums(order), "n int, matches long, total long, ref_total long")
+    return sums.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matches", "total", "ref_total")])
 
 
-def corpus_bleu(rows: DataFrame, key: str, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
+def corpus_bleu(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
     """One row: bleu (0 to 100), bp, sys_len, ref_len and precisions. Zero matches are smoothed by halving for each order that has none.
 
     Where an order has no n-grams at all, or nothing matches, the score is 0. Lengths are the numbers of single words.
     """
-    counts = bleu_counts(rows, key, hyp, ref, order)
+    counts = bleu_counts(rows, hyp, ref, order)
     of = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
     sums = [of(c, n).alias(f"{n}_{c[0]}") for n in range(1, order + 1) for c in ("matches", "total")]
     row = counts.agg(*sums, of("total", 1).alias("sys_len"), of("ref_total", 1).alias("ref_len"))
@@ -74,8 +94,11 @@ def corpus_bleu(rows: DataFrame, key: str, hyp: Column, ref: Column, order: int
     return row.select(scored.alias("bleu"), bp.alias("bp"), "sys_len", "ref_len", F.array(*precisions).alias("precisions"))
 
 
-def _gram_matches(codes: np.ndarray, owner: np.ndarray, side: np.ndarray, n: int) -> tuple[int, int, int]:
-    """Clipped matches and totals of n-grams of codes; owner: the row that each belongs to, side: 0 for hypotheses, 1 for references."""
+def _gram_matches(codes: np.ndarray, owner: np.ndarray, side: np.ndarray, n: int, referred: bool = False) -> tuple[int, int, int]:
+    """Clipped matches and totals of n-grams of codes; owner: the row that each belongs to, side: 0 for hypotheses, 1 for references.
+
+    referred: a row's hypothesis counts only where its reference has n-grams of this order.
+    """
     m = len(codes) - n + 1
     if m <= 0:
         return 0, 0, 0
@@ -89,7 +112,11 @@ def _gram_matches(codes: np.ndarray, owner: np.ndarray, side: np.ndarray, n: int
     a, na = np.unique(h[hyp], return_counts=True)
     b, nb = np.unique(h[~hyp], return_counts=True)
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return int(np.minimum(na[i], nb[j]).sum()), int(hyp.sum()), int((~hyp).sum())
+    total = int(hyp.sum())
+    if referred:
+        rows = owner[:m][whole]
+        total = int(np.isin(rows[hyp], np.unique(rows[~hyp])).sum())
+    return int(np.minimum(na[i], nb[j]).sum()), total, int((~hyp).sum())
 
 
 def _codes(sides: list[list], of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +141,7 @@ def _chrf_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _codes(sides, lambda t: np.array([seen.setdefault(w, len(seen)) for w in _chrf_words(t)], np.uint64))
         for kind, found, most in (("char", chars, CHRF_CHARS), ("word", split, CHRF_WORDS)):
             for n in range(1, most + 1):
-                sums[kind, n] = sums.get((kind, n), 0) + np.array(_gram_matches(*found, n), np.int64)
+                sums[kind, n] = sums.get((kind, n), 0) + np.array(_gram_matches(*found, n, referred=True), np.int64)
     keys = sorted(sums)
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([int(sums[k][c]) for k in keys], pa.int64()) for c in range(3))], names=["kind", "n", "matches", "hyp", "ref"])
 
@@ -135,7 +162,8 @@ def _chrf_words(text: str) -> list[str]:
 def corpus_chrf(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """One row: chrf, chrF++ of a corpus (0 to 100): the F-score, recall counting beta squared times, of mean precision and recall over n-gram orders.
 
-    Rows are counted where they are, by arrays of hashes, and only sums are shuffled. Orders without n-grams on a side are left out.
+    Rows are counted where they are, by arrays of hashes, and only sums are shuffled. A row's hypothesis counts
+    for the orders of which its reference has n-grams; orders without n-grams on a side are left out.
     """
     sums = rows.select(hyp, ref).mapInArrow(_chrf_counts, "kind string, n int, matches long, hyp long, ref long").groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("matches", "hyp", "ref")])
     used = sums.filter("hyp > 0 AND ref > 0")
@@ -144,12 +172,27 @@ def corpus_chrf(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFram
     return means.select(F.coalesce(F.when(F.col("p") + F.col("r") > 0, 100 * (1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r"))), F.lit(0.0)).alias("chrf"))
 
 
+#: Distinct words of a row up to which the engine's own distance of characters is the faster way.
+FEW_WORDS = 1000
+
+
+@F.pandas_udf(T.IntegerType())
+def _edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(list(h), list(r)) if h is not None and r is not None else None for h, r in zip(hyp, ref)], dtype="Int32")
+
+
 def word_edits(hyp: Column, ref: Column) -> Column:
-    """Edits between two arrays of words: distinct words become characters, whose distance the engine has. At most 35,000 distinct words."""
-    known = F.array_distinct(F.concat(hyp, ref))
+    """Edits between two arrays of words, of any length.
+
+    Few distinct words become characters, whose distance the engine has; longer texts go by Arrow to a distance of ids.
+    """
     char = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x33FF), 4, "0")), "UTF-16BE")
-    text = lambda x: bound(known, lambda k: F.array_join(F.transform(x, lambda w: char(k, w)), ""))
-    return F.levenshtein(text(hyp), text(ref))
+    text = lambda known, x: F.array_join(F.transform(x, lambda w: char(known, w)), "")
+    known = F.array_distinct(F.concat(hyp, ref))
+    short = F.size(known) <= FEW_WORDS
+    few = bound(F.when(short, known), lambda k: F.levenshtein(text(k, hyp), text(k, ref)))
+    long = _edits(F.when(~short, hyp), F.when(~short, ref))
+    return F.when(hyp == ref, 0).when(short, few).otherwise(long)
 
 
 def corpus_wer(rows: DataFrame, hyp: Column, ref: Column) -> DataFrame:
@@ -158,6 +201,16 @@ def corpus_wer(rows: DataFrame, hyp: Column, ref: Column) -> DataFrame:
 
 
 def edit_distance(a: list, b: list) -> int:
+    """Edits between two lists; what they begin and end with alike is left out first."""
+    start, most = 0, min(len(a), len(b))
+    while start < most and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < most - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
     row = np.arange(len(b) + 1)
     kinds = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
     y = np.array([kinds[w] for w in b], np.int64)
@@ -172,7 +225,8 @@ def shifted_edits(hyp: list[str], ref: list[str]) -> int:
     """Edits with block shifts: while moving a run of words that the reference has elsewhere saves edits, the best move is made, at the cost of one."""
     now, moves = list(hyp), 0
     cost = edit_distance(now, ref)
-    while cost:
+    # Moves keep the number of words, so edits can't fall below the difference of the lengths.
+    while cost > abs(len(now) - len(ref)):
         best = (0, None)
         at: dict[tuple, list[int]] = {}
         for n in range(1, TER_SHIFT_WORDS + 1):
@@ -206,6 +260,33 @@ def corpus_ter(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame
     return rows.agg(F.sum(edits).alias("edits"), F.sum(F.size(words(F.col(ref)))).alias("ref_words")).withColumn("ter", F.try_divide(F.col("edits") * 100.0, F.col("ref_words")))
 
 
+#: What evaluate() can give; the last two are means of scores that a caller's model has given the rows.
+METRICS = ("bleu", "chrf", "ter", "wer", "comet", "bertscore")
+
+
+def mean_scores(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: the mean of each column of scores over the rows that have one, null where none has."""
+    return rows.agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def evaluate(rows: DataFrame, metrics: tuple[str, ...] = METRICS, hyp: str = "hyp", ref: str = "ref", tokenize: Callable[[Column], Column] = tokenize_13a) -> DataFrame:
+    """One row with a column for each metric: those asked for whose columns are there, null for the others."""
+    if set(metrics) - set(METRICS):
+        raise ValueError(f"unknown metrics {sorted(set(metrics) - set(METRICS))}")
+    given = [m for m in ("comet", "bertscore") if m in metrics and m in rows.columns]
+    parts = {
+        "bleu": lambda: corpus_bleu(rows, tokenize(F.col(hyp)), tokenize(F.col(ref))).select("bleu"),
+        "chrf": lambda: corpus_chrf(rows, hyp, ref),
+        "ter": lambda: corpus_ter(rows, hyp, ref).select("ter"),
+        "wer": lambda: corpus_wer(rows, words(F.col(hyp)), words(F.col(ref))).select("wer"),
+    }
+    # Each part is one row.
+    out = mean_scores(rows, *given) if given else rows.agg(F.count("*").alias("__n"))
+    for name in (m for m in parts if m in metrics):
+        out = out.crossJoin(F.broadcast(parts[name]()))
+    return out.select(*[(F.col(m) if m in out.columns else F.lit(None).cast("double")).alias(m) for m in METRICS])
+
+
 def paired_bootstrap(scores: DataFrame, pos: str, a: str, b: str, replicates: int = 1000, mode: str = "standard", seed: int = 42) -> DataFrame:
     """One row: n, the mean difference b - a, and p.
 

@@ -21,6 +21,33 @@ RUNS = """runs AS (SELECT p_type AS dataset, p_brand AS model, sum(round(p_retai
 LOG = "log AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value AS loss FROM events)"
 HYP = r"""lines AS (SELECT d.doc_id * 1000000 + t.i - 1 AS row_id, list_filter(string_split(d.l[t.i], ' '), lambda x: x <> '') AS r FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, unnest(range(1, len(d.l) + 1)) AS t(i)),
 hyp_ref AS (SELECT row_id, r, list_filter(r, lambda x, i: NOT ends_with(md5(row_id::VARCHAR || ':' || (i - 1)::VARCHAR), '0')) AS h FROM lines WHERE len(r) > 0)"""
+#: The words of the usual BLEU tokenisation, of lines in which "and" is an entity and "the" has a mark before it.
+_APART = r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || {c} || ' ', '([\{{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda x: x <> '')"""
+_SAID = r"""replace(regexp_replace(regexp_replace(array_to_string({c}, ' '), '\band\b', '&amp;', 'g'), '\bthe\b', '、the', 'g'), '&amp;', '&')"""
+TOKENS_13A = f"(SELECT row_id, {_APART.format(c=_SAID.format(c='h'))} AS h, {_APART.format(c=_SAID.format(c='r'))} AS r FROM hyp_ref)"
+
+
+def bleu_sql(rows: str) -> str:
+    return f"""WITH {HYP}, t AS (SELECT * FROM {rows}), g AS (SELECT row_id, n, side, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT row_id, h AS w, 1 AS side FROM t UNION ALL SELECT row_id, r, 0 FROM t) x, range(1, 5) o(n), unnest(range(1, len(w) - n + 2)) u(i)),
+c AS (SELECT row_id, n, g, sum(side) AS a, sum(1 - side) AS b FROM g GROUP BY ALL), m AS (SELECT n, sum(least(a, b)) AS m, sum(a) AS t FROM c GROUP BY 1),
+l AS (SELECT sum(len(h))::BIGINT AS sys_len, sum(len(r))::BIGINT AS ref_len FROM t), b AS (SELECT *, CASE WHEN sys_len >= ref_len THEN 1.0::DOUBLE ELSE exp(1 - ref_len / sys_len::DOUBLE) END AS bp FROM l)
+SELECT round(bp * (SELECT exp(avg(ln(100.0::DOUBLE * m / t))) FROM m), 6) AS bleu, round(bp, 6) AS bp, sys_len, ref_len FROM b"""
+
+
+#: Words from which one mark at the end, or else at the beginning, comes apart; n-grams of characters without white space, and of words.
+CHRF = HYP.replace("lines AS", "WITH lines AS", 1) + r""",
+marks AS (SELECT '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~' AS p),
+s AS (SELECT row_id, r AS w, 0 AS side FROM hyp_ref UNION ALL SELECT row_id, h, 1 FROM hyp_ref),
+items AS (
+  SELECT row_id, side, 'c' AS kind, string_split(array_to_string(w, ''), '') AS x FROM s WHERE len(w) > 0
+  UNION ALL
+  SELECT row_id, side, 'w', flatten(list_transform(w, lambda v: CASE WHEN length(v) > 1 AND contains(p, v[-1]) THEN [v[:-2], v[-1]] WHEN length(v) > 1 AND contains(p, v[1]) THEN [v[1], v[2:]] ELSE [v] END)) FROM s, marks),
+g AS (SELECT row_id, side, kind, n, array_to_string(x[i:i + n - 1], chr(1)) AS g FROM items, range(1, 7) o(n), unnest(range(1, len(x) - n + 2)) u(i) WHERE kind = 'c' OR n <= 2),
+c AS (SELECT row_id, kind, n, g, sum(side) AS a, sum(1 - side) AS b FROM g GROUP BY ALL),
+per_row AS (SELECT row_id, kind, n, sum(least(a, b)) AS m, sum(a) AS a, sum(b) AS b FROM c GROUP BY ALL),
+per_order AS (SELECT kind, n, sum(m) AS m, sum(CASE WHEN b > 0 THEN a ELSE 0 END) AS a, sum(b) AS b FROM per_row GROUP BY ALL),
+f AS (SELECT avg(m / a::DOUBLE) AS p, avg(m / b::DOUBLE) AS r FROM per_order WHERE a > 0 AND b > 0)
+SELECT round(CASE WHEN p + r > 0 THEN 100.0::DOUBLE * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM f"""
 COSINE = "list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE)), lambda s, x: s + x)"
 REQUESTS = "requests AS (SELECT event_id AS request_id, ts, user_id, event_type || ':' || user_id AS key, value AS latency, event_type FROM events), hits AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, request_id) > 1 AS hit FROM requests)"
 
@@ -105,7 +132,23 @@ def _bootstrap(s, d):
 
 def _bleu(s, d):
     rows = _hyp_ref(s, d)
-    return _rounded(metrics.corpus_bleu(rows, "row_id", words(F.col("hyp")), words(F.col("ref"))), "bleu", "bp").drop("precisions")
+    return _rounded(metrics.corpus_bleu(rows, words(F.col("hyp")), words(F.col("ref"))), "bleu", "bp").drop("precisions")
+
+
+def _bleu_13a(s, d):
+    rows = _marked(s, d)
+    return _rounded(metrics.corpus_bleu(rows, metrics.tokenize_13a(F.col("hyp")), metrics.tokenize_13a(F.col("ref"))), "bleu", "bp").drop("precisions")
+
+
+def _marked(s, d):
+    """hyp_ref() with an entity in place of each plain "and", and a mark of Chinese punctuation before each "the"."""
+    odd = lambda c: F.regexp_replace(F.regexp_replace(c, r"\band\b", "&amp;"), r"\bthe\b", "、the")
+    return _hyp_ref(s, d).withColumns({c: odd(F.col(c)) for c in ("hyp", "ref")})
+
+
+def _evaluated(s, d):
+    rows = _hyp_ref(s, d).withColumn("comet", F.length("hyp") / F.length("ref"))
+    return _rounded(metrics.evaluate(rows, ("ter", "wer", "comet")), "ter", "wer", "comet").select("ter", "wer", "comet", F.col("bertscore").isNull().alias("no_bertscore"))
 
 
 def _events_folder(s, d) -> DataFrame:
@@ -257,12 +300,16 @@ q AS (SELECT vec_id, list_transform(e, lambda v: greatest(least(round_even(v / s
     ),
     "bleu_corpus": (
         _bleu,
-        f"""WITH {HYP}, g AS (SELECT row_id, n, side, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT row_id, h AS w, 1 AS side FROM hyp_ref UNION ALL SELECT row_id, r, 0 FROM hyp_ref) x, range(1, 5) t(n), unnest(range(1, len(w) - n + 2)) u(i)),
-c AS (SELECT row_id, n, g, sum(side) AS a, sum(1 - side) AS b FROM g GROUP BY ALL), m AS (SELECT n, sum(least(a, b)) AS m, sum(a) AS t FROM c GROUP BY 1),
-l AS (SELECT sum(len(h))::BIGINT AS sys_len, sum(len(r))::BIGINT AS ref_len FROM hyp_ref), b AS (SELECT *, CASE WHEN sys_len >= ref_len THEN 1.0::DOUBLE ELSE exp(1 - ref_len / sys_len::DOUBLE) END AS bp FROM l)
-SELECT round(bp * (SELECT exp(avg(ln(100.0::DOUBLE * m / t))) FROM m), 6) AS bleu, round(bp, 6) AS bp, sys_len, ref_len FROM b""",
+        bleu_sql("hyp_ref"),
+    ),
+    "bleu_13a": (_bleu_13a, bleu_sql(TOKENS_13A)),
+    "chrf_corpus": (lambda s, d: _rounded(metrics.corpus_chrf(_hyp_ref(s, d)), "chrf"), CHRF),
+    "ter_corpus": (lambda s, d: _rounded(metrics.corpus_ter(_hyp_ref(s, d)), "ter"), f"WITH {HYP} SELECT sum(len(r) - len(h))::BIGINT AS edits, sum(len(r))::BIGINT AS ref_words, round(sum(len(r) - len(h)) * 100.0::DOUBLE / sum(len(r)), 6) AS ter FROM hyp_ref"),
+    "evaluate_report": (
+        _evaluated,
+        f"""WITH {HYP}, x AS (SELECT r, h, length(array_to_string(h, ' ')) / length(array_to_string(r, ' '))::DOUBLE AS c FROM hyp_ref)
+SELECT round(sum(len(r) - len(h)) * 100.0::DOUBLE / sum(len(r)), 6) AS ter, round(sum(len(r) - len(h)) * 100.0::DOUBLE / sum(len(r)), 6) AS wer, round(avg(c), 6) AS comet, true AS no_bertscore FROM x""",
     ),
-    "chrf_corpus": (lambda s, d: metrics.corpus_chrf(_hyp_ref(s, d)), None),
     "wer_corpus": (
         lambda s, d: _rounded(metrics.corpus_wer(_hyp_ref(s, d), words(F.col("hyp")), words(F.col("ref"))), "wer"),
         # Hypotheses are references without some words, so the edits are the words that are missing.
