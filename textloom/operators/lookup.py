@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import cache_key, term_line
 
-#: Glossaries of at most so many terms go to every task; larger ones are met word by word.
+#: Glossaries of at most so many terms go to every task; larger ones in blocks.
 SMALL_GLOSSARY = 20_000
 
 
@@ -15,7 +15,8 @@ def match_terms(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataF
     """(text columns, term columns) for each term whose source or target a text contains.
 
     terms: term_id, source, target, category. A glossary of checked size is broadcast; containment has no equality to
-    join on, so its terms are tried in each task. Larger glossaries are cut into blocks of that size.
+    join on, so its terms are tried in each task. Larger glossaries are cut into blocks of that size, each of which scans the
+    texts anew: the work is the product of both sides, as it is where any text may hold any term.
     """
     contains = F.contains(F.col(text), F.col("t.source")) | F.contains(F.col(text), F.col("t.target"))
     n = terms.count()

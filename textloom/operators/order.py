@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import materialise
+
 #: Ranges of the hash that are ranked apart.
 RANGES = 256
 
@@ -31,3 +33,20 @@ def ranked(df: DataFrame, order: Column, tie: str, within: list[str] | None = No
     inside = F.row_number().over(Window.partitionBy(*within, "__r").orderBy("__h", tie))
     out = rows.withColumn("__n", inside).join(offsets, same).withColumn(name, (F.col("__n") + F.col("__before")).cast("long"))
     return out.select(*df.columns, name)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """df with the position, from 1 on, in the order of columns, whose values may be spread in any way.
+
+    Equal to row_number() over (order by order), but ranges of the order, as Spark finds them, are numbered apart and moved
+    by the counts before them. The ranges are written once, so all that follows sees the same. Rows equal in all columns
+    of the order may take each other's place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(F.struct("*").alias("row"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).repartitionByRange(parts, *[f"o{i}" for i in range(len(order))])
+    rows = materialise(ranged.withColumn("at", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("at").count()
+    # A row for each range, however large the input.
+    before = counts.select("at", F.coalesce(F.sum("count").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("at").orderBy(*[f"o{i}" for i in range(len(order))]))
+    return rows.withColumn("inside", inside).join(F.broadcast(before), "at").select("row.*", (F.col("inside") + F.col("before")).cast("long").alias(name))

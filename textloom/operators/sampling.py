@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.scores import fallback_similarity, length_group, sampler_difficulty
 from textloom.functions.text import word_count
-from textloom.operators.order import ranked, shuffle_key
+from textloom.operators.order import numbered, ranked, shuffle_key
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,8 @@ def with_metadata(pairs: DataFrame, similarity: Column | None = None) -> DataFra
 
 
 def sample_ids(df: DataFrame, order: str = "pair_id") -> DataFrame:
-    """df with id, sample_ and eight digits, by position in the order of a number. Positions are counted by ranges of that order's hash-free rank."""
-    rows = df.withColumn("__k", F.format_string("%016x", F.col(order)))
-    return ranked(rows, F.col("__k"), order, name="__pos").withColumn("id", F.format_string("sample_%08d", F.col("__pos") - 1)).drop("__k", "__pos")
+    """df with id, sample_ and eight digits, by position in the order of a column. Positions are counted in ranges of that order."""
+    return numbered(df, order, name="__pos").withColumn("id", F.format_string("sample_%08d", F.col("__pos") - 1)).drop("__pos")
 
 
 def stratified(df: DataFrame, target: int, order: str = "pair_id") -> DataFrame:
@@ -48,7 +47,8 @@ def stratified(df: DataFrame, target: int, order: str = "pair_id") -> DataFrame:
     best = [F.desc("similarity_score"), F.col(order)]
     strata = df.select("difficulty", "length_group").distinct().agg(F.count("*").alias("__strata"))
     rank = F.row_number().over(Window.partitionBy("difficulty", "length_group").orderBy(*best))
-    rows = df.withColumn("__n", rank).crossJoin(F.broadcast(strata))
+    # No stratum gives more than target rows, which limits each before the exchange.
+    rows = df.withColumn("__n", rank).filter(F.col("__n") <= target).crossJoin(F.broadcast(strata))
     late = F.col("__n") > F.greatest(F.floor(F.lit(target) / F.greatest(F.col("__strata"), F.lit(1))), F.lit(1))
     return rows.withColumn("__late", late).orderBy("__late", *best).limit(target).drop("__n", "__strata", "__late")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import arrays, scores
 from textloom.functions.text import words
 from textloom.operators import analytics, lookup, metrics, sampling, serving, tokens
+from textloom.operators.order import numbered
 from textloom.plans.pairs import HASH, META, PAIRS, VALID, pairs, sql_words
 from textloom.session import fresh_path
 from textloom.sources import adapters
@@ -124,9 +125,8 @@ def _quantized(s, d):
 
 def _bootstrap(s, d):
     rows = adapters.pairs_conversations(table(s, d, "conversations"))
-    from textloom.operators.order import ranked
-
-    scored = ranked(rows.select("pair_id", F.format_string("%016x", "pair_id").alias("o"), (F.length("src") % 100 / 100.0).alias("a"), (F.length("src") % 100 / 100.0 + F.length("tgt") % 7 / 100.0 - 0.02).alias("b")), F.col("o"), "pair_id", name="pos")
+    scored = rows.select("pair_id", (F.length("src") % 100 / 100.0).alias("a"), (F.length("src") % 100 / 100.0 + F.length("tgt") % 7 / 100.0 - 0.02).alias("b"))
+    scored = numbered(scored, "pair_id")
     return _rounded(metrics.paired_bootstrap(scored, "pos", "a", "b", 100), "observed", "p")
 
 

@@ -53,7 +53,7 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = _local_default(spark)
@@ -64,7 +64,10 @@ _defaults: dict[str, str] = {}
 
 
 def _local_default(spark: SparkSession) -> str:
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _defaults:
         made = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, made, True)

@@ -13,13 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Bytes that a task should have at least before a source is dealt out to more of them.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A source of fewer files than there are cores is dealt out to all of them; a large one stays as it is read.
+    """A small source in fewer parts than there are cores is dealt out to all of them; a larger one stays as it is read.
 
-    Small files have one row group, which one task reads; projections and filters still reach the scan.
+    Small files have one row group, which one task reads. What counts is the plan's size, so large sources are never shuffled
+    for this; projections and filters still reach the scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 64) else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * min(cores, 64) else df
 
 
 def pairs_lines(documents: DataFrame) -> DataFrame:
