@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_simhash import classes
 
@@ -57,3 +58,20 @@ def test_stage_reaches_similarity_08(spark, make, rows_of):
     words = [f"w{i}" for i in range(100)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "other", *words[51:]])), (3, " ".join(words[:70] + [f"v{i}" for i in range(30)]))]
     assert rows_of(corpus_pipeline.near_dedup(spark, make(rows), ""), "doc_id") == [(1,), (3,)]
+
+
+def test_sets_that_share_half_a_hash_stay_apart(spark):
+    prints = spark.createDataFrame([(b"x", 5, 1), (b"y", 5, 2), (b"z", 5, 2), (b"w", 6, 1)], "doc_id binary, node long, check long")
+    nodes = {bytes(r.doc_id): r.node for r in jaccard._apart(prints).collect()}
+    assert nodes[b"y"] == nodes[b"z"] != nodes[b"x"] == 5 and nodes[b"w"] == 6
+
+
+def test_no_similar_pair_is_excluded(spark):
+    rng = random.Random(6)
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 300))], np.uint64)) for _ in range(20)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * q)], np.array([rng.getrandbits(64) for _ in range(int(len(s) * (1 - q)))], np.uint64)])) for s in sets for q in (0.5, 0.88, 0.9, 0.95)]
+    prints = spark.createDataFrame([(i, jaccard._sketch(s) if i % 7 else None) for i, s in enumerate(sets)], "node long, sketch binary")
+    every = [(i, j) for i in range(len(sets)) for j in range(i)]
+    left = {(r.a, r.b) for r in jaccard._not_excluded(spark.createDataFrame(every, "a long, b long"), prints, 80).collect()}
+    alike = {(i, j) for i, j in every if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert alike and alike <= left and len(left) < len(every) / 2

@@ -22,6 +22,8 @@ from textloom.session import materialise
 
 #: Texts counted for the order of shingles, and how many shingles it may put last.
 SAMPLE, LAST = 20_000, 100_000
+#: Cells of a sketch, see _sketch().
+CELLS = 128
 #: Sets a task remembers, so as to pass on the rarest shingles of copies once.
 REMEMBERED = 100_000
 
@@ -43,10 +45,17 @@ def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
                 yield rolling(one[first:last], n) + np.uint64(n) if n else np.zeros(1, np.uint64)
 
 
-def _node(hashes: np.ndarray) -> bytes:
-    """128 bits of hash of a set."""
+def _node(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set, as two signed longs."""
     salts = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-    return b"".join([int(_mixed(np.array([np.sum(_mixed(hashes ^ np.uint64(x)), dtype=np.uint64) + np.uint64(len(hashes))]))[0]).to_bytes(8, "little") for x in salts])
+    a, b = _mixed(np.array([np.sum(_mixed(hashes ^ np.uint64(x)), dtype=np.uint64) + np.uint64(len(hashes)) for x in salts])).view(np.int64).tolist()
+    return a, b
+
+
+def _sketch(hashes: np.ndarray) -> bytes | None:
+    """How many shingles a set has in each of CELLS parts of the hash; None where a number doesn't fit into a byte."""
+    counts = np.bincount(hashes & np.uint64(CELLS - 1), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
 def _rarest(hashes: np.ndarray, last: np.ndarray, rank: np.ndarray, above: int) -> np.ndarray:
@@ -66,14 +75,15 @@ def _rarest(hashes: np.ndarray, last: np.ndarray, rank: np.ndarray, above: int)
 
 def _sets(shingle: int, last: np.ndarray, rank: np.ndarray, above: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for part in parts:
-            nodes, sizes, firsts, new = [], [], [], []
+            nodes, sizes, firsts, sketches, new = [], [], [], [], []
             for i, hashes in enumerate(shingle_sets(part.column(1), shingle)):
                 node = _node(hashes)
                 nodes.append(node)
                 sizes.append(len(hashes))
                 firsts.append(None if node in seen else _rarest(hashes, last, rank, above).view(np.int64))
+                sketches.append(None if node in seen else _sketch(hashes))
                 if node not in seen:
                     new.append(i)
                 if len(seen) < REMEMBERED:
@@ -83,7 +93,8 @@ def _sets(shingle: int, last: np.ndarray, rank: np.ndarray, above: int):
                 at = new[a : a + 500]
                 fps[at] = fingerprint_batch(part.column(1).take(pa.array(at, pa.int64())).to_pylist(), shingle).view(np.int64)
             fp = pa.array(fps, mask=np.array([x is None for x in firsts], bool))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), fp], names=["doc_id", "node", "n", "first", "fp"])
+            halves = [pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *halves, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), fp, pa.array(sketches, pa.binary())], names=["doc_id", "node", "check", "n", "first", "fp", "sketch"])
 
     return run
 
@@ -104,8 +115,8 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     They only set the order of shingles: what is found doesn't depend on them, the number of comparisons does.
     """
     step = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select(F.col("key").alias("node"), "text")
-    counted = some.mapInArrow(_whole_sets(shingle), "node binary, hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
+    some = docs.filter(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select(F.xxhash64("key").alias("node"), "text")
+    counted = some.mapInArrow(_whole_sets(shingle), "node long, hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
     rows = np.array([r.h for r in counted.filter("count > 3").orderBy(F.desc("count"), "h").limit(LAST).collect()], np.int64).view(np.uint64)
     order = np.argsort(rows)
     return rows[order], (len(rows) - np.arange(len(rows)))[order]
@@ -119,10 +130,9 @@ def _keep_shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(part):
             continue
         now = part if before is None else pa.Table.from_batches([before, part]).combine_chunks().to_batches()[0]
-        h, node = now.column(0).to_numpy(), now.column(1)
+        h, node = (now.column(k).to_numpy() for k in (0, 1))
         same = h[1:] == h[:-1]
-        other = pc.not_equal(node.slice(1), node.slice(0, len(node) - 1)).to_numpy(zero_copy_only=False)
-        new = np.concatenate([[True], ~same | other])
+        new = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
         index = np.flatnonzero(new)
         h, same = h[index], h[index][1:] == h[index][:-1]
         paired = np.concatenate([[not alone], same]) | np.concatenate([same, [False]])
@@ -157,13 +167,13 @@ def _by_fingerprint(prints: DataFrame, distance: int) -> DataFrame:
 def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, above: int, distance: int = 3) -> DataFrame:
     """Links (a, b) that connect the same nodes as all pairs of sets of `above` per cent Jaccard similarity or more do.
 
-    docs (key, text); prints (doc_id: key, node, n, first, fp). Fingerprints within `distance` bits give pairs through
+    docs (key, text); prints (doc_id: key, node, n, first, fp, sketch). Fingerprints within `distance` bits give pairs through
     their anchors. Every similar pair also meets at a shingle of both prefixes. First the sets of a shingle are compared
     with the most central of them, and neighbours in that order, so that a cluster of near copies costs a few
     comparisons for each member; then all pairs that these links don't connect.
     """
     rows = prints.filter("first IS NOT NULL").select("node", "n", F.posexplode("first").alias("i", "h")).select("h", "node", "n", "i")
-    shared = materialise(rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_keep_shared, "h long, node binary, n int, i int"), "shared")
+    shared = materialise(rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_keep_shared, "h long, node long, n int, i int"), "shared")
     # An original shares all of its rarest shingles with its copies, and a copy lacks those that were edited.
     part = (F.col("meets") / (F.floor((100 - above) * F.col("n") / 100) + 1)).alias("part")
     central = shared.join(shared.groupBy("node").agg(F.count("*").alias("meets")), "node").select("h", "node", "n", "i", part)
@@ -171,23 +181,50 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, above: int,
     me = F.struct("node", "n", "i")
     near = central.select(me.alias("y"), F.lag(me).over(order).alias("before"), F.first(me).over(order).alias("head"))
     central_pairs = _pairs(near.select("y", F.explode(F.array("before", "head")).alias("x")).filter("x IS NOT NULL"), above)
-    pairs = materialise(_by_fingerprint(prints, distance).union(central_pairs).distinct(), "pairs")
+    pairs = materialise(_not_excluded(_by_fingerprint(prints, distance).union(central_pairs).distinct(), prints, above), "pairs")
     links = _confirmed(docs, prints, pairs, shingle, above)
     placed = shared.join(components(links).withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
     apart = materialise(placed.join(several, "h"), "apart")
     x, y = (apart.select("h", F.col("root").alias(f"root_{c}"), me.alias(c)) for c in "xy")
     crossing = _pairs(x.join(y, "h").filter("root_x < root_y"), above)
-    rest = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = materialise(_not_excluded(crossing.join(pairs, ["a", "b"], "left_anti"), prints, above), "pairs")
     return links.union(_confirmed(docs, prints, rest, shingle, above))
 
 
+def _not_excluded(pairs: DataFrame, prints: DataFrame, above: int) -> DataFrame:
+    """pairs without those that can't be similar enough: two sets share no more in each cell than the one with fewer has there."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            known = pc.and_(pc.is_valid(part.column(2)), pc.is_valid(part.column(3)))
+            open_, part = part.filter(pc.invert(known)), part.filter(known)
+            x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in (2, 3))
+            can = (100 + above) * np.minimum(x, y).sum(1) >= above * (x.sum(1) + y.sum(1))
+            for left in (open_, part.filter(pa.array(can, pa.bool_()))):
+                yield pa.RecordBatch.from_arrays(left.columns[:2], names=["a", "b"])
+
+    sketches = prints.filter("sketch IS NOT NULL").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    x, y = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"of_{c}")) for c in "ab")
+    joined = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "of_a", "of_b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _apart(prints: DataFrame) -> DataFrame:
+    """prints in which sets that only share half of their hash have nodes of their own: a few among 10**11, mostly none."""
+    clash = prints.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least < most").select("node", "least")
+    if clash.isEmpty():
+        return prints
+    other = F.when(F.col("check") > F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return materialise(prints.join(clash, "node", "left").withColumn("node", other).drop("least"), "sets")
+
+
 def _confirmed(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, above: int) -> DataFrame:
     """Those pairs whose sets have `above` per cent Jaccard similarity or more, counted on all shingles."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = prints.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("key"))
     texts = docs.join(keys, "key").dropDuplicates(["key"]).select("node", "text")
-    sets = materialise(texts.mapInArrow(_whole_sets(shingle), "node binary, hashes array<long>"), "sets")
+    sets = materialise(texts.mapInArrow(_whole_sets(shingle), "node long, hashes array<long>"), "sets")
     a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return materialise(pairs.join(a, "a").join(b, "b").filter((100 + above) * both >= above * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "similar")
@@ -204,7 +241,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, above: int = 80, distance: in
     small_batches(docs)
     key = row_key(id_col, text_col).alias("key")
     slim = docs.select(key, F.col(text_col).alias("text"))
-    prints = materialise(slim.mapInArrow(_sets(shingle, *_frequent(slim, shingle), above), "doc_id binary, node binary, n int, first array<long>, fp long"), "sets")
+    prints = materialise(slim.mapInArrow(_sets(shingle, *_frequent(slim, shingle), above), "doc_id binary, node long, check long, n int, first array<long>, fp long, sketch binary"), "sets")
+    prints = _apart(prints)
     roots = components(similar_links(slim, prints, shingle, above, distance))
     ids = docs.select(key, F.col(id_col).cast("long").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rows = prints.select("doc_id", "node").join(ids, F.col("doc_id") == F.col("key")).select("doc_id", "node", "id", "n").distinct()
