@@ -68,7 +68,7 @@ def test_sets_that_share_half_a_hash_stay_apart(spark):
 
 def test_no_similar_pair_is_excluded(spark):
     rng = random.Random(6)
-    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 300))], np.uint64)) for _ in range(20)]
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, rng.choice([300, 4000])))], np.uint64)) for _ in range(20)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * q)], np.array([rng.getrandbits(64) for _ in range(int(len(s) * (1 - q)))], np.uint64)])) for s in sets for q in (0.5, 0.88, 0.9, 0.95)]
     prints = spark.createDataFrame([(i, jaccard._sketch(s) if i % 7 else None) for i, s in enumerate(sets)], "node long, sketch binary")
     every = [(i, j) for i in range(len(sets)) for j in range(i)]

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from textloom.llm._components import components
 from textloom.llm._text import Words, _mixed, batches, rolling, row_key, small_batches
 from textloom.llm.simhash import fingerprint_batch, first_of_each, near_links
-from textloom.session import materialise
+from textloom.session import materialise, scratch
 
 #: Texts counted for the order of shingles, and how many shingles it may put last.
 SAMPLE, LAST = 20_000, 100_000
-#: Cells of a sketch, see _sketch().
-CELLS = 128
+#: Least number of cells of a sketch, and shingles for each cell of a larger one, see _sketch().
+CELLS, LOAD = 128, 4
 #: Sets a task remembers, so as to pass on the rarest shingles of copies once.
 REMEMBERED = 100_000
 
@@ -53,8 +53,12 @@ def _node(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(hashes: np.ndarray) -> bytes | None:
-    """How many shingles a set has in each of CELLS parts of the hash; None where a number doesn't fit into a byte."""
-    counts = np.bincount(hashes & np.uint64(CELLS - 1), minlength=CELLS)
+    """How many shingles a set has in each part of the hash; None where a number doesn't fit into a byte.
+
+    The parts are a power of two, so many that random sets of this size share too few for being similar.
+    """
+    cells = max(CELLS, 1 << (len(hashes) // LOAD).bit_length())
+    counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
@@ -164,8 +168,8 @@ def _by_fingerprint(prints: DataFrame, distance: int) -> DataFrame:
     return same.union(linked).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, above: int, distance: int = 3) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all pairs of sets of `above` per cent Jaccard similarity or more do.
+def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, above: int, distance: int = 3) -> DataFrame:
+    """(node, root) of the nodes that pairs of sets of `above` per cent Jaccard similarity or more connect.
 
     docs (key, text); prints (doc_id: key, node, n, first, fp, sketch). Fingerprints within `distance` bits give pairs through
     their anchors. Every similar pair also meets at a shingle of both prefixes. First the sets of a shingle are compared
@@ -183,24 +187,41 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int, above: int,
     central_pairs = _pairs(near.select("y", F.explode(F.array("before", "head")).alias("x")).filter("x IS NOT NULL"), above)
     pairs = materialise(_not_excluded(_by_fingerprint(prints, distance).union(central_pairs).distinct(), prints, above), "pairs")
     links = _confirmed(docs, prints, pairs, shingle, above)
-    placed = shared.join(components(links).withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
+    roots = materialise(components(links), "roots")
+    placed = shared.join(roots.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
     apart = materialise(placed.join(several, "h"), "apart")
     x, y = (apart.select("h", F.col("root").alias(f"root_{c}"), me.alias(c)) for c in "xy")
     crossing = _pairs(x.join(y, "h").filter("root_x < root_y"), above)
     rest = materialise(_not_excluded(crossing.join(pairs, ["a", "b"], "left_anti"), prints, above), "pairs")
-    return links.union(_confirmed(docs, prints, rest, shingle, above))
+    return _merged(roots, _confirmed(docs, prints, rest, shingle, above))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (a, b) between nodes, of which only their roots are contracted again."""
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    further = components(between)
+    moved = roots.join(further.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return moved.union(further.join(roots, "node", "left_anti").select("node", "root"))
 
 
 def _not_excluded(pairs: DataFrame, prints: DataFrame, above: int) -> DataFrame:
     """pairs without those that can't be similar enough: two sets share no more in each cell than the one with fewer has there."""
 
+    def folded(sketches: pa.Array, cells: int, to: int) -> np.ndarray:
+        return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, cells // to, to).sum(1, dtype=np.uint32)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             known = pc.and_(pc.is_valid(part.column(2)), pc.is_valid(part.column(3)))
             open_, part = part.filter(pc.invert(known)), part.filter(known)
-            x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in (2, 3))
-            can = (100 + above) * np.minimum(x, y).sum(1) >= above * (x.sum(1) + y.sum(1))
+            cells = np.stack([pc.binary_length(part.column(k)).to_numpy() for k in (2, 3)], 1)
+            can = np.zeros(len(part), bool)
+            for both in np.unique(cells, axis=0):
+                at = np.flatnonzero((cells == both).all(1))
+                x, y = (folded(part.column(k).take(pa.array(at)), int(c), int(both.min())) for k, c in zip((2, 3), both))
+                can[at] = (100 + above) * np.minimum(x, y).sum(1, dtype=np.int64) >= above * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))
             for left in (open_, part.filter(pa.array(can, pa.bool_()))):
                 yield pa.RecordBatch.from_arrays(left.columns[:2], names=["a", "b"])
 
@@ -222,12 +243,15 @@ def _apart(prints: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, above: int) -> DataFrame:
     """Those pairs whose sets have `above` per cent Jaccard similarity or more, counted on all shingles."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = prints.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("key"))
-    texts = docs.join(keys, "key").dropDuplicates(["key"]).select("node", "text")
-    sets = materialise(texts.mapInArrow(_whole_sets(shingle), "node long, hashes array<long>"), "sets")
-    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return materialise(pairs.join(a, "a").join(b, "b").filter((100 + above) * both >= above * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "similar")
+    # Written, so that its size is known: where few texts are in doubt, Spark sends their keys to the texts and not all texts around.
+    keys = materialise(prints.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("key")), "keys")
+    texts = docs.join(keys, "key")
+    if not prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["key"])
+    with scratch(texts.select("node", "text").mapInArrow(_whole_sets(shingle), "node long, hashes array<long>"), "sets") as sets:
+        a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        return materialise(pairs.join(a, "a").join(b, "b").filter((100 + above) * both >= above * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "similar")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, above: int = 80, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +267,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, above: int = 80, distance: in
     slim = docs.select(key, F.col(text_col).alias("text"))
     prints = materialise(slim.mapInArrow(_sets(shingle, *_frequent(slim, shingle), above), "doc_id binary, node long, check long, n int, first array<long>, fp long, sketch binary"), "sets")
     prints = _apart(prints)
-    roots = components(similar_links(slim, prints, shingle, above, distance))
+    roots = similar_groups(slim, prints, shingle, above, distance)
     ids = docs.select(key, F.col(id_col).cast("long").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rows = prints.select("doc_id", "node").join(ids, F.col("doc_id") == F.col("key")).select("doc_id", "node", "id", "n").distinct()
     grouped = rows.join(roots, "node", "left").select("doc_id", "id", "n", F.coalesce("root", "node").alias("component_id"))
