@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,13 +83,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    Any executor can read the result again after another is lost, and what follows doesn't recompute df.
+    Any executor can read the result again after another is lost, and what follows doesn't recompute df. In a block of
+    temporary() the table is deleted with the block, unless it stays.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    tables = _tables.get()
+    if tables is not None and not stays:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,5 +107,25 @@ def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
+
+
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """The tables that materialise() writes within the block are deleted at its end, but those that stay."""
+    tables: list[str] = []
+    before = _tables.set(tables)
+    try:
+        yield
+    finally:
+        _tables.reset(before)
+        for path in tables:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
