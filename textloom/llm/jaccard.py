@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from textloom.llm._components import components
 from textloom.llm._text import Words, _mixed, batches, rolling, row_key, small_batches
 from textloom.llm.simhash import fingerprint_batch, first_of_each, near_links
-from textloom.session import materialise, scratch
+from textloom.session import materialise, scratch, temporary
 
 #: Texts counted for the order of shingles, and how many shingles it may put last.
 SAMPLE, LAST = 20_000, 100_000
@@ -260,9 +260,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, above: int = 80, distance: in
     Documents link when the sets of their shingles have a Jaccard similarity of `above` per cent or more; groups are
     what links connect. All such pairs are found, none by chance. The key is 128 bits of hash of the id and text. Of rows
     that are equal in both, one stays. Null texts and those without words are one group. The columns are those of docs;
-    an empty table stays empty.
+    an empty table stays empty. Of what is written on the way, only the keys of the rows that go are left at the end.
     """
     small_batches(docs)
+    with temporary(docs.sparkSession):
+        return _one_of_each(docs, shingle, above, distance, id_col, text_col)
+
+
+def _one_of_each(docs: DataFrame, shingle: int, above: int, distance: int, id_col: str, text_col: str) -> DataFrame:
     key = row_key(id_col, text_col).alias("key")
     slim = docs.select(key, F.col(text_col).alias("text"))
     prints = materialise(slim.mapInArrow(_sets(shingle, *_frequent(slim, shingle), above), "doc_id binary, node long, check long, n int, first array<long>, fp long, sketch binary"), "sets")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm._text import Words, _mixed, batches, rolling, row_key, small_batches
-from textloom.session import materialise
+from textloom.session import materialise, temporary
 
 
 @dataclass(frozen=True)
@@ -136,8 +136,9 @@ def kept_documents(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_i
     Rows are told apart by 128 bits of hash of all that a verdict depends on, so equal rows share theirs.
     """
     key = row_key(id_col, text_col, host_col)
-    verdicts = _judged(docs, rules, key, "binary", text_col, host_col)
-    rejected = materialise(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    with temporary(docs.sparkSession):
+        verdicts = _judged(docs, rules, key, "binary", text_col, host_col)
+        rejected = materialise(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "rejected", stays=True)
     return docs.select(F.struct("*").alias("doc"), key.alias("key")).join(rejected, "key", "left_anti").select("doc.*")
 
 
@@ -157,9 +158,11 @@ def without_common_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str =
     an empty table stays empty.
     """
     key = row_key(id_col, text_col, host_col)
-    verdicts = _judged(docs, rules, key, "binary", text_col, host_col)
-    marked = verdicts.filter("NOT kept OR n_common_words > 0").select(F.col("doc_id").alias("key"), "kept", "common_lines").dropDuplicates(["key"])
-    rows = docs.select(F.struct("*").alias("doc"), key.alias("key")).join(materialise(marked, "marked"), "key", "left").filter(F.coalesce("kept", F.lit(True)))
+    with temporary(docs.sparkSession):
+        verdicts = _judged(docs, rules, key, "binary", text_col, host_col)
+        marked = verdicts.filter("NOT kept OR n_common_words > 0").select(F.col("doc_id").alias("key"), "kept", "common_lines").dropDuplicates(["key"])
+        marked = materialise(marked, "marked", stays=True)
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("key")).join(marked, "key", "left").filter(F.coalesce("kept", F.lit(True)))
     old = F.col(f"doc.{text_col}")
     rows = rows.withColumn("new", _without_lines(F.when(F.col("common_lines").isNotNull(), old), "common_lines"))
     changed = {text_col: F.coalesce("new", old)}

@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
 def first_of_each(docs: DataFrame, grouped: DataFrame, key: Column) -> DataFrame:
     """docs with the first row of each component; grouped (doc_id: key, id, n: rows of that key, component_id) is written already."""
     stays = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("key"))
-    goes = materialise(grouped.select(F.col("doc_id").alias("key")).join(stays, "key", "left_anti"), "dropped")
+    goes = materialise(grouped.select(F.col("doc_id").alias("key")).join(stays, "key", "left_anti"), "dropped", stays=True)
     left = docs.select(F.struct("*").alias("doc"), key).join(goes, "key", "left_anti")
     if not grouped.filter("n > 1").isEmpty():
         left = left.dropDuplicates(["key"])
