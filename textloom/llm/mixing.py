@@ -81,10 +81,11 @@ def _placed(sized: DataFrame, per_bucket: DataFrame, share: float, most: int, we
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
     offsets = offsets.join(of_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    keyed = offsets.withColumnsRenamed({"source": "s", "bucket": "b"})
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(keyed, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("offset") + F.col("within"))
+    # The window and the join are by the same columns without nulls, so rows, texts among them, are dealt out once for both.
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key")
+    inside = Window.partitionBy("key", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.select("*", key).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(offsets.select("*", key).drop("source"), ["key", "bucket"]).withColumn("start", F.col("offset") + F.col("within"))
     quota = F.floor("target")
     taken = sum((F.greatest(F.least(quota - F.col("start") - k * F.col("source_size"), F.col("size")), F.lit(0)) for k in range(most)), F.lit(0))
     rates = [_cycle([r[i] for r in schedule], F.col("rank")) for i in (0, 1)]
