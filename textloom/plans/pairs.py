@@ -148,8 +148,7 @@ def _dynamic(s, d):
 
 def _mixed(s, d):
     rows = pairs(s, d)
-    real, made = rows.filter("pair_id % 2 = 0"), synthetic(rows.filter("pair_id % 2 = 1"))
-    return augment.mix_synthetic(real, made, 0.5).select("pair_id", "is_synthetic")
+    return augment.mix_synthetic(rows, synthetic(rows), 0.5).select("pair_id", "is_synthetic")
 
 
 def _mix_stats(s, d):
@@ -318,12 +317,12 @@ SELECT stage, n, round(l, 6) AS avg_loss, round(w, 6) AS weight, least(floor(w *
     ),
     "mix_synthetic": (
         _mixed,
-        f"""WITH {PAIRS}, r AS (SELECT count(*) AS n FROM pairs WHERE pair_id % 2 = 0), o AS (SELECT pair_id, row_number() OVER (ORDER BY {sql_shuffle('pair_id')}, pair_id) AS rn FROM pairs WHERE pair_id % 2 = 1)
-SELECT pair_id, false AS is_synthetic FROM pairs WHERE pair_id % 2 = 0 UNION ALL SELECT pair_id, true FROM o, r WHERE rn <= floor(n * 0.5::DOUBLE)""",
+        f"""WITH {PAIRS}, r AS (SELECT count(*) AS n FROM pairs), o AS (SELECT pair_id, row_number() OVER (ORDER BY {sql_shuffle('pair_id')}, pair_id) AS rn FROM pairs)
+SELECT pair_id, false AS is_synthetic FROM pairs UNION ALL SELECT pair_id, true FROM o, r WHERE rn <= floor(n * 0.5::DOUBLE)""",
     ),
     "mix_stats": (
         _mix_stats,
-        f"""WITH {PAIRS}, c AS (SELECT count(*) FILTER (pair_id % 2 = 0) AS real, count(*) FILTER (pair_id % 2 = 1) AS other FROM pairs), m AS (SELECT real, least(floor(real * 0.5::DOUBLE)::BIGINT, other) AS synthetic FROM c)
+        f"""WITH {PAIRS}, c AS (SELECT count(*) AS real, count(*) AS other FROM pairs), m AS (SELECT real, least(floor(real * 0.5::DOUBLE)::BIGINT, other) AS synthetic FROM c)
 SELECT real + synthetic AS total, real, synthetic, round(synthetic::DOUBLE / greatest(real, 1), 9) AS ratio FROM m""",
     ),
     "iterative_union": (
