@@ -80,19 +80,19 @@ def batches(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a column of texts (null: none).
+    """The words of a column of texts (null: none), which are maximal runs of bytes other than those of `outside`.
 
     data: all bytes; offsets: where each text starts; starts, ends: byte range of each word;
     first: index of the first word of each text, with the number of words at the end.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, outside: np.ndarray = SPACE):
         raw = [t.encode() if t is not None else b"" for t in texts.to_pylist()]
         self.data = data = np.frombuffer(b"".join(raw), np.uint8)
         self.offsets = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)), out=self.offsets[1:])
         n = len(data)
-        self.inside = inside = ~SPACE[data]
+        self.inside = inside = ~outside[data]
         before = np.zeros(n, bool)
         after = np.zeros(n, bool)
         if n:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, merkle, mixing, pii, quality, simhash, sql, substring, token_counts, toxicity, warc
+from textloom.llm import bpe, chosen_path, divergence, merkle, mixing, periodic, pii, quality, simhash, sql, substring, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,8 +66,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.audited(periodic.collapse_runs(periodic.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The operators in order.
+OPERATORS = (
+    op1_substring_dedup,
+    op2_toxicity,
+    op3_source_mixing,
+    op4_personal_data,
+    op5_simhash,
+    op6_token_counts,
+    op7_merkle_fingerprints,
+    op8_arc_to_warc,
+    op9_bpe_codec,
+    op10_quality_rules,
+    op11_periodic_runs,
+    op12_source_divergence,
+    op13_chosen_path_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_source_mixing, op4_personal_data, op5_simhash, op6_token_counts, op7_merkle_fingerprints, op8_arc_to_warc, op9_bpe_codec, op10_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

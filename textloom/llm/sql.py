@@ -47,9 +47,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (n_common_words > 0 AND (rest < 10 OR rest < 0.3::DOUBLE * n_words)) AS kept, n_common_words FROM judged
 """
 
+# CRC-32 takes eight steps for each byte; the byte is mixed in at the first of them.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384)), 4294967295)"""
+
+# A stretch of words i for which the eight words from i on are found again q words later has period q; it's a run with
+# smallest period q where no stretch of a smaller one covers it. No run has fewer than 24 words.
+PERIODIC = rf"""
+WITH h AS (SELECT doc_id, {WORDS} AS w, {CRC32} AS h FROM documents),
+planted AS (SELECT doc_id, w, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM h),
+e AS (SELECT doc_id, CASE WHEN h % 10 = 0 THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // parts) END]) ELSE w END AS w FROM planted),
+grams AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM e, unnest(range(0, len(w) - 7)) t(i)),
+met AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+stretch AS (
+  SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 8 + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM met)
+  GROUP BY doc_id, q, k HAVING max(i) - min(i) + 8 + q >= greatest(24, 3 * q)),
+run AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.n >= x.s + x.n)),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n::DOUBLE / q DESC, s, q) = 1),
+every AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY 1),
+each AS (SELECT doc_id, t.i, w[t.i + 1] AS word FROM e, unnest(range(0, len(w))) t(i)),
+gone AS (SELECT DISTINCT doc_id, t.i FROM run, unnest(range(s + q, s + n)) t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM e LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_P = "(1 + 1000000000::HUGEINT * ({n} + 2) // ({total} + 2 * v))"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT row_number() OVER () AS doc_id, lang, source, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents)),
+kept AS (SELECT lang, term FROM d GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM d JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, sum(coalesce(total, 0)) OVER (PARTITION BY g.lang) AS every
+  FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY 1) USING (lang)),
+each AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, {_P.format(n="coalesce(n, 0)", total="total")} AS p, {_P.format(n="sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, term)", total="every")} AS q
+  FROM groups g JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM each x JOIN each y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+part AS (
+  SELECT lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM groups g JOIN groups h USING (lang) LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source WHERE g.source <> h.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM each WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM part) WHERE part = 'pair' OR rank <= 10
+"""
+
+# All pairs that share a shingle; the groups of links grow by the least id of a neighbour until nothing changes.
+CHOSEN_PATH = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w),
+kinds AS (SELECT s, len(s) AS n, min(doc_id) AS k FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT k, n, unnest(s) AS g FROM kinds),
+rare AS (SELECT k, n, g FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f, g) AS i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS f FROM grams)) WHERE i <= n - (4 * n + 4) // 5 + 1),
+near AS (SELECT DISTINCT x.k AS a, y.k AS b FROM rare x JOIN rare y ON x.g = y.g AND x.k < y.k AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+links AS (SELECT a, b FROM near JOIN kinds x ON x.k = a JOIN kinds y ON y.k = b WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)),
+paired AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM paired UNION SELECT r.a, l.b FROM reach r JOIN paired l ON r.b = l.a),
+least AS (SELECT a AS k, least(a, min(b)) AS c FROM reach GROUP BY a),
+classes AS (SELECT s, coalesce(c, k) AS c FROM kinds LEFT JOIN least USING (k))
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN classes ON sets.s = classes.s
+"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING,
     "op3_source_mixing": MIX_SQL.format(documents="documents"),
     "op8_arc_to_warc": WARC,
     "op10_quality_rules": QUALITY,
+    "op11_periodic_runs": PERIODIC,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_chosen_path_dedup": CHOSEN_PATH,
 }
