@@ -167,7 +167,7 @@ def test_term_matches_by_target_only_and_in_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "has ziel7q"), (2, "term3q and term29q"), (3, "none")], "id long, text string")
     want = [(1, 7), (2, 3), (2, 29)]
     assert sorted((r.id, r.term_id) for r in lookup.match_terms(texts, terms).collect()) == want
-    monkeypatch.setattr(lookup, "SMALL_GLOSSARY", 7)
+    monkeypatch.setattr(lookup, "MOST_TERMS", 7)
     assert sorted((r.id, r.term_id) for r in lookup.match_terms(texts, terms).collect()) == want
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a series that are smoothed together. What a block starts from fades below the precision of a double in it.
-SMOOTHING_BLOCK = 512
-
+from textloom.operators import scan
+from textloom.operators.quantiles import quantiles
 
 def score_summary(df: DataFrame, value: str) -> DataFrame:
     """One row: mean, median (interpolated), population deviation, minimum and maximum."""
     v = F.col(value)
-    return df.agg(F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    rest = df.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    median = quantiles(df, value, [0.5], [], ["median"])
+    return rest.crossJoin(F.broadcast(median)).select("mean", "median", "std", "low", "high")  # a row each
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -32,11 +33,10 @@ def density(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, *groups: str) -> DataFrame:
     """Per group: q1, median, q3, and the whiskers, the furthest values within 1.5 interquartile ranges of the box."""
-    q = df.groupBy(*groups).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*groups, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = quantiles(df, value, [0.25, 0.5, 0.75], list(groups), ["q1", "median", "q3"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     rows = df.select(*groups, value)
-    rows = rows.join(F.broadcast(q), list(groups)) if groups else rows.crossJoin(F.broadcast(q))
+    rows = rows.join(q, list(groups)) if groups else rows.crossJoin(F.broadcast(q))
     inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
     return rows.groupBy(*groups, "q1", "median", "q3").agg(F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"))
 
@@ -80,9 +80,8 @@ def radar(runs: DataFrame, group: str, quality: str, latency: str, size: str) ->
 
 def pareto(runs: DataFrame, group: str, cost: str, quality: str, tie: str) -> DataFrame:
     """The runs that are better than all cheaper ones of their group."""
-    before = Window.partitionBy(group).orderBy(cost, tie).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.coalesce(F.max(quality).over(before), F.lit(-1.0))
-    return runs.withColumn("__best", best).filter(F.col(quality) > F.col("__best")).drop("__best")
+    rows = scan.prefixes(runs, [group], [cost, tie], __best=("max", quality))
+    return rows.filter(F.col(quality) > F.coalesce("__best", F.lit(-1.0))).drop("__best")
 
 
 def dimension_importance(vectors: DataFrame, vector: str, kind: str = "l1") -> DataFrame:
@@ -160,37 +159,20 @@ def last_status(log: DataFrame, step: str, status: str, at: str) -> DataFrame:
 
 
 def smoothed(series: DataFrame, run: str, step: str, value: str, keep: float = 0.9) -> DataFrame:
-    """(run, step, smoothed): s = keep * s before + (1 - keep) * value, from the first value on; steps count from 1.
-
-    A series is smoothed in blocks, each from the end of the block before; what that one began with no longer shows.
-    So a long series is spread over tasks.
-    """
-    item = F.struct(F.col(step).alias("i"), F.col(value).cast("double").alias("v"))
-    blocks = series.groupBy(F.col(run).alias("run"), F.floor((F.col(step) - 1) / SMOOTHING_BLOCK).alias("b")).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    first = F.col("x")[0]["v"]
-    step_ = lambda s, v: s * keep + v * (1 - keep)
-    ends = blocks.withColumn("end", F.aggregate("x", first, lambda s, e: step_(s, e["v"])))
-    ends = ends.withColumn("before", F.coalesce(F.lag("end").over(Window.partitionBy("run").orderBy("b")), first))
-    none = F.array().cast("array<struct<i:bigint,v:double>>")
-    start = F.struct(F.col("before").alias("s"), none.alias("out"))
-
-    def more(acc: Column, e: Column) -> Column:
-        s = step_(acc["s"], e["v"])
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(e["i"].cast("bigint").alias("i"), s.alias("v")))).alias("out"))
-
-    rows = ends.select("run", F.explode(F.aggregate("x", start, more, lambda acc: acc["out"])).alias("o"))
-    return rows.select(F.col("run").alias(run), F.col("o.i").alias(step), F.col("o.v").alias("smoothed"))
+    """(run, step, smoothed): s = keep * s before + (1 - keep) * value, from the first value on, exactly for any keep; a long series is many tasks' work."""
+    return scan.exponential(series, run, step, value, keep)
 
 
 def running_mean(series: DataFrame, run: str, step: str, value: str) -> DataFrame:
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return series.withColumn("running_mean", F.avg(value).over(w))
+    """series with the mean of all values up to each step; null where there is none."""
+    sums = scan.prefixes(series, [run], [step], inclusive=True, __sum=("sum", value), __n=("count", value))
+    return sums.withColumn("running_mean", F.try_divide("__sum", "__n")).drop("__sum", "__n")
 
 
 def best_so_far(series: DataFrame, run: str, step: str, value: str) -> DataFrame:
     """The rows whose value is less than all before them in their run: where a checkpoint is kept."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return series.withColumn("__best", F.min(value).over(w)).filter(F.col("__best").isNull() | (F.col(value) < F.col("__best"))).drop("__best")
+    rows = scan.prefixes(series, [run], [step], __best=("min", value))
+    return rows.filter(F.col("__best").isNull() | (F.col(value) < F.col("__best"))).drop("__best")
 
 
 def extremes(series: DataFrame, run: str, step: str, value: str) -> DataFrame:
@@ -215,8 +197,13 @@ def spaced_axis(series: DataFrame, run: str, step: str, last: float) -> DataFram
     return series.withColumn("x", F.when(n > 1, (F.col(step) - 1) * F.lit(last) / (n - 1)).otherwise(0.0))
 
 
-def peak_concurrency(requests: DataFrame, start: str, end: str, group: str) -> DataFrame:
-    """(group, peak): how many requests were open at once; one that ends when another starts doesn't count with it."""
-    events = requests.select(group, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    w = Window.partitionBy(group).orderBy("e.at", "e.d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("open", F.sum("e.d").over(w)).groupBy(group).agg(F.max("open").alias("peak"))
+def peak_concurrency(requests: DataFrame, start: str, end: str, *groups: str) -> DataFrame:
+    """(groups, peak): how many requests were open at once; one that ends when another starts doesn't count with it.
+
+    Requests that start or end at one time are one row before anything is ordered, ends before starts.
+    """
+    moment = lambda c, d: F.struct(F.col(c).alias("at"), F.lit(d).alias("d"))
+    events = requests.select(*groups, F.explode(F.array(moment(start, 1), moment(end, -1))).alias("e"))
+    changes = events.groupBy(*groups, F.col("e.at").alias("__at"), F.col("e.d").alias("__d")).agg(F.sum("e.d").alias("__by"))
+    opened = scan.prefixes(changes, list(groups), ["__at", "__d"], inclusive=True, __open=("sum", "__by"))
+    return opened.groupBy(*groups).agg(F.max("__open").alias("peak"))

@@ -8,13 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.order import shuffle_key
+from textloom.operators.order import ranked, shuffle_key
 
 
 def mix_synthetic(real: DataFrame, synthetic: DataFrame, ratio: float, key: str = "pair_id", seed: int = 42) -> DataFrame:
-    """real and floor(real * ratio) synthetic rows, chosen at random, with is_synthetic. Columns are those of real."""
-    need = int(real.count() * ratio)
-    some = synthetic.orderBy(shuffle_key(F.col(key), seed), key).limit(need)
+    """real and floor(real * ratio) synthetic rows, chosen at random, with is_synthetic. Columns are those of real.
+
+    Chosen are the first ranks of a random order, which are counted in ranges of it.
+    """
+    need = real.agg(F.floor(F.count("*") * F.lit(float(ratio))).alias("__need"))
+    placed = ranked(synthetic, shuffle_key(F.col(key), seed), key, name="__rank")
+    some = placed.crossJoin(F.broadcast(need)).filter("__rank <= __need")  # one row
     return real.withColumn("is_synthetic", F.lit(False)).unionByName(some.select(*real.columns).withColumn("is_synthetic", F.lit(True)))
 
 

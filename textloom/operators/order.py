@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.session import materialise
 
-#: Ranges of the hash that are ranked apart.
-RANGES = 256
+#: Hexadecimal digits of the hash by which it's cut into ranges, and how many there are.
+DIGITS = 3
+RANGES = 16**DIGITS
 
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
@@ -23,7 +24,7 @@ def ranked(df: DataFrame, order: Column, tie: str, within: list[str] | None = No
     own task and moved by the sum of the counts before it. Those are at most RANGES for a group.
     """
     within = within or []
-    rows = df.withColumn("__h", order).withColumn("__r", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
+    rows = df.withColumn("__h", order).withColumn("__r", F.conv(F.substring("__h", 1, DIGITS), 16, 10).cast("int"))
     before = Window.partitionBy(*within).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*within, "__r").count()
     offsets = counts.select(*[F.col(c).alias(f"__{c}") for c in within], F.col("__r").alias("__q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))

@@ -50,26 +50,39 @@ def stratified(df: DataFrame, target: int, order: str = "pair_id") -> DataFrame:
     # No stratum gives more than target rows, which limits each before the exchange.
     rows = df.withColumn("__n", rank).filter(F.col("__n") <= target).crossJoin(F.broadcast(strata))
     late = F.col("__n") > F.greatest(F.floor(F.lit(target) / F.greatest(F.col("__strata"), F.lit(1))), F.lit(1))
-    return rows.withColumn("__late", late).orderBy("__late", *best).limit(target).drop("__n", "__strata", "__late")
+    # Ranks of the whole order are counted in ranges of it, so the rows that stay are never one task's.
+    placed = numbered(rows.withColumns({"__late": late, "__worse": F.coalesce(-F.col("similarity_score"), F.lit(float("inf")))}), "__late", "__worse", order, name="__pos")
+    return placed.filter(F.col("__pos") <= target).drop("__n", "__strata", "__late", "__worse", "__pos")
 
 
 def similarity_bucket(similarity: Column, width: float = 0.05) -> Column:
     return F.floor(similarity / width).cast("int")
 
 
-def bucket_capped(df: DataFrame, width: float = 0.05, seed: int = 42, order: str = "pair_id") -> DataFrame:
-    """Of each similarity bucket at most rows // buckets, 1 at least, chosen at random but the same on every run."""
+def bucket_capped(df: DataFrame, width: float = 0.05, seed: int = 42, order: str = "pair_id", refill: int | None = None) -> DataFrame:
+    """Of each similarity bucket at most rows // buckets, 1 at least, chosen at random but the same on every run.
+
+    With refill, and that many rows or more in df, rows that the cap leaves out come back in random order until there are so many.
+    """
     rows = df.withColumn("bucket", similarity_bucket(F.col("similarity_score"), width))
     size = rows.agg(F.count("*").alias("__rows"), F.count_distinct("bucket").alias("__buckets"))
     cap = F.greatest(F.floor(F.col("__rows") / F.greatest(F.col("__buckets"), F.lit(1))), F.lit(1))
     rows = ranked(rows, shuffle_key(F.col(order), seed), order, ["bucket"], "__n")
-    return rows.crossJoin(F.broadcast(size)).filter(F.col("__n") <= cap).drop("__n", "__rows", "__buckets")
-
-
-def high_quality_sample(pairs: DataFrame, rules: SamplerRules = SamplerRules(), similarity: Column | None = None) -> DataFrame:
-    """Prefilter, metadata, quality threshold, strata. The diversity step that may follow refills to the same set, so it is left out."""
+    rows = rows.crossJoin(F.broadcast(size)).withColumn("__kept", F.col("__n") <= cap)
+    if refill is None:
+        return rows.filter("__kept").drop("__n", "__rows", "__buckets", "__kept")
+    # What is kept comes first, the rest after it in its own random order; the first `refill` of that stay, or all that is kept.
+    turn = F.concat(F.when(F.col("__kept"), "0").otherwise("1"), shuffle_key(F.col(order), seed + 1))
+    placed = ranked(rows, turn, order, name="__turn")
+    back = (F.col("__turn") <= refill) & (F.col("__rows") >= refill)
+    return placed.filter(F.col("__kept") | back).drop("__n", "__rows", "__buckets", "__kept", "__turn")
+
+
+def high_quality_sample(pairs: DataFrame, rules: SamplerRules = SamplerRules(), similarity: Column | None = None, diverse: bool = False) -> DataFrame:
+    """Prefilter, metadata, quality threshold, strata; diverse: then a cap for each similarity bucket, refilled to the target."""
     good = with_metadata(prefiltered(pairs, rules), similarity).filter(F.col("similarity_score") >= rules.min_similarity)
-    return stratified(good, rules.target)
+    chosen = stratified(good, rules.target)
+    return bucket_capped(chosen, rules.bucket_width, refill=rules.target).drop("bucket") if diverse else chosen
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -49,8 +49,8 @@ n AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOU
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",
     ),
     "ext_idle_customers": (
-        lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n")),
-        "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1",
+        lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n")),
+        "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') GROUP BY 1",
     ),
     "ext_active_customers": (
         lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n")),

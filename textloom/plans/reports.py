@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arrays, scores
 from textloom.functions.text import words
-from textloom.operators import analytics, lookup, metrics, sampling, serving, tokens
+from textloom.operators import analytics, lookup, metrics, reuse, sampling, serving, tokens
 from textloom.operators.order import numbered
 from textloom.plans.pairs import HASH, META, PAIRS, VALID, pairs, sql_words
 from textloom.session import fresh_path
@@ -51,6 +51,30 @@ f AS (SELECT avg(m / a::DOUBLE) AS p, avg(m / b::DOUBLE) AS r FROM per_order WHE
 SELECT round(CASE WHEN p + r > 0 THEN 100.0::DOUBLE * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM f"""
 COSINE = "list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE)), lambda s, x: s + x)"
 REQUESTS = "requests AS (SELECT event_id AS request_id, ts, user_id, event_type || ':' || user_id AS key, value AS latency, event_type FROM events), hits AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, request_id) > 1 AS hit FROM requests)"
+#: Positions in the log, the use before of the same key, and the different keys in between.
+DISTANCES = f"""{REQUESTS}, u AS (SELECT request_id, key, row_number() OVER (ORDER BY ts, request_id) AS pos FROM requests), b AS (SELECT *, lag(pos) OVER (PARTITION BY key ORDER BY pos) AS before FROM u),
+d AS (SELECT a.request_id, any_value(a.before) AS before, CASE WHEN any_value(a.before) IS NOT NULL THEN count(DISTINCT u.key) END AS distance FROM b a LEFT JOIN u ON u.pos > a.before AND u.pos < a.pos GROUP BY a.request_id)"""
+LRU = """count(*) AS requests, count(*) FILTER (distance < entries) AS hits, count(*) FILTER (distance IS NULL OR distance >= entries) AS misses,
+greatest(count(*) FILTER (distance IS NULL OR distance >= entries) - entries, 0) AS evictions"""
+CAPACITIES = [1, 10, 50, 100, 200, 400, 800]
+#: All events as one series.
+SERIES = "series AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS step, value AS loss FROM events)"
+#: Requests that stay open for some minutes by their value: starts and ends, in microseconds.
+OPEN = "o AS (SELECT event_type, event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + 1 + round(value * 1000)::BIGINT * 60000 AS b FROM events)"
+
+
+def _lru(s, d, capacities):
+    return reuse.lru_curve(reuse.reuse_distances(_requests(s, d), "key", ["ts", "request_id"]), capacities)
+
+
+def _series(s, d):
+    """All events as one series."""
+    return numbered(table(s, d, "events").select("ts", "event_id", F.col("value").alias("loss")), "ts", "event_id", name="step").withColumn("run", F.lit("all"))
+
+
+def _open(s, d, *columns):
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(s, d, "events").select("event_type", *columns, start.alias("a"), (start + 1 + F.round(F.col("value") * 1000).cast("long") * 60000).alias("b"))
 
 
 def _terms(s, d):
@@ -88,8 +112,9 @@ def _prompts(s, d):
 
 
 def _prefixes(s, d):
-    cache = table(s, d, "benchmark").groupBy(F.substring("text", 1, 20).alias("prefix")).agg(F.min("item_id").alias("value"))
-    lines = pairs(s, d).select("pair_id", "src")
+    """Lines against a cache of the beginnings, of 5 to 24 characters, of what follows lines."""
+    lines = pairs(s, d).select("pair_id", "src", "tgt")
+    cache = lines.groupBy(F.expr("substring(tgt, 1, CAST(5 + pair_id % 20 AS INT))").alias("prefix")).agg(F.min("pair_id").alias("value"))
     return lookup.longest_prefix(lines, cache, "pair_id", "src")
 
 
@@ -194,9 +219,14 @@ QUERIES = {
     "cache_exact_lookup": (_exact, "WITH c AS (SELECT md5(text) AS k, min(doc_id) AS value FROM documents GROUP BY 1) SELECT doc_id, value FROM documents LEFT JOIN c ON md5(text) = k"),
     "cache_prefix_lookup": (
         _prefixes,
-        f"WITH {PAIRS}, c AS (SELECT substr(text, 1, 20) AS prefix, min(item_id) AS value FROM benchmark GROUP BY 1) SELECT pair_id, prefix, value FROM pairs JOIN c ON starts_with(src, prefix) WHERE length(prefix) > 0 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY length(prefix) DESC) = 1",
+        f"WITH {PAIRS}, c AS (SELECT substr(tgt, 1, 5 + pair_id % 20) AS prefix, min(pair_id) AS value FROM pairs GROUP BY 1), n AS (SELECT pair_id, substr(src, 1, k) AS prefix FROM pairs, range(1, 25) r(k) WHERE length(src) >= k) SELECT pair_id, prefix, value FROM n JOIN c USING (prefix) QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY length(prefix) DESC) = 1",
+    ),
+    "cache_lru_sim": (lambda s, d: _lru(s, d, [200]).withColumn("cache", F.lit("all")).drop("entries"), f"WITH {DISTANCES}, c AS (SELECT 200 AS entries) SELECT 'all' AS cache, {LRU} FROM d, c GROUP BY entries"),
+    "cache_miss_curve": (lambda s, d: _lru(s, d, CAPACITIES), f"WITH {DISTANCES}, c AS (SELECT unnest({CAPACITIES}) AS entries) SELECT entries, {LRU} FROM d, c GROUP BY entries"),
+    "cache_reuse_distances": (
+        lambda s, d: reuse.reuse_distances(_requests(s, d), "key", ["ts", "request_id"]).select("request_id", "before", "distance"),
+        f"WITH {DISTANCES} SELECT request_id, before, distance FROM d",
     ),
-    "cache_lru_sim": (lambda s, d: serving.lru_simulation(_requests(s, d).withColumn("cache", F.lit("all")), "cache", "key", ["ts", "request_id"], 200), None),
     "service_stats": (
         lambda s, d: _rounded(analytics.service_stats(serving.first_seen_hits(_requests(s, d), "key", "ts", "request_id"), "hit", "latency"), "hit_rate", "avg_latency"),
         f"WITH {REQUESTS} SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS hit_rate, round(avg(latency) FILTER (NOT hit), 6) AS avg_latency FROM hits",
@@ -278,6 +308,27 @@ q AS (SELECT vec_id, list_transform(e, lambda v: greatest(least(round_even(v / s
         lambda s, d: analytics.best_so_far(_log(s, d), "run", "step", "loss"),
         f"WITH {LOG} SELECT run, step, loss FROM log QUALIFY loss < coalesce(min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE)",
     ),
+    "ema_one_series": (
+        lambda s, d: _rounded(analytics.smoothed(_series(s, d), "run", "step", "loss", 0.999).select("step", "smoothed"), "smoothed"),
+        f"""WITH {SERIES}, w AS (SELECT step, loss, first(loss) OVER (ORDER BY step) AS head, sum(loss * 0.001::DOUBLE * pow(0.999::DOUBLE, -step)) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS part FROM series)
+SELECT step, round(pow(0.999::DOUBLE, step) * (head + part), 6) AS smoothed FROM w""",
+    ),
+    "running_mean_one_series": (
+        lambda s, d: _rounded(analytics.running_mean(_series(s, d), "run", "step", "loss").select("step", "running_mean"), "running_mean"),
+        f"WITH {SERIES} SELECT step, round(avg(loss) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM series",
+    ),
+    "best_of_one_series": (
+        lambda s, d: analytics.best_so_far(_series(s, d), "run", "step", "loss").select("step", "loss"),
+        f"WITH {SERIES} SELECT step, loss FROM series QUALIFY loss < coalesce(min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE)",
+    ),
+    "peak_concurrency": (
+        lambda s, d: analytics.peak_concurrency(_open(s, d), "a", "b", "event_type"),
+        f"WITH {OPEN}, e AS (SELECT event_type, a AS t, 1 AS d FROM o UNION ALL SELECT event_type, b, -1 FROM o) SELECT event_type, max(n)::BIGINT AS peak FROM (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM e) GROUP BY 1",
+    ),
+    "peak_concurrency_all": (
+        lambda s, d: analytics.peak_concurrency(_open(s, d), "a", "b"),
+        f"WITH {OPEN}, e AS (SELECT a AS t, 1 AS d FROM o UNION ALL SELECT b, -1 FROM o) SELECT max(n)::BIGINT AS peak FROM (SELECT sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM e)",
+    ),
     "loss_extremes": (
         lambda s, d: analytics.extremes(_log(s, d), "run", "step", "loss"),
         f"WITH {LOG} SELECT run, min(loss) AS low, arg_min(step, (loss, step)) AS low_step, max(loss) AS high, arg_max(step, (loss, -step)) AS high_step FROM log GROUP BY 1",

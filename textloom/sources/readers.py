@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import contains_han
+from textloom.operators.order import ranked, shuffle_key
 
 CORRUPT = "_corrupt"
 
@@ -134,4 +135,4 @@ def generate(spark: SparkSession, n: int, templates: list[tuple[str, str]], sour
 
 def sampled(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows, the same on every run and for every partitioning: those with the least MD5 of seed and key."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
+    return ranked(df, shuffle_key(F.col(key), seed), key, name="__rank").filter(F.col("__rank") <= n).drop("__rank")
