@@ -24,6 +24,8 @@ from textloom.session import materialise, scratch, temporary
 SAMPLE, LAST = 20_000, 100_000
 #: Least number of cells of a sketch, and shingles for each cell of a larger one, see _sketch().
 CELLS, LOAD = 128, 4
+#: Sets of one shingle that are lined up together to find links between neighbours.
+LINED_UP = 2000
 #: Sets a task remembers, so as to pass on the rarest shingles of copies once.
 REMEMBERED = 100_000
 
@@ -158,6 +160,40 @@ def _pairs(joined: DataFrame, above: int) -> DataFrame:
     return joined.filter(F.col("x.node") != F.col("y.node")).filter(_possible(above)).select(*ordered).distinct()
 
 
+def _largest(above: int) -> Column:
+    """The greatest size of a set that a set of n shingles can be similar enough to where they first meet at its place i."""
+    return F.floor((100 + above) * (F.col("n") - F.col("i")) / above).cast("int") - F.col("n")
+
+
+def _class(size: Column) -> Column:
+    """Sizes in classes, each some 4 % wide; small sizes are their own."""
+    return F.when(size < 24, size).otherwise(F.floor(F.log(size.cast("double")) * 25) - 55).cast("int")
+
+
+def _crossing(placed: DataFrame, above: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that meet at a shingle and can be similar enough; placed (h, node, n, i, root).
+
+    The larger set asks for the sizes that it can be similar to at its place, and the smaller one answers where its own place
+    lets it have a partner as large as itself, so at a shingle that very many texts have, pairs that sizes and places rule
+    out are never made. Nor are pairs within the root that most sets of a shingle have: the others meet all, and these
+    meet the others.
+    """
+    roots = placed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots"))
+    apart = materialise(placed.join(roots.filter("roots > 1").select("h", "major"), "h").withColumn("minor", F.col("root") != F.col("major")), "apart")
+    me = F.struct("node", "n", "i", "root", "minor")
+    fits = _largest(above)
+    asks = apart.filter(fits >= F.ceil(F.col("n") * above / 100)).withColumn("most", F.least(F.col("n"), fits))
+    classes = F.sequence(_class(F.ceil(F.col("n") * above / 100)), _class(F.col("most")))
+    asks = asks.select("h", F.explode(classes).alias("size"), me.alias("x"), "most", "minor")
+    answers = apart.filter(fits >= F.col("n")).select("h", _class(F.col("n")).alias("size"), me.alias("y"), fits.alias("fits"), "minor")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        rows = x.drop("minor").join(y.drop("minor"), ["h", "size"])
+        return rows.filter((F.col("y.n") <= F.col("most")) & (F.col("x.n") <= F.col("fits")) & (F.col("x.root") != F.col("y.root"))).select("x", "y")
+
+    return _pairs(met(asks.filter("minor"), answers).union(met(asks.filter("NOT minor"), answers.filter("minor"))), above)
+
+
 def _by_fingerprint(prints: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) of nodes: a node with the first of its fingerprint, and the first nodes of linked fingerprints."""
     nodes = prints.filter("fp IS NOT NULL").select("fp", "node").distinct()
@@ -174,25 +210,28 @@ def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, above: int,
     docs (key, text); prints (doc_id: key, node, n, first, fp, sketch). Fingerprints within `distance` bits give pairs through
     their anchors. Every similar pair also meets at a shingle of both prefixes. First the sets of a shingle are compared
     with the most central of them, and neighbours in that order, so that a cluster of near copies costs a few
-    comparisons for each member; then all pairs that these links don't connect.
+    comparisons for each member; then all pairs that these links don't connect and that sizes and places allow.
     """
     rows = prints.filter("first IS NOT NULL").select("node", "n", F.posexplode("first").alias("i", "h")).select("h", "node", "n", "i")
     shared = materialise(rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_keep_shared, "h long, node long, n int, i int"), "shared")
     # An original shares all of its rarest shingles with its copies, and a copy lacks those that were edited.
     part = (F.col("meets") / (F.floor((100 - above) * F.col("n") / 100) + 1)).alias("part")
     central = shared.join(shared.groupBy("node").agg(F.count("*").alias("meets")), "node").select("h", "node", "n", "i", part)
-    order = Window.partitionBy("h").orderBy(F.desc("part"), "i", "node")
+    # Sets of a shingle that very many have are lined up in parts, and the first of each part meets the first of all.
+    common = shared.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > LINED_UP)
+    central = central.join(common, "h", "left").withColumn("line", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LINED_UP)), F.lit(0)))
     me = F.struct("node", "n", "i")
-    near = central.select(me.alias("y"), F.lag(me).over(order).alias("before"), F.first(me).over(order).alias("head"))
-    central_pairs = _pairs(near.select("y", F.explode(F.array("before", "head")).alias("x")).filter("x IS NOT NULL"), above)
+    order = Window.partitionBy("h", "line").orderBy(F.desc("part"), "i", "node")
+    near = central.select("h", "c", "part", me.alias("y"), F.lag(me).over(order).alias("before"), F.first(me).over(order).alias("head"))
+    lined = near.select("y", F.explode(F.array("before", "head")).alias("x")).filter("x IS NOT NULL")
+    firsts = near.filter("c IS NOT NULL AND before IS NULL").select("h", "part", "y")
+    first = firsts.groupBy("h").agg(F.min(F.struct(-F.col("part"), "y")).alias("first")).select("h", F.col("first.y").alias("x"))
+    central_pairs = _pairs(lined.union(firsts.join(first, "h").select("y", "x")), above)
     pairs = materialise(_not_excluded(_by_fingerprint(prints, distance).union(central_pairs).distinct(), prints, above), "pairs")
     links = _confirmed(docs, prints, pairs, shingle, above)
     roots = materialise(components(links), "roots")
     placed = shared.join(roots.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
-    apart = materialise(placed.join(several, "h"), "apart")
-    x, y = (apart.select("h", F.col("root").alias(f"root_{c}"), me.alias(c)) for c in "xy")
-    crossing = _pairs(x.join(y, "h").filter("root_x < root_y"), above)
+    crossing = _crossing(placed, above)
     rest = materialise(_not_excluded(crossing.join(pairs, ["a", "b"], "left_anti"), prints, above), "pairs")
     return _merged(roots, _confirmed(docs, prints, rest, shingle, above))
 
