@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._components import components
 from textloom.llm._text import _mixed, batches, row_key, small_batches
 from textloom.llm.jaccard import _apart, _merged, _node, _whole_sets, shingle_sets
 from textloom.session import materialise, scratch, temporary
@@ -121,12 +121,17 @@ def _ordered() -> list[Column]:
 
 
 def _stars(members: DataFrame, above: int) -> DataFrame:
-    """Pairs (a, b): each set and the closest, by bits, of the first sets of its nodes that are of another component."""
+    """Pairs (a, b): each set and one of the first sets of its nodes that are of another component.
+
+    That is the smallest of those that are as close, by bits, as most similar sets are, so that near copies all meet one set;
+    else the closest.
+    """
     me = F.struct("node", "n", "s", "t", "root")
     heads = members.groupBy("path").agg(F.min(me).alias("y"))
     met = members.select("path", me.alias("x")).join(heads, "path").filter("x.root <> y.root").filter(_can(above))
     bits = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
-    best = met.groupBy("x.node").agg(F.min(F.struct(bits.alias("bits"), F.col("y.node").alias("head"))).alias("best"))
+    usual = F.lit(int(VALUES * (1 - above / 100) / 2) + 1)
+    best = met.groupBy("x.node").agg(F.min(F.struct(F.greatest(bits, usual).alias("bits"), F.col("y.node").alias("head"))).alias("best"))
     return best.select(F.least("node", "best.head").alias("a"), F.greatest("node", "best.head").alias("b")).distinct()
 
 
@@ -169,33 +174,45 @@ class _Confirm:
 
 
 def _joined(sets: DataFrame, confirm: _Confirm, above: int) -> DataFrame:
-    """(node, root) of the sets (node, n, values, ...) that similar pairs connect."""
+    """(node, root) of the sets (node, n, values, ...) that similar pairs connect with a root; roots themselves may be left out."""
     branch = 100 / above - 1
     signed = sets.select("node", "n", "values")
     grown = signed.mapInArrow(_grow(branch, FIRST, TREES), GROWN)
-    roots: DataFrame | None = None
+    roots, links = signed.limit(0).select("node", F.col("node").alias("root")), []
     for length in range(FIRST, LAST + 1):
         sizes = grown.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         members = materialise(grown.join(sizes, "path"), "members")
-        if roots is None:
-            placed = members.withColumn("root", F.col("node"))
-        else:
-            placed = _placed(members, roots)
         # Copies of one text are close to the first set of some node of theirs, and connected by that before pairs are made.
-        stars = confirm.links(materialise(_stars(placed, above), "stars"))
-        roots = materialise(components(stars) if roots is None else _merged(roots, stars), "roots")
+        links.append(confirm.links(materialise(_stars(_placed(members, roots), above), "stars")))
+        roots = _hung(roots, links[-1])
         placed = _placed(members, roots)
         several = placed.groupBy("path").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("path")
         apart = materialise(placed.join(several, "path"), "apart")
         leaves = apart if length == LAST else apart.filter(F.col("size") <= SMALL)
-        links = confirm.links(materialise(_exhaustive(leaves, above), "pairs"))
-        roots = materialise(_merged(roots, links), "roots")
+        links.append(confirm.links(materialise(_exhaustive(leaves, above), "pairs")))
         large = apart.filter(F.col("size") > SMALL)
         if length == LAST or large.isEmpty():
             break
+        roots = _hung(roots, links[-1])
         onward = large.groupBy("node").agg(F.collect_list("path").alias("paths")).join(signed, "node").select("node", "n", "values", "paths")
         grown = materialise(onward.mapInArrow(_grow(branch, 1, None), GROWN), "grown")
-    return roots
+    return materialise(_merged(roots, reduce(DataFrame.unionByName, links)), "roots")
+
+
+def _hung(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (a, b): each root hangs below the smallest one that it is linked with, as far as two jumps reach.
+
+    Sets of one root are connected, but connected ones may still have several; that only costs comparisons. All links are
+    contracted at the end.
+    """
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    up = materialise(between.filter("a <> b").groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "up")
+    for _ in range(2):
+        up = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    up = materialise(up, "up")
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return materialise(moved.union(up.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -227,10 +244,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, above: int = 80, id_col:
         sets = materialise(sets, "distinct")
         repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
         roots = _joined(sets, _Confirm(slim, sets, shingle, above, repeated), above)
-        linked = materialise(sets.join(roots, "node").select("node", "root", "least"), "linked")
-        smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
-        found = linked.join(smallest, "root").select("node", "smallest")
-        component = sets.join(found, "node", "left").select(F.col("node").alias("of"), F.coalesce("smallest", "least").alias("component_id"))
+        placed = materialise(_placed(sets.select("node", "least"), roots), "placed")
+        smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).filter("k > 1").select("root", "component_id")
+        component = placed.join(smallest, "root", "left").select(F.col("node").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
         out = rows.join(component, F.col("node") == F.col("of"), "left").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
         return materialise(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "components", stays=True)
