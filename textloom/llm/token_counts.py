@@ -16,8 +16,8 @@ from textloom.llm.bpe import PLAIN_BELOW, plain_pattern
 
 #: Fixed value: the splitting pattern of byte-level BPE files with "use_regex".
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Frequent pre-tokens whose counts every task gets at once, at most. A bound on the broadcast (some 10 MB), not on the result.
-HEAD = 1 << 18
+#: Frequent pre-tokens whose counts every task gets at once, and their characters, at most. Bounds on the broadcast (some 10 MB), not on the result.
+HEAD, HEAD_CHARS = 1 << 18, 64
 #: A task proposes a pre-token for the head when it has met it so often.
 HEAD_LEAST = 6
 _NOT_PLAIN = re.compile(f"[^\\x00-{chr(PLAIN_BELOW - 1)}]")
@@ -70,7 +70,7 @@ def _propose(path: str) -> Step:
                 seen.update(s.pieces(text or ""))
             if len(seen) > 2 * HEAD:  # what is rare so far is forgotten; that may only cost speed
                 seen = Counter({p: n for p, n in seen.items() if n > 2})
-        often = [(p, n) for p, n in seen.items() if n >= HEAD_LEAST]
+        often = [(p, n) for p, n in seen.items() if n >= HEAD_LEAST and len(p) <= HEAD_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["piece", "n"])
 
     return run
@@ -114,14 +114,16 @@ SCHEMA = "rid long, doc_id long, n_bytes long, piece string, tokens long"
 
 
 def _count_each(path: str) -> Step:
-    """All rows of a piece are in one partition: its tokens are counted at its first row, and joined to the others."""
+    """Rows sorted by piece, all of a piece in one partition: its tokens are counted at its first row, and what is kept is a batch's pieces."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, known = splitter(path), {None: 1}
+        s, known = splitter(path), {}
         for part in parts:
             pieces = part.column(3).to_pylist()
-            new = list({p for p in pieces if p not in known})
-            known.update(zip(new, s.counts(new)))
+            known[None] = 1
+            here = set(pieces)
+            new = [p for p in here if p not in known]
+            known = {p: known[p] for p in here if p in known} | dict(zip(new, s.counts(new)))
             each = pa.array([known[p] for p in pieces], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.compute.multiply(each, part.column(4))], names=["rid", "doc_id", "n_bytes", "tokens"])
 
@@ -129,7 +131,7 @@ def _count_each(path: str) -> Step:
 
 
 def head_counts(docs: DataFrame, path: str, text_col: str = "text", head: int = HEAD) -> dict[str, int]:
-    """Token counts of the corpus's most frequent pre-tokens, at most `head` of them."""
+    """Token counts of the corpus's most frequent pre-tokens, at most `head` of them, none longer than HEAD_CHARS characters."""
     often = docs.select(F.col(text_col).alias("text")).mapInArrow(_propose(path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = [r.piece for r in often.orderBy(F.desc("n"), "piece").limit(head).collect()]
     return dict(zip(pieces, splitter(path).counts(pieces)))
@@ -146,7 +148,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     small_batches(docs)
     known = docs.sparkSession.sparkContext.broadcast(head_counts(docs, path, text_col, head))
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = slim.mapInArrow(_frequencies(path, known), SCHEMA).repartition(F.xxhash64("piece", F.when(F.col("piece").isNull(), F.col("rid"))))
+    dealt = slim.mapInArrow(_frequencies(path, known), SCHEMA).repartition(F.xxhash64("piece", F.when(F.col("piece").isNull(), F.col("rid")))).sortWithinPartitions("piece")
     counted = dealt.mapInArrow(_count_each(path), "rid long, doc_id long, n_bytes long, tokens long")
     sums = counted.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
