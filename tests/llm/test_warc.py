@@ -130,3 +130,25 @@ def test_damaged_warc_is_an_error():
     for bad in (b"x" + data, data[:-1]):
         with pytest.raises(ValueError):
             list(warc.read_warc(bad))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Without own fields, with a digest of another kind, of a resource, damaged in the middle, and with a wrong digest."""
+    def record(fields, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+        return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody"
+    plain = record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:a>"), ("WARC-Target-URI", "http://a/")], http)
+    other = record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:b>"), ("WARC-Payload-Digest", "sha256:00ff")], http)
+    wrong = record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:c>"), ("WARC-Payload-Digest", "sha1:" + "A" * 32)], http)
+    asset = record([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:d>")], b"bytes")
+    request = record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:e>")], b"GET /")
+    (tmp_path / "good.warc").write_bytes(plain + other + wrong + asset + request)
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(plain) + gzip.compress(other)[:-20])
+    rows = warc.warc_records(spark, str(tmp_path)).collect()
+    by_id = {r.record_id: r for r in rows if r.record_id and not (r.record_id == "<urn:a>" and r.error)}
+    digest = warc.digest(b"body")
+    assert (by_id["<urn:a>"].payload_digest, by_id["<urn:a>"].payload_bytes, by_id["<urn:a>"].page_id) == (digest, 4, None)
+    assert by_id["<urn:b>"].error is None and by_id["<urn:c>"].error and by_id["<urn:d>"].payload_bytes == 5 and by_id["<urn:e>"].record_type == "request"
+    assert sum(r.record_id == "<urn:a>" for r in rows) == 2 and sum(r.record_type is None for r in rows) == 1
