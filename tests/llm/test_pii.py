@@ -139,3 +139,35 @@ def test_classifier_goes_by_features(make):
 
 def test_empty_table(make, rows_of):
     assert rows_of(pii.detect(make([]))) == [] and rows_of(pii.redacted(make([]))) == []
+
+
+def test_added_spans_on_a_labelled_fixture(make):
+    """Written-out addresses, separated cards and bracketed hosts among like-looking numbers: precision and recall of what the method adds."""
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choices("abcdefghij", k=6))
+    group = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(mark):
+        while True:
+            parts = ["4" + group(3), *(group(4) for _ in range(3))]
+            if luhn("".join(parts)):
+                return mark.join(parts)
+
+    made = {
+        "email": (lambda: f"{name()} [at] {name()} [dot] {rng.choice(['com', 'org', 'de'])}", ["mail ", "contact ", "please write "]),
+        "card": (lambda: card(rng.choice("._/")), ["visa ", "my card ", "payment "]),
+        "ip": (lambda: "[.]".join(str(rng.randrange(11, 120)) for _ in range(4)), ["host ", "server ", "ip "]),
+        "phone": (lambda: f"({rng.randrange(201, 989)}) {group(3)}-{group(4)}", ["phone ", "call ", "tel "]),
+    }
+    rows, want = [], set()
+    for i in range(400):
+        kind = rng.choice(list(made))
+        make_one, before = made[kind]
+        found, said = make_one(), rng.choice(before)
+        rows.append((i, f"{said}{found} thanks"))
+        want.add((i, f"{kind}:{len(said)}:{len(said) + len(found)}"))
+    # The base patterns find nothing here, and neither should the method: no place for a span at all, or a number without its groups.
+    rows += [(1000 + i, rng.choice([f"{name()} at {name()} dot com", f"section 1.{i}.2 of {group(4)} pages", f"order {group(4)}.{group(4)}", f"see [{i}] and (dot) {name()}"])) for i in range(200)]
+    got = {(r.doc_id, x) for r in pii.detect(make(rows)).collect() for x in r.spans.split(",") if x}
+    precision, recall = len(got & want) / max(1, len(got)), len(got & want) / len(want)
+    assert precision > 0.95 and recall > 0.9, (precision, recall)
