@@ -91,3 +91,8 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an explicit order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def non_zero(counts: DataFrame, n: str) -> DataFrame:
+    """counts without reasons that no row has, as charts show them."""
+    return counts.filter(F.col(n) > 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,23 @@ def preprocess_pairs(pairs: DataFrame, src_spaced: bool = True, tgt_spaced: bool
     return rows.filter(length_window(F.col("src"), least, most) & length_window(F.col("tgt"), least, most))
 
 
+def preprocess_encoded(pairs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[int]]]], src_spaced: bool = True, tgt_spaced: bool = True, least: int = 3, most: int = 128) -> DataFrame:
+    """preprocess_pairs(), both sides encoded by the caller's tokenizer as src_ids and tgt_ids, and the window once more, on tokens.
+
+    load() gives a function from texts to ids, and is called once in a task.
+    """
+
+    @F.pandas_udf("array<int>")
+    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = load()
+        for part in parts:
+            yield pd.Series(of(part.tolist()))
+
+    rows = preprocess_pairs(pairs, src_spaced, tgt_spaced, least, most)
+    rows = rows.withColumns({"src_ids": ids(F.col("src")), "tgt_ids": ids(F.col("tgt"))})
+    return within_token_limits(within_token_limits(rows, "src_ids", least, most), "tgt_ids", least, most)
+
+
 def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[int]]]], key: str) -> DataFrame:
     """(key, ids) by a tokenizer: load() gives a function from texts to ids, and is called once in a task. Null is empty."""
 

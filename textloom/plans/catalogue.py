@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import extensions, operations, pairs, reports
+from textloom.plans import extensions, operations, pairs, reports, texts
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = pairs.QUERIES | reports.QUERIES | operations.QUERIES | extensions.QUERIES
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = pairs.QUERIES | reports.QUERIES | operations.QUERIES | texts.QUERIES | extensions.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
