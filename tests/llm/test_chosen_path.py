@@ -46,9 +46,11 @@ def test_every_similar_pair_is_linked(make, rows_of, seed):
 
 
 def test_large_nodes(make, rows_of, monkeypatch):
-    """Nodes of more than three sets branch again, and those of the greatest length are compared in blocks."""
-    monkeypatch.setattr(chosen_path, "SMALL", 3)
+    """Nodes with two sets apart branch again, those of the greatest length are compared in blocks, and texts are dealt out."""
+    monkeypatch.setattr(chosen_path, "SMALL", 1)
+    monkeypatch.setattr(chosen_path, "BLOCK", 2)
     monkeypatch.setattr(chosen_path, "LAST", 3)
+    monkeypatch.setattr(chosen_path, "SENT", 0)
     rows = edited(5, 12)
     assert rows_of(chosen_path.near_duplicates(make(rows))) == plain(rows)
 

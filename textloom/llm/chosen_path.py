@@ -23,8 +23,16 @@ from textloom.session import materialise, scratch, temporary
 
 #: Minwise values of a set, of which nodes choose; and those of one bit each that rule out pairs.
 VALUES = 128
-#: Trees, the length of a path at which nodes are first looked at, the greatest length, and sets of a node that are compared in full.
-TREES, FIRST, LAST, SMALL = 20, 2, 5, 48
+#: Parts of the hash of shingles, a bit each, by which pairs of small sets are ruled out for certain.
+CELLS = 1024
+#: Trees, the length of a path at which nodes are first looked at, and the greatest length.
+TREES, FIRST, LAST = 20, 2, 5
+#: A node is compared in full when so many of its sets at most aren't in the component that most are in; and sets of a block of a large node.
+SMALL, BLOCK = 4096, 4096
+#: Links tried for a set before pairs are made.
+STARS = 3
+#: Keys of texts that are sent to all tasks at most, of some 100 bytes each there. Where more are in doubt, texts are dealt out.
+SENT = 1_000_000
 #: Sets a task remembers, so that copies are signed once, and shingles that are hashed at once.
 REMEMBERED, AT_ONCE = 100_000, 2048
 #: Standard deviations that the bits of a similar pair may differ by more than expected: about one pair in 10**8 is lost by that.
@@ -50,21 +58,32 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.packbits(bit, axis=1, bitorder="little").view("<u8").view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """CELLS bits as signed longs: whether a set has an odd number of shingles in each part of the hash.
+
+    Where two sets differ in a bit, a shingle is in only one of them.
+    """
+    odd = np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").view(np.int64)
+
+
 def _sets(shingle: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for part in parts:
-            nodes, sizes, values = [], [], []
+            nodes, sizes, values, odd = [], [], [], []
             for hashes in shingle_sets(part.column(2), shingle):
                 empty = len(hashes) == 1 and not hashes[0]
                 node = _node(hashes)
                 nodes.append(node)
                 sizes.append(0 if empty else len(hashes))
-                values.append(None if empty or node in seen else minwise(hashes).tobytes())
+                new = not empty and node not in seen
+                values.append(minwise(hashes).tobytes() if new else None)
+                odd.append(parity(hashes) if new else None)
                 if len(seen) < REMEMBERED:
                     seen.add(node)
             halves = [pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], *halves, pa.array(sizes, pa.int32()), pa.array(values, pa.binary())], names=["doc_id", "id", "node", "check", "n", "values"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *halves, pa.array(sizes, pa.int32()), pa.array(values, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "id", "node", "check", "n", "values", "odd"])
 
     return run
 
@@ -121,33 +140,44 @@ def _ordered() -> list[Column]:
 
 
 def _stars(members: DataFrame, above: int) -> DataFrame:
-    """Pairs (a, b): each set and one of the first sets of its nodes that are of another component.
+    """Pairs (a, b): each set and the closest, by bits, of the sets that its nodes have picked, of another component: STARS of them at most.
 
-    That is the smallest of those that are as close, by bits, as most similar sets are, so that near copies all meet one set;
-    else the closest.
+    A node picks one by hash, so that the nodes of a set, which share most of their sets, pick different ones.
     """
     me = F.struct("node", "n", "s", "t", "root")
-    heads = members.groupBy("path").agg(F.min(me).alias("y"))
+    heads = members.groupBy("path").agg(F.min(F.struct(F.xxhash64("node", "path").alias("k"), me.alias("y"))).alias("first")).select("path", "first.y")
     met = members.select("path", me.alias("x")).join(heads, "path").filter("x.root <> y.root").filter(_can(above))
     bits = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
-    usual = F.lit(int(VALUES * (1 - above / 100) / 2) + 1)
-    best = met.groupBy("x.node").agg(F.min(F.struct(F.greatest(bits, usual).alias("bits"), F.col("y.node").alias("head"))).alias("best"))
-    return best.select(F.least("node", "best.head").alias("a"), F.greatest("node", "best.head").alias("b")).distinct()
+    # A set has a node or two in each tree, so few heads.
+    near = met.groupBy("x.node").agg(F.slice(F.array_sort(F.collect_set(F.struct(bits.alias("bits"), F.col("y.node").alias("head")))), 1, STARS).alias("near"))
+    best = near.select("node", F.explode("near.head").alias("head"))
+    return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
 
+def _unconnected(placed: DataFrame) -> DataFrame:
+    """The rows of nodes with several components, with major, the component that most of a node's sets are in, size, and minors, how many are in others."""
+    counts = placed.groupBy("path", "root").agg(F.count("*").alias("c"))
+    nodes = counts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("minors"), F.count("*").alias("roots"))
+    return placed.join(nodes.filter("roots > 1").select("path", "major", "size", "minors"), "path")
 
-def _exhaustive(members: DataFrame, above: int) -> DataFrame:
-    """Pairs (a, b) of different components within the nodes, all of them compared; members (path, node, n, s, t, size, root).
 
-    A node of more than SMALL sets is dealt out to pairs of blocks of about so many, so that none is a task's alone.
+def _few_differ(above: int) -> Column:
+    """Whether sets x and y may be similar enough by the bits of parity(), each of which that differs is a shingle of one alone. Exact."""
+    bits = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(CELLS // 64)), F.lit(0))
+    return (100 + above) * bits <= (100 - above) * (F.col("x.n") + F.col("y.n"))
+
+
+def _exhaustive(apart: DataFrame, above: int) -> DataFrame:
+    """Pairs (a, b) of different components within the nodes, all of them compared; rows of _unconnected(), with odd.
+
+    Sets of the component that most are in don't meet each other: the others meet all. Those are dealt out to blocks of
+    the node, so that a large one isn't a task's alone.
     """
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "path"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("path", "own", F.struct("node", "n", "s", "t", "root").alias("me"), other)
-    cells = cells.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "me")
-    x, y = (cells.select("path", "i", "j", F.col("own").alias(f"own_{c}"), F.col("me").alias(c)) for c in "xy")
-    # Within a block each pair is met twice, and between two blocks once from either side.
-    met = x.join(y, ["path", "i", "j"]).filter("x.node < y.node AND x.root <> y.root AND (i = j OR own_x <> own_y)").filter(_can(above))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    me = F.struct("node", "n", "s", "t", "root", "odd")
+    x = apart.filter(F.col("root") != F.col("major")).select("path", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), me.alias("x"))
+    y = apart.select("path", F.pmod(F.xxhash64("node", "path"), blocks).cast("int").alias("block"), me.alias("y"))
+    met = x.join(y, ["path", "block"]).filter("x.root <> y.root").filter(_can(above)).filter(_few_differ(above))
     return met.select(*_ordered()).distinct()
 
 
@@ -160,9 +190,8 @@ class _Confirm:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose sets have `above` per cent Jaccard similarity or more."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # Written, so that its size is known: where few texts are in doubt, Spark sends their keys to the texts.
-        keys = materialise(self.sets.join(needed, "node").select("node", "key"), "keys")
-        texts = self.docs.join(keys, "key").select("node", "text")
+        keys = materialise(self.sets.select("node", "key").join(needed, "node").select("node", "key"), "keys")
+        texts = self.docs.join(F.broadcast(keys) if keys.count() <= SENT else keys, "key").select("node", "text")
         if self.repeated:
             texts = texts.dropDuplicates(["node"])
         above = self.above
@@ -180,17 +209,16 @@ def _joined(sets: DataFrame, confirm: _Confirm, above: int) -> DataFrame:
     grown = signed.mapInArrow(_grow(branch, FIRST, TREES), GROWN)
     roots, links = signed.limit(0).select("node", F.col("node").alias("root")), []
     for length in range(FIRST, LAST + 1):
-        sizes = grown.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        members = materialise(grown.join(sizes, "path"), "members")
+        shared = grown.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1").select("path")
+        members = materialise(grown.join(shared, "path"), "members")
         # Copies of one text are close to the first set of some node of theirs, and connected by that before pairs are made.
         links.append(confirm.links(materialise(_stars(_placed(members, roots), above), "stars")))
         roots = _hung(roots, links[-1])
         placed = _placed(members, roots)
-        several = placed.groupBy("path").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("path")
-        apart = materialise(placed.join(several, "path"), "apart")
-        leaves = apart if length == LAST else apart.filter(F.col("size") <= SMALL)
+        apart = materialise(_unconnected(placed).join(sets.select("node", "odd"), "node"), "apart")
+        leaves = apart if length == LAST else apart.filter(F.col("minors") <= SMALL)
         links.append(confirm.links(materialise(_exhaustive(leaves, above), "pairs")))
-        large = apart.filter(F.col("size") > SMALL)
+        large = apart.filter(F.col("minors") > SMALL)
         if length == LAST or large.isEmpty():
             break
         roots = _hung(roots, links[-1])
@@ -200,11 +228,15 @@ def _joined(sets: DataFrame, confirm: _Confirm, above: int) -> DataFrame:
 
 
 def _hung(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (node, root) after links (a, b): each root hangs below the smallest one that it is linked with, as far as two jumps reach.
+    """roots (node, root) after links (a, b): each root hangs below the smallest one that it is linked with, as far as two jumps reach, three times.
 
     Sets of one root are connected, but connected ones may still have several; that only costs comparisons. All links are
     contracted at the end.
     """
+    return _hung_once(_hung_once(_hung_once(roots, links), links), links)
+
+
+def _hung_once(roots: DataFrame, links: DataFrame) -> DataFrame:
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     up = materialise(between.filter("a <> b").groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "up")
@@ -237,10 +269,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, above: int = 80, id_col:
     with temporary(docs.sparkSession):
         key = row_key(id_col, text_col).alias("key")
         slim = docs.select(F.col(id_col).cast("long").alias("id"), key, F.col(text_col).alias("text"))
-        rows = slim.select("key", "id", "text").mapInArrow(_sets(shingle), "doc_id binary, id long, node long, check long, n int, values binary")
+        rows = slim.select("key", "id", "text").mapInArrow(_sets(shingle), "doc_id binary, id long, node long, check long, n int, values binary, odd array<long>")
         rows = _apart(materialise(rows, "signed"))
         # The first text of each set stands for it; the values of one copy are those of all.
-        sets = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("key"), F.min("id").alias("least"), F.max("values").alias("values"))
+        sets = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("key"), F.min("id").alias("least"), F.max("values").alias("values"), F.max("odd").alias("odd"))
         sets = materialise(sets, "distinct")
         repeated = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
         roots = _joined(sets, _Confirm(slim, sets, shingle, above, repeated), above)
