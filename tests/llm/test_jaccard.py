@@ -49,6 +49,7 @@ def test_every_similar_pair_is_linked(make, rows_of, seed):
 def test_a_passage_that_all_texts_share(make, rows_of, monkeypatch):
     """A hot shingle whose sets are lined up in parts, and of which few pairs are similar enough."""
     monkeypatch.setattr(jaccard, "LINED_UP", 20)
+    monkeypatch.setattr(jaccard, "FEW", 5)
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(100)]
     own = lambda: rng.choice([13, 13, 13, 9, 11, 12, 20, 2])
@@ -56,9 +57,11 @@ def test_a_passage_that_all_texts_share(make, rows_of, monkeypatch):
     assert [k[0] for k in sorted(rows_of(jaccard.one_of_each(make(rows)), "doc_id"))] == sorted(least_ids(rows))
 
 
-def test_pairs_that_sizes_rule_out_are_not_made(spark):
+@pytest.mark.parametrize("few", [2, 40])
+def test_pairs_that_sizes_rule_out_are_not_made(spark, monkeypatch, few):
     """Sets of one size whose common shingles come too late: no row answers. With a larger place for one pair, that pair is met."""
-    rows = [(7, node, 109, 13, node) for node in range(40)]
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rows = [(7, node, 109, 13, node) for node in range(60)]
     schema = "h long, node long, n int, i int, root long"
     assert jaccard._crossing(spark.createDataFrame(rows, schema), 80).collect() == []
     rows += [(8, 3, 109, 2, 3), (8, 5, 100, 4, 5), (8, 6, 109, 13, 6), (9, 10, 50, 0, 10), (9, 11, 50, 0, 10)]

@@ -26,6 +26,10 @@ SAMPLE, LAST = 20_000, 100_000
 CELLS, LOAD = 128, 4
 #: Sets of one shingle that are lined up together to find links between neighbours.
 LINED_UP = 2000
+#: Sets of one shingle up to which all of them that places allow are compared.
+FEW = 40
+#: Keys of texts that are sent to all tasks at most, of some 100 bytes each there. Where more are in doubt, texts are dealt out.
+SENT = 1_000_000
 #: Sets a task remembers, so as to pass on the rarest shingles of copies once.
 REMEMBERED = 100_000
 
@@ -178,14 +182,15 @@ def _crossing(placed: DataFrame, above: int) -> DataFrame:
     out are never made. Nor are pairs within the root that most sets of a shingle have: the others meet all, and these
     meet the others.
     """
-    roots = placed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots"))
-    apart = materialise(placed.join(roots.filter("roots > 1").select("h", "major"), "h").withColumn("minor", F.col("root") != F.col("major")), "apart")
+    roots = placed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots"), F.sum("c").alias("sets"))
+    apart = materialise(placed.join(roots.filter("roots > 1").select("h", "major", (F.col("sets") > FEW).alias("many")), "h").withColumn("minor", F.col("root") != F.col("major")), "apart")
     me = F.struct("node", "n", "i", "root", "minor")
     fits = _largest(above)
     asks = apart.filter(fits >= F.ceil(F.col("n") * above / 100)).withColumn("most", F.least(F.col("n"), fits))
-    classes = F.sequence(_class(F.ceil(F.col("n") * above / 100)), _class(F.col("most")))
+    # A shingle of few sets takes no classes: its pairs are fewer than the rows that asking for classes would make.
+    classes = F.when(F.col("many"), F.sequence(_class(F.ceil(F.col("n") * above / 100)), _class(F.col("most")))).otherwise(F.array(F.lit(-1)))
     asks = asks.select("h", F.explode(classes).alias("size"), me.alias("x"), "most", "minor")
-    answers = apart.filter(fits >= F.col("n")).select("h", _class(F.col("n")).alias("size"), me.alias("y"), fits.alias("fits"), "minor")
+    answers = apart.filter(fits >= F.col("n")).select("h", F.when(F.col("many"), _class(F.col("n"))).otherwise(-1).alias("size"), me.alias("y"), fits.alias("fits"), "minor")
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         rows = x.drop("minor").join(y.drop("minor"), ["h", "size"])
@@ -282,9 +287,9 @@ def _apart(prints: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, above: int) -> DataFrame:
     """Those pairs whose sets have `above` per cent Jaccard similarity or more, counted on all shingles."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Written, so that its size is known: where few texts are in doubt, Spark sends their keys to the texts and not all texts around.
+    # Where few texts are in doubt, their keys are sent to the texts and not all texts around.
     keys = materialise(prints.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("key")), "keys")
-    texts = docs.join(keys, "key")
+    texts = docs.join(F.broadcast(keys) if keys.count() <= SENT else keys, "key")
     if not prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["key"])
     with scratch(texts.select("node", "text").mapInArrow(_whole_sets(shingle), "node long, hashes array<long>"), "sets") as sets:
