@@ -103,6 +103,11 @@ def test_mixed_documents(make, corpus):
     assert words == {s: int(t) for s, t in levels(sizes).items() if int(t)}
 
 
+def test_columns_of_any_name(make, rows_of):
+    docs = make([(1, "a b c", "s"), (2, "d e f", "t")]).withColumnRenamed("bucket", "odd.name")
+    assert mixing.mixed_documents(docs).columns == docs.columns and len(rows_of(mixing.mixed_documents(docs), "doc_id")) >= 2
+
+
 def test_order_is_by_hash_of_ids_and_texts(make):
     rows = [(i, "w", "s") for i in range(50)]
     found = sorted(mixing.mix(make(rows)).collect(), key=lambda r: r.position if r.position is not None else 2)

@@ -137,7 +137,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights:
     """
     columns, rows = docs.columns, docs.count()
     per_bucket = materialise(_per_bucket(_bucketed(_sized(docs, id_col, text_col, source_col), rows)), "bucket-sizes")
-    sized = _bucketed(_sized(docs, id_col, text_col, source_col, F.struct(*columns).alias("doc")), rows)
+    sized = _bucketed(_sized(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), rows)
     placed = _placed(sized, per_bucket, share, most, weights, schedule).filter("taken > 0")
     # A later pass comes at its own place on the schedule.
     rates = [_cycle([r[i] for r in schedule], F.col("rank")) for i in (0, 1)]
