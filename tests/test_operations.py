@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.config import load_rules
 from textloom.functions import registry
-from textloom.operators import language, lookup, relational, sampling
+from textloom.operators import language, lookup, relational, sampling, splits
 from textloom.operators.cleaning import CleaningRules
 from textloom.plans import operations
 from textloom.sources import readers, writers
@@ -122,3 +123,21 @@ def test_sampled_rows_are_the_same_for_every_partitioning(spark):
     rows = spark.range(500).withColumnRenamed("id", "key")
     some = [sorted(r.key for r in readers.sampled(rows.repartition(p), 50, "key").collect()) for p in (1, 7)]
     assert some[0] == some[1] and len(some[0]) == 50
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('\ufeff{"cleaning": {"max_src": 99, "check_language": true, "min_ratio": 0}, "sampling": {}}', encoding="utf-8")
+    rules = load_rules(spark, str(path))
+    assert (rules["cleaning"].max_src, rules["cleaning"].check_language, rules["cleaning"].min_ratio) == (99, True, 0.0)
+    assert rules["cleaning"].min_src == CleaningRules().min_src and rules["filtering"].max_ratio == 0.5 and rules["sampling"].target == 300_000
+    for bad, says in (('{"other": {}}', "sections"), ('{"cleaning": {"least": 1}}', "cleaning.least"), ('{"cleaning": {"max_src": "9"}}', "kind"), ('{"cleaning": {"check_language": 1}}', "kind"), ("[]", "sections")):
+        path.write_text(bad)
+        with pytest.raises(ValueError, match=says):
+            load_rules(spark, str(path))
+
+
+def test_batches_in_the_order_of_an_epoch(spark):
+    rows = spark.createDataFrame([(b, k) for b in range(3) for k in range(40) for _ in range(2)], "bucket int, batch_id long")
+    orders = [[(r.bucket, r.batch_id) for r in splits.batch_positions(rows, "bucket", "batch_id", epoch=e).orderBy("position").collect()] for e in (0, 0, 1)]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) == [(b, k) for b in range(3) for k in range(40)]

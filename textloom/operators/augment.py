@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators.order import ranked, shuffle_key
 
@@ -35,15 +36,21 @@ def iterative_union(base: DataFrame, synthetic: DataFrame, rounds: int, most: in
     return base.withColumn("iteration", F.lit(0)).unionByName(again)
 
 
-def back_translate(df: DataFrame, translate: Callable[[list[str]], list[tuple[str, float]]], text: str = "tgt") -> DataFrame:
-    """(src, tgt, confidence) by a callable from texts to translations and scores, in Arrow batches; the model is the caller's."""
+def back_translate(df: DataFrame, translate: Callable[[list[str]], list[tuple[str, float]]], text: str = "tgt", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, src, tgt, confidence) by a callable from texts to translations and scores, in Arrow batches; the model is the caller's.
+
+    tgt is the text itself, src what the callable makes of it; keep are columns that go with it. A null text isn't translated.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = translate(part[text].tolist())
-            yield pd.DataFrame({"src": [x[0] for x in found], "tgt": part[text].tolist(), "confidence": [float(x[1]) for x in found]})
+            found = translate(part["__text"].tolist())
+            made = {"src": [x[0] for x in found], "tgt": part["__text"].tolist(), "confidence": [float(x[1]) for x in found]}
+            yield pd.concat([part[list(keep)].reset_index(drop=True), pd.DataFrame(made)], axis=1)
 
-    return df.select(text).mapInPandas(run, "src string, tgt string, confidence double")
+    rows = df.filter(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__text"))
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("src", T.StringType()), T.StructField("tgt", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    return rows.mapInPandas(run, schema)
 
 
 def _unit(key: Column, *more: Column | str) -> Column:

@@ -39,6 +39,12 @@ def bucket_batches(df: DataFrame, bucket: str, key: str, size: int = 32, drop_la
     return rows.drop("__n")
 
 
+def batch_positions(batches: DataFrame, bucket: str, batch: str, epoch: int = 0, seed: int = 42) -> DataFrame:
+    """(bucket, batch, position): the batches of all buckets in the random order of an epoch, from 1 on, the same on every run."""
+    each = batches.select(bucket, batch).distinct()
+    return ranked(each.withColumn("__key", F.concat_ws("/", F.col(bucket).cast("string"), F.col(batch).cast("string"))), shuffle_key(F.col("__key"), seed + epoch), "__key", name="position").drop("__key")
+
+
 def dataset_stats(pairs: DataFrame) -> DataFrame:
     """One row: count, mean and greatest length of either side in characters, and mean words of the target."""
     a, b = F.length("src"), F.length("tgt")

@@ -160,7 +160,17 @@ def _rounded_scores(s, d):
     return writers.rounded_scores(rows.select("pair_id", "similarity_score", "length_ratio"))
 
 
+def _batch_order(s, d):
+    rows = pairs(s, d).select("pair_id", splits.length_bucket(F.length("src")).alias("bucket"))
+    return splits.batch_positions(splits.bucket_batches(rows, "bucket", "pair_id", 32), "bucket", "batch_id", epoch=1)
+
+
 QUERIES = {
+    "batch_order": (
+        _batch_order,
+        f"""WITH {PAIRS}, b AS (SELECT CASE WHEN length(src) <= 32 THEN 0 WHEN length(src) <= 64 THEN 1 WHEN length(src) <= 128 THEN 2 WHEN length(src) <= 256 THEN 3 WHEN length(src) <= 512 THEN 4 ELSE 5 END AS bucket, count(*) AS n FROM pairs GROUP BY 1),
+e AS (SELECT bucket, t.k AS batch_id FROM b, unnest(range(0, (n + 31) // 32)) t(k)) SELECT bucket, batch_id, row_number() OVER (ORDER BY {sql_shuffle("(bucket || '/' || batch_id)", 43)}) AS position FROM e""",
+    ),
     "language_scores": (_languages, LANGUAGE),
     "score_summary": (
         _summary,

@@ -201,7 +201,7 @@ SELECT total, length_filtered, ratio_filtered, language_filtered, empty_filtered
         f"SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, {_TAGS} AS text FROM pages",
     ),
     "redact_email_docs": (
-        lambda s, d: table(s, d, "documents").select("doc_id", text.strip_emails(F.col("text")).alias("text")).filter(F.lit(True)),
+        lambda s, d: table(s, d, "documents").select("doc_id", text.strip_emails(F.col("text")).alias("text")),
         r"SELECT doc_id, regexp_replace(text, '[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+', '', 'g') AS text FROM documents",
     ),
     "collapse_whitespace": (
@@ -230,8 +230,8 @@ SELECT total, length_filtered, ratio_filtered, language_filtered, empty_filtered
         f"WITH {FILTERED} SELECT pair_id, length_ratio, similarity_score, difficulty FROM filtered",
     ),
     "filter_head": (
-        lambda s, d: filtering.ordered_head(_filtered(s, d), 100).select("pair_id", "difficulty"),
-        f"WITH {FILTERED} SELECT pair_id, difficulty FROM filtered ORDER BY pair_id LIMIT 100",
+        lambda s, d: filtering.ordered_head(_filtered(s, d), 10).select("pair_id", "difficulty"),
+        f"WITH {FILTERED} SELECT pair_id, difficulty FROM filtered ORDER BY pair_id LIMIT 10",
     ),
     "difficulty_filter_dist": (lambda s, d: sampling.distribution(_filtered(s, d), "difficulty"), f"WITH {FILTERED} SELECT difficulty AS value, count(*) AS n FROM filtered GROUP BY 1"),
     "similarity_summary": (

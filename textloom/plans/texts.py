@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays, scores, text
-from textloom.operators import analytics, cleaning, filtering, lookup, metrics, serving, tokens
+from textloom.operators import analytics, augment, cleaning, filtering, lookup, metrics, serving, tokens
 from textloom.operators.order import numbered
-from textloom.plans.pairs import CLEANED, PAIRS, REASON, pairs, sql_space, sql_words
+from textloom.plans.pairs import CLEANED, FILTERED, PAIRS, REASON, pairs, sql_space, sql_words
 from textloom.plans.reports import LOG, RUNS
 from textloom.plans.reports import _log as log
 from textloom.plans.reports import _rounded as rounded
@@ -15,6 +15,7 @@ from textloom.plans.reports import _runs as runs
 from textloom.session import fresh_path
 from textloom.sources import readers
 from textloom.sources.adapters import table
+from textloom.streaming import corpus
 
 URL = r"https?://(?:[-\p{L}\p{N}_.]|(?:%[0-9a-fA-F]{2}))+[/\p{L}\p{N}_\-.~:?#\[\]@!$&''()*+,;=%]*"
 EMAIL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
@@ -62,6 +63,24 @@ def _padded(s, d):
     return rows.select("doc_id", total(arrays.padded(F.col("ids"), 16)).alias("sum_ids"), total(arrays.attention_mask(F.col("ids"), 16)).alias("sum_mask"), total(arrays.labels(F.col("ids"), 16)).alias("sum_labels"))
 
 
+def _swapped(s, d):
+    rows = pairs(s, d).select("pair_id", F.filter(F.split("src", " "), lambda w: w != "").alias("w"))
+    return rows.select("pair_id", F.array_join(augment.swap_words(F.col("w"), F.col("pair_id"), 0.5), " ").alias("text"))
+
+
+def _back_translated(s, d):
+    """A stand-in for a model: the beginning of the text, and its length as a score."""
+    return augment.back_translate(pairs(s, d), lambda texts: [(t[:5], len(t) / 100) for t in texts], keep=("pair_id", "source"))
+
+
+def _stream_filtered(s, d):
+    """The batch filters on a stream of JSON lines, and what came through by difficulty."""
+    lines, out, point = (fresh_path(s, x) for x in ("filter-in", "filter-out", "filter-checkpoint"))
+    pairs(s, d).select(F.col("src").alias("chinese"), F.col("tgt").alias("english"), "source").write.json(lines)
+    corpus.run_available(corpus.filtered(corpus.read_pairs(s, lines, 2)), out, point)
+    return s.read.parquet(out).groupBy("difficulty").agg(F.count("*").alias("n"), F.sum(F.length("src")).alias("chars"))
+
+
 def _preprocessed(s, d):
     return tokens.preprocess_pairs(pairs(s, d)).select("pair_id", "src", "tgt")
 
@@ -149,6 +168,14 @@ def _flags(s, d):
 
 
 QUERIES = {
+    "augment_swap_words": (
+        _swapped,
+        f"""WITH {PAIRS}, w AS (SELECT pair_id, list_filter(string_split(src, ' '), lambda x: x <> '') AS w FROM pairs),
+u AS (SELECT *, floor(('0x' || substr(md5(pair_id || ':at'), 1, 8))::BIGINT / 4294967296::DOUBLE * (len(w) - 1))::BIGINT AS a, ('0x' || substr(md5(pair_id || ':swap'), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM w)
+SELECT pair_id, array_to_string(CASE WHEN len(w) >= 2 AND u < 0.5::DOUBLE THEN list_concat(list_concat(w[1:a], [w[a + 2], w[a + 1]]), w[a + 3:]) ELSE w END, ' ') AS text FROM u""",
+    ),
+    "back_translated": (_back_translated, f"WITH {PAIRS} SELECT pair_id, source, substr(tgt, 1, 5) AS src, tgt, length(tgt) / 100::DOUBLE AS confidence FROM pairs"),
+    "stream_filtered_counts": (_stream_filtered, f"WITH {FILTERED} SELECT difficulty, count(*) AS n, sum(length(src))::BIGINT AS chars FROM filtered GROUP BY 1"),
     "strip_urls_control": (
         lambda s, d: table(s, d, "documents").select("doc_id", text.strip_control(text.strip_urls(F.col("text"))).alias("text")),
         f"SELECT doc_id, regexp_replace(regexp_replace(text, '{URL}', '', 'g'), '{CONTROL}', '', 'g') AS text FROM documents",
