@@ -314,8 +314,8 @@ q AS (SELECT vec_id, list_transform(e, lambda v: greatest(least(round_even(v / s
 SELECT step, round(pow(0.999::DOUBLE, step) * (head + part), 6) AS smoothed FROM w""",
     ),
     "running_mean_one_series": (
-        lambda s, d: _rounded(analytics.running_mean(_series(s, d), "run", "step", "loss").select("step", "running_mean"), "running_mean"),
-        f"WITH {SERIES} SELECT step, round(avg(loss) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM series",
+        lambda s, d: _rounded(analytics.running_mean(_series(s, d), "run", "step", "loss").select("step", "running_mean"), "running_mean", digits=9),
+        f"WITH {SERIES} SELECT step, round(avg(loss) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM series",
     ),
     "best_of_one_series": (
         lambda s, d: analytics.best_so_far(_series(s, d), "run", "step", "loss").select("step", "loss"),
