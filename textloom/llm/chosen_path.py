@@ -30,7 +30,7 @@ TREES, FIRST, LAST = 20, 2, 5
 #: A node is compared in full when so many of its sets at most aren't in the component that most are in; and sets of a block of a large node.
 SMALL, BLOCK = 4096, 4096
 #: Links tried for a set before pairs are made.
-STARS = 3
+STARS = 6
 #: Keys of texts that are sent to all tasks at most, of some 100 bytes each there. Where more are in doubt, texts are dealt out.
 SENT = 1_000_000
 #: Sets a task remembers, so that copies are signed once, and shingles that are hashed at once.
@@ -176,8 +176,9 @@ def _exhaustive(apart: DataFrame, above: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     me = F.struct("node", "n", "s", "t", "root", "odd")
     x = apart.filter(F.col("root") != F.col("major")).select("path", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), me.alias("x"))
-    y = apart.select("path", F.pmod(F.xxhash64("node", "path"), blocks).cast("int").alias("block"), me.alias("y"))
-    met = x.join(y, ["path", "block"]).filter("x.root <> y.root").filter(_can(above)).filter(_few_differ(above))
+    y = apart.select("path", F.pmod(F.xxhash64("node", "path"), blocks).cast("int").alias("block"), F.struct("node", "n", "s", "t", "root", "odd", "major").alias("y"))
+    # Two sets that are both outside the largest component meet once.
+    met = x.join(y, ["path", "block"]).filter("x.root <> y.root AND (y.root = y.major OR x.node < y.node)").filter(_can(above)).filter(_few_differ(above))
     return met.select(*_ordered()).distinct()
 
 
