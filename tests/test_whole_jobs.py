@@ -4,7 +4,7 @@ from textloom.plans.catalogue import QUERIES
 
 
 def test_filter_head_takes_a_hundred(spark, tmp_path):
-    docs = [(d, "abcdefg\nseven words are in a line that") for d in range(150)]
+    docs = [(d, "abcdefg\nit is in six or so words") for d in range(150)]
     spark.createDataFrame([(d, t, "en", "x") for d, t in docs], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["filter_pipeline"][0](spark, str(tmp_path)).count() == 150
     found = [r.pair_id for r in QUERIES["filter_head"][0](spark, str(tmp_path)).collect()]
