@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.functions.arrays import bound
 from textloom.functions.text import words
+from textloom.operators.edits import alike, distances, edit_distance
+from textloom.session import materialise
 
 #: Fixed values of the published metrics.
 BLEU_ORDER = 4
@@ -32,7 +33,7 @@ ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
 def _apart(c: Column) -> Column:
     """Words, from which punctuation comes apart, but not in numbers."""
-    out = F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+    out = F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 ")
     out = F.regexp_replace(out, r"([^0-9])([\.,])", "$1 $2 ")
     out = F.regexp_replace(out, r"([\.,])([^0-9])", " $1 $2")
     return words(F.regexp_replace(out, r"([0-9])(-)", "$1 $2 "))
@@ -52,13 +53,37 @@ def tokenize_zh(c: Column) -> Column:
     return _apart(F.regexp_replace(F.trim(c), f"([{ranges}])", " $1 "))
 
 
+#: Words or characters that are counted together, so that what it takes stays small.
+TOGETHER = 1 << 18
+
+
+def _slices(lengths: np.ndarray, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of so many codes together, one row at least."""
+    ends, i = np.cumsum(lengths), 0
+    while i < len(lengths):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+def _ids(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in place of two arrays of words, the same for the same word."""
+    codes = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return codes[: len(a)], codes[len(a) :]
+
+
+def _lists(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words of two arrays of lists, and the lengths of the lists; null is empty."""
+    n = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    codes = _ids(a.flatten(), b.flatten())
+    return codes[0], n[0], codes[1], n[1]
+
+
 def _bleu_sums(order: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((order, 3), np.int64)
         for part in parts:
-            seen: dict[str, int] = {}
-            codes = _codes([part.column(k).to_pylist() for k in (0, 1)], lambda ws: np.array([seen.setdefault(w, len(seen)) for w in ws or []], np.uint64))
-            sums += np.array([_gram_matches(*codes, n) for n in range(1, order + 1)], np.int64)
+            sums += _gram_sums(*_lists(part.column(0), part.column(1)), order)
         yield pa.RecordBatch.from_arrays([pa.array(range(1, order + 1), pa.int32()), *(pa.array(sums[:, k]) for k in range(3))], names=["n", "matches", "total", "ref_total"])
 
     return run
@@ -78,7 +103,10 @@ def corpus_bleu(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORD
 
     Where an order has no n-grams at all, or nothing matches, the score is 0. Lengths are the numbers of single words.
     """
-    counts = bleu_counts(rows, hyp, ref, order)
+    return _bleu_of(bleu_counts(rows, hyp, ref, order), order)
+
+
+def _bleu_of(counts: DataFrame, order: int) -> DataFrame:
     of = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
     sums = [of(c, n).alias(f"{n}_{c[0]}") for n in range(1, order + 1) for c in ("matches", "total")]
     row = counts.agg(*sums, of("total", 1).alias("sys_len"), of("ref_total", 1).alias("ref_len"))
@@ -94,65 +122,94 @@ def corpus_bleu(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORD
     return row.select(scored.alias("bleu"), bp.alias("bp"), "sys_len", "ref_len", F.array(*precisions).alias("precisions"))
 
 
-def _gram_matches(codes: np.ndarray, owner: np.ndarray, side: np.ndarray, n: int, referred: bool = False) -> tuple[int, int, int]:
-    """Clipped matches and totals of n-grams of codes; owner: the row that each belongs to, side: 0 for hypotheses, 1 for references.
+def _gram_sums(hyp: np.ndarray, hyp_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray, order: int, referred: bool = False) -> np.ndarray:
+    """Clipped matches and totals of both sides for the n-grams of each order; lists of codes lie one after the other.
 
     referred: a row's hypothesis counts only where its reference has n-grams of this order.
     """
-    m = len(codes) - n + 1
-    if m <= 0:
-        return 0, 0, 0
-    h = np.zeros(m, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + m]
+    sums = np.zeros((order, 3), np.int64)
+    hyp_at, ref_at = np.cumsum(hyp_n) - hyp_n, np.cumsum(ref_n) - ref_n
+    for i, j in _slices(hyp_n + ref_n):
+        here = [x[at[i] : at[j - 1] + n[j - 1]] for x, at, n in ((hyp, hyp_at, hyp_n), (ref, ref_at, ref_n))]
+        sums += _gram_matches(here[0], hyp_n[i:j], here[1], ref_n[i:j], order, referred)
+    return sums
+
+
+def _gram_matches(hyp: np.ndarray, hyp_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray, order: int, referred: bool) -> np.ndarray:
+    """_gram_sums() of some rows. The n-grams of what both sides of a row begin and end with match; the others are sorted by hashes."""
+    start, end = alike(hyp, hyp_n, ref, ref_n)
+    codes, n = np.concatenate([hyp, ref]).astype(np.uint64), np.concatenate([hyp_n, ref_n])
+    rows = len(hyp_n)
+    low, high = np.tile(np.maximum(start - order + 1, 0), 2), n - np.tile(np.maximum(end - order + 1, 0), 2)
+    # Of each list only what n-grams that may not match are made of.
+    size = np.maximum(high - low, 0)
+    of = np.repeat(np.arange(2 * rows), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
+    codes = codes[(np.cumsum(n) - n)[of] + at]
+    first, last = at - np.tile(start, 2)[of], (n - np.tile(end, 2))[of] - at
+    rest = high[of] - at
+    row = (of % max(rows, 1)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    side = (of >= rows).astype(np.uint64)
+    h = np.zeros(len(of), np.uint64)
+    out = np.zeros((order, 3), np.int64)
+    one = np.uint64(1)
+    for k in range(1, order + 1):
+        h[: len(h) - k + 1] = h[: len(h) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
         h ^= h >> np.uint64(29)
-    whole = (owner[:m] == owner[n - 1 :]) & (side[:m] == side[n - 1 :])
-    h = (h ^ owner[:m] * np.uint64(0xD6E8FEB86659FD93))[whole] * np.uint64(0xA24BAED4963EE407)
-    hyp = side[:m][whole] == 0
-    a, na = np.unique(h[hyp], return_counts=True)
-    b, nb = np.unique(h[~hyp], return_counts=True)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    total = int(hyp.sum())
-    if referred:
-        rows = owner[:m][whole]
-        total = int(np.isin(rows[hyp], np.unique(rows[~hyp])).sum())
-    return int(np.minimum(na[i], nb[j]).sum()), total, int((~hyp).sum())
-
-
-def _codes(sides: list[list], of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes, owner, side = [], [], []
-    for s, texts in enumerate(sides):
-        for i, text in enumerate(texts):
-            x = of(text)
-            codes.append(x)
-            owner.append(np.full(len(x), i, np.uint64))
-            side.append(np.full(len(x), s, np.uint8))
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate([*codes, empty]), np.concatenate([*owner, empty]), np.concatenate([*side, np.zeros(0, np.uint8)])
+        # n-grams of k that are neither within the common beginning nor within the common end.
+        open_ = (first > -k) & (last > 0) & (rest >= k)
+        keys = (h[open_] ^ row[open_]) * np.uint64(0xA24BAED4963EE407)
+        keys = keys & ~one | side[open_]
+        keys.sort()
+        matches = int((np.maximum(start - k + 1, 0) + np.maximum(end - k + 1, 0)).sum())
+        if len(keys):
+            cuts = np.flatnonzero(keys[1:] >> one != keys[:-1] >> one) + 1
+            cuts = np.concatenate([[0], cuts, [len(keys)]])
+            refs = np.concatenate([[0], np.cumsum(keys & one)]).astype(np.int64)
+            theirs = refs[cuts[1:]] - refs[cuts[:-1]]
+            matches += int(np.minimum(theirs, np.diff(cuts) - theirs).sum())
+        totals = [np.maximum(x - k + 1, 0) for x in (hyp_n, ref_n)]
+        out[k - 1] = matches, int((totals[0] * (totals[1] > 0)).sum() if referred else totals[0].sum()), int(totals[1].sum())
+    return out
 
 
 def _chrf_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of a partition: a row for each kind and n."""
-    sums: dict[tuple[str, int], np.ndarray] = {}
+    kinds = {"char": CHRF_CHARS, "word": CHRF_WORDS}
+    sums = {kind: np.zeros((most, 3), np.int64) for kind, most in kinds.items()}
     for part in parts:
-        sides = [[t or "" for t in part.column(k).to_pylist()] for k in (0, 1)]
-        chars = _codes(sides, lambda t: np.frombuffer("".join(t.split()).encode("utf-32-le"), "<u4").astype(np.uint64))
-        seen: dict[str, int] = {}
-        split = _codes(sides, lambda t: np.array([seen.setdefault(w, len(seen)) for w in _chrf_words(t)], np.uint64))
-        for kind, found, most in (("char", chars, CHRF_CHARS), ("word", split, CHRF_WORDS)):
-            for n in range(1, most + 1):
-                sums[kind, n] = sums.get((kind, n), 0) + np.array(_gram_matches(*found, n, referred=True), np.int64)
-    keys = sorted(sums)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([int(sums[k][c]) for k in keys], pa.int64()) for c in range(3))], names=["kind", "n", "matches", "hyp", "ref"])
+        lengths = pc.fill_null(pc.utf8_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+        for i, j in _slices(lengths):
+            sides = [[t or "" for t in part.column(k).slice(i, j - i).to_pylist()] for k in (0, 1)]
+            chars, split = [], []
+            for texts in sides:
+                bare = ["".join(t.split()) for t in texts]
+                chars += [np.frombuffer("".join(bare).encode("utf-32-le"), "<u4"), np.array([len(t) for t in bare], np.int64)]
+                split.append([_chrf_words(t) for t in texts])
+            sums["char"] += _gram_sums(*chars, CHRF_CHARS, referred=True)
+            sums["word"] += _gram_sums(*_word_lists(*split), CHRF_WORDS, referred=True)
+    keys = [(kind, n) for kind, most in kinds.items() for n in range(1, most + 1)]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([n for _, n in keys], pa.int32()), *(pa.array([int(sums[k][n - 1, c]) for k, n in keys], pa.int64()) for c in range(3))], names=["kind", "n", "matches", "hyp", "ref"])
+
+
+def _word_lists(hyp: list[list[str]], ref: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_lists() of Python's lists."""
+    codes = _ids(*(pa.array([w for ws in side for w in ws], pa.string()) for side in (hyp, ref)))
+    n = [np.array([len(ws) for ws in side], np.int64) for side in (hyp, ref)]
+    return codes[0], n[0], codes[1], n[1]
+
+
+#: ASCII punctuation.
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def _chrf_words(text: str) -> list[str]:
     """Words, from which one punctuation mark at the end, or else at the beginning, comes apart."""
-    marks, out = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), []
+    out = []
     for w in text.split():
-        if len(w) > 1 and w[-1] in marks:
+        if len(w) > 1 and w[-1] in MARKS:
             out += [w[:-1], w[-1]]
-        elif len(w) > 1 and w[0] in marks:
+        elif len(w) > 1 and w[0] in MARKS:
             out += [w[0], w[1:]]
         else:
             out.append(w)
@@ -166,99 +223,117 @@ def corpus_chrf(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFram
     for the orders of which its reference has n-grams; orders without n-grams on a side are left out.
     """
     sums = rows.select(hyp, ref).mapInArrow(_chrf_counts, "kind string, n int, matches long, hyp long, ref long").groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("matches", "hyp", "ref")])
+    return _chrf_of(sums)
+
+
+def _chrf_of(sums: DataFrame) -> DataFrame:
     used = sums.filter("hyp > 0 AND ref > 0")
     means = used.agg(F.avg(F.col("matches") / F.col("hyp")).alias("p"), F.avg(F.col("matches") / F.col("ref")).alias("r"))
     b2 = CHRF_BETA**2
     return means.select(F.coalesce(F.when(F.col("p") + F.col("r") > 0, 100 * (1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r"))), F.lit(0.0)).alias("chrf"))
 
 
-#: Distinct words of a row up to which the engine's own distance of characters is the faster way.
-FEW_WORDS = 1000
+#: Words of the shorter side up to which pairs are compared together, by the bits of a number for each.
+FEW_WORDS = 64
+
+
+def _wer_sums(few: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a partition; a row without a side has no edits."""
+        for part in parts:
+            hyp, ref = (part.column(k) for k in (0, 1))
+            both = pc.and_(pc.is_valid(hyp), pc.is_valid(ref)).to_numpy(zero_copy_only=False)
+            edits = distances(*_lists(hyp, ref), few)
+            yield _sums(int(edits[both].sum()) if both.any() else None, int(pc.fill_null(pc.sum(pc.list_value_length(ref)), 0).as_py()) if pc.is_valid(ref).true_count else None)
+
+    return run
 
 
-@F.pandas_udf(T.IntegerType())
-def _edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(list(h), list(r)) if h is not None and r is not None else None for h, r in zip(hyp, ref)], dtype="Int32")
+def _sums(edits: int | None, ref_words: int | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([edits], pa.int64()), pa.array([ref_words], pa.int64())], names=["edits", "ref_words"])
 
 
-def word_edits(hyp: Column, ref: Column) -> Column:
-    """Edits between two arrays of words, of any length.
+def corpus_wer(rows: DataFrame, hyp: Column, ref: Column) -> DataFrame:
+    """One row: edits, ref_words and wer, edits in per cent of the references' words. hyp and ref are arrays of words, of any length.
 
-    Few distinct words become characters, whose distance the engine has; longer texts go by Arrow to a distance of ids.
+    Rows are counted where they are, and only sums are shuffled.
     """
-    char = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x33FF), 4, "0")), "UTF-16BE")
-    text = lambda known, x: F.array_join(F.transform(x, lambda w: char(known, w)), "")
-    known = F.array_distinct(F.concat(hyp, ref))
-    short = F.size(known) <= FEW_WORDS
-    few = bound(F.when(short, known), lambda k: F.levenshtein(text(k, hyp), text(k, ref)))
-    long = _edits(F.when(~short, hyp), F.when(~short, ref))
-    return F.when(hyp == ref, 0).when(short, few).otherwise(long)
+    sums = rows.select(hyp.alias("hyp"), ref.alias("ref")).mapInArrow(_wer_sums(FEW_WORDS), "edits long, ref_words long")
+    return sums.agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words")).withColumn("wer", _rate())
 
 
-def corpus_wer(rows: DataFrame, hyp: Column, ref: Column) -> DataFrame:
-    """One row: edits, ref_words and wer, edits in per cent of the references' words."""
-    return rows.agg(F.sum(word_edits(hyp, ref)).alias("edits"), F.sum(F.size(ref)).alias("ref_words")).withColumn("wer", F.try_divide(F.col("edits") * 100.0, F.col("ref_words")))
-
-
-def edit_distance(a: list, b: list) -> int:
-    """Edits between two lists; what they begin and end with alike is left out first."""
-    start, most = 0, min(len(a), len(b))
-    while start < most and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < most - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a or not b:
-        return len(a) + len(b)
-    row = np.arange(len(b) + 1)
-    kinds = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([kinds[w] for w in b], np.int64)
-    steps = np.arange(len(b) + 1)
-    for i, w in enumerate(a, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != kinds[w]))
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-    return int(row[-1])
-
-
-def shifted_edits(hyp: list[str], ref: list[str]) -> int:
-    """Edits with block shifts: while moving a run of words that the reference has elsewhere saves edits, the best move is made, at the cost of one."""
+def _rate() -> Column:
+    return F.try_divide(F.col("edits") * 100.0, F.col("ref_words"))
+
+
+def shifted_edits(hyp: list[str], ref: list[str], cost: int | None = None) -> int:
+    """Edits with block shifts: while moving a run of words that the reference has elsewhere saves edits, the best move is made, at the cost of one.
+
+    Of moves that save alike the shortest run counts, then the first. Moves that can't save more than the best one so far are
+    passed over: a run of n words that moves by k saves at most twice the lesser of n and k.
+    """
     now, moves = list(hyp), 0
-    cost = edit_distance(now, ref)
-    # Moves keep the number of words, so edits can't fall below the difference of the lengths.
-    while cost > abs(len(now) - len(ref)):
-        best = (0, None)
-        at: dict[tuple, list[int]] = {}
-        for n in range(1, TER_SHIFT_WORDS + 1):
-            for j in range(len(ref) - n + 1):
-                at.setdefault(tuple(ref[j : j + n]), []).append(j)
-        for n in range(1, min(TER_SHIFT_WORDS, len(now)) + 1):
-            for i in range(len(now) - n + 1):
-                run = tuple(now[i : i + n])
-                for j in at.get(run, ()):
-                    if i == j or abs(i - j) > TER_SHIFT_DISTANCE or tuple(ref[i : i + n]) == run:
-                        continue
-                    rest = now[:i] + now[i + n :]
-                    moved = rest[:j] + list(run) + rest[j:]
-                    saved = cost - edit_distance(moved, ref)
-                    if saved > best[0]:
-                        best = (saved, moved)
-        if best[0] < 1:
+    cost = edit_distance(now, ref) if cost is None else cost
+    # Moves keep the words, so edits can't fall below those that one side has and the other hasn't.
+    least = max(len(now), len(ref)) - sum((Counter(now) & Counter(ref)).values()) if cost > abs(len(now) - len(ref)) else cost
+    while cost > least:
+        saved, better = 0, None
+        for n, i, j in _moves(now, ref):
+            if 2 * min(n, abs(i - j)) <= saved:
+                continue
+            rest = now[:i] + now[i + n :]
+            moved = rest[:j] + now[i : i + n] + rest[j:]
+            by = cost - edit_distance(moved, ref)
+            if by > saved:
+                saved, better = by, moved
+                if cost - saved == least:
+                    break
+        if better is None:
             break
-        now, moves, cost = best[1], moves + 1, cost - best[0]
+        now, moves, cost = better, moves + 1, cost - saved
     return cost + moves
 
 
-@F.pandas_udf(T.IntegerType())
-def _shifted(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([shifted_edits((h or "").split(), (r or "").split()) for h, r in zip(hyp, ref)], dtype="int32")
+def _moves(now: list[str], ref: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(n, i, j): runs of n words at i that the reference has at j but not at i, shorter ones first."""
+    for n in range(1, min(TER_SHIFT_WORDS, len(now)) + 1):
+        at: dict[tuple, list[int]] = {}
+        for j in range(len(ref) - n + 1):
+            at.setdefault(tuple(ref[j : j + n]), []).append(j)
+        for i in range(len(now) - n + 1):
+            run = tuple(now[i : i + n])
+            if run in at and tuple(ref[i : i + n]) != run:
+                yield from ((n, i, j) for j in at[run] if abs(i - j) <= TER_SHIFT_DISTANCE)
+
+
+def _size(ref: str) -> Column:
+    return F.size(words(F.col(ref))).cast("long")
+
+
+def _ter_sums(few: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a partition; a text that is null has no words."""
+        for part in parts:
+            for i, j in _slices(np.ones(len(part), np.int64), 4096):
+                hyp, ref = ([(t or "").split() for t in part.column(k).slice(i, j - i).to_pylist()] for k in (0, 1))
+                lists = _word_lists(hyp, ref)
+                edits = distances(*lists, few)
+                # Where more words differ than there are more or less, some may only have moved.
+                for k in np.flatnonzero(edits > np.abs(lists[1] - lists[3])).tolist():
+                    edits[k] = shifted_edits(hyp[k], ref[k], int(edits[k]))
+                yield _sums(int(edits.sum()), pc.sum(part.column(2).slice(i, j - i)).as_py())
+
+    return run
 
 
 def corpus_ter(rows: DataFrame, hyp: str = "hyp", ref: str = "ref", case: bool = False) -> DataFrame:
-    """One row: edits with shifts, ref_words and ter, edits in per cent. Case counts only if asked for. Equal texts never reach Python."""
+    """One row: edits with shifts, ref_words and ter, edits in per cent. Case counts only if asked for.
+
+    Rows are counted where they are, and only sums are shuffled. Moves are looked for where edits are more than the words that a side has more.
+    """
     h, r = (F.col(c) if case else F.lower(c) for c in (hyp, ref))
-    edits = F.when(h == r, 0).otherwise(_shifted(h, r))
-    return rows.agg(F.sum(edits).alias("edits"), F.sum(F.size(words(F.col(ref)))).alias("ref_words")).withColumn("ter", F.try_divide(F.col("edits") * 100.0, F.col("ref_words")))
+    sums = rows.select(h.alias("hyp"), r.alias("ref"), _size(ref).alias("n")).mapInArrow(_ter_sums(FEW_WORDS), "edits long, ref_words long")
+    return sums.agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words")).withColumn("ter", _rate())
 
 
 #: What evaluate() can give; the last two are means of scores that a caller's model has given the rows.
@@ -275,19 +350,58 @@ def evaluate(rows: DataFrame, metrics: tuple[str, ...] = METRICS, hyp: str = "hy
     if set(metrics) - set(METRICS):
         raise ValueError(f"unknown metrics {sorted(set(metrics) - set(METRICS))}")
     given = [m for m in ("comet", "bertscore") if m in metrics and m in rows.columns]
+    h, r = F.col(hyp), F.col(ref)
+    # Of each metric the columns that it takes, and its sums over some rows.
     parts = {
-        "bleu": lambda: corpus_bleu(rows, tokenize(F.col(hyp)), tokenize(F.col(ref))).select("bleu"),
-        "chrf": lambda: corpus_chrf(rows, hyp, ref),
-        "ter": lambda: corpus_ter(rows, hyp, ref).select("ter"),
-        "wer": lambda: corpus_wer(rows, words(F.col(hyp)), words(F.col(ref))).select("wer"),
+        "bleu": ([tokenize(h), tokenize(r)], _bleu_sums(BLEU_ORDER)),
+        "chrf": ([h, r], _chrf_counts),
+        "ter": ([F.lower(h), F.lower(r), _size(ref)], _ter_sums(FEW_WORDS)),
+        "wer": ([words(h), words(r)], _wer_sums(FEW_WORDS)),
+    }
+    parts = {name: part for name, part in parts.items() if name in metrics}
+    columns = [c.alias(f"{name}{i}") for name, (taken, _) in parts.items() for i, c in enumerate(taken)]
+    run = _all_sums({name: (len(taken), of) for name, (taken, of) in parts.items()}, given)
+    found = rows.select(*columns, *[F.col(m).cast("double").alias(m) for m in given]).mapInArrow(run, "metric string, kind string, n int, a long, b long, c long, value double")
+    # A few rows, whatever was read; texts are read once for all metrics.
+    sums = materialise(found.groupBy("metric", "kind", "n").agg(*[F.sum(c).alias(c) for c in ("a", "b", "c", "value")]), "sums")
+    of = lambda name, *names: sums.filter(F.col("metric") == name).select("kind", "n", *[F.col(x).alias(y) for x, y in zip("abc", names)])
+    edits = lambda name: of(name, "edits", "ref_words").agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words")).select(_rate().alias(name))
+    ends = {
+        "bleu": lambda: _bleu_of(of("bleu", "matches", "total", "ref_total"), BLEU_ORDER).select("bleu"),
+        "chrf": lambda: _chrf_of(of("chrf", "matches", "hyp", "ref")),
+        "ter": lambda: edits("ter"),
+        "wer": lambda: edits("wer"),
     }
     # Each part is one row.
-    out = mean_scores(rows, *given) if given else rows.agg(F.count("*").alias("__n"))
-    for name in (m for m in parts if m in metrics):
-        out = out.crossJoin(F.broadcast(parts[name]()))
+    out = sums.agg(F.count("*").alias("__n"), *[F.try_divide(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.sum(F.when(F.col("metric") == m, F.col("a")))).alias(m) for m in given])
+    for name in parts:
+        out = out.crossJoin(F.broadcast(ends[name]()))
     return out.select(*[(F.col(m) if m in out.columns else F.lit(None).cast("double")).alias(m) for m in METRICS])
 
 
+def _all_sums(parts: dict[str, tuple[int, Callable]], given: list[str]):
+    """Sums of several metrics in one pass: each gets its columns of every batch. Of given scores the sum, and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for name, (n, of) in parts.items():
+                for sums in of(iter([pa.RecordBatch.from_arrays(batch.columns[at : at + n], names=batch.schema.names[at : at + n])])):
+                    columns = {c: sums.column(c) for c in sums.schema.names}
+                    kind, order = columns.pop("kind", pa.nulls(len(sums), pa.string())), columns.pop("n", pa.nulls(len(sums), pa.int32()))
+                    longs = [*columns.values(), *[pa.nulls(len(sums), pa.int64())] * (3 - len(columns))]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums)), kind, order, *longs, pa.nulls(len(sums), pa.float64())], names=NAMES)
+                at += n
+            for m in given:
+                x = batch.column(m)
+                yield pa.RecordBatch.from_arrays([pa.array([m]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.array([len(x) - x.null_count], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pc.sum(x).as_py()], pa.float64())], names=NAMES)
+
+    return run
+
+
+NAMES = ["metric", "kind", "n", "a", "b", "c", "value"]
+
+
 def paired_bootstrap(scores: DataFrame, pos: str, a: str, b: str, replicates: int = 1000, mode: str = "standard", seed: int = 42) -> DataFrame:
     """One row: n, the mean difference b - a, and p.
 
