@@ -14,7 +14,8 @@ from textloom.operators.order import numbered, ranked, shuffle_key
 
 @dataclass(frozen=True)
 class SamplerRules:
-    target: int = 300_000
+    #: None: as many as there are.
+    target: int | None = 300_000
     min_similarity: float = 0.75
     max_length: int = 128
     min_length: int = 3
@@ -44,9 +45,9 @@ def stratified(df: DataFrame, target: int, order: str = "pair_id") -> DataFrame:
     The share is target // strata, 1 at least. Rows within it come first, then by similarity; the first target of that
     order stay, so too many strata are trimmed by similarity. Empty input gives an empty result.
     """
-    best = [F.desc("similarity_score"), F.col(order)]
+    first = [F.desc("similarity_score"), F.col(order)]
     strata = df.select("difficulty", "length_group").distinct().agg(F.count("*").alias("__strata"))
-    rank = F.row_number().over(Window.partitionBy("difficulty", "length_group").orderBy(*best))
+    rank = F.row_number().over(Window.partitionBy("difficulty", "length_group").orderBy(*first))
     # No stratum gives more than target rows, which limits each before the exchange.
     rows = df.withColumn("__n", rank).filter(F.col("__n") <= target).crossJoin(F.broadcast(strata))
     late = F.col("__n") > F.greatest(F.floor(F.lit(target) / F.greatest(F.col("__strata"), F.lit(1))), F.lit(1))
@@ -78,10 +79,19 @@ def bucket_capped(df: DataFrame, width: float = 0.05, seed: int = 42, order: str
     return placed.filter(F.col("__kept") | back).drop("__n", "__rows", "__buckets", "__kept", "__turn")
 
 
-def high_quality_sample(pairs: DataFrame, rules: SamplerRules = SamplerRules(), similarity: Column | None = None, diverse: bool = False) -> DataFrame:
-    """Prefilter, metadata, quality threshold, strata; diverse: then a cap for each similarity bucket, refilled to the target."""
+def best(df: DataFrame, target: int, order: str = "pair_id") -> DataFrame:
+    """The target rows of the greatest similarity, ties by order. Ranks are counted in ranges, so the rows that stay are never one task's."""
+    placed = numbered(df.withColumn("__worse", F.coalesce(-F.col("similarity_score"), F.lit(float("inf")))), "__worse", order, name="__pos")
+    return placed.filter(F.col("__pos") <= target).drop("__worse", "__pos")
+
+
+def high_quality_sample(pairs: DataFrame, rules: SamplerRules = SamplerRules(), similarity: Column | None = None, diverse: bool = False, strata: bool = True) -> DataFrame:
+    """Prefilter, metadata, quality threshold, strata; diverse: then a cap for each similarity bucket, refilled to the target.
+
+    Without strata the best of all rows are chosen; without a target all rows are, and what the cap leaves out stays out.
+    """
     good = with_metadata(prefiltered(pairs, rules), similarity).filter(F.col("similarity_score") >= rules.min_similarity)
-    chosen = stratified(good, rules.target)
+    chosen = good if rules.target is None else stratified(good, rules.target) if strata else best(good, rules.target)
     return bucket_capped(chosen, rules.bucket_width, refill=rules.target).drop("bucket") if diverse else chosen
 
 
