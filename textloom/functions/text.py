@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +24,23 @@ HAN_EXTENDED = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 PAIR_MARK = "|||"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+#: A character that may not be its own normal form, or may join the one before: not ASCII, plain Latin, Cyrillic or unified ideographs.
+ODD = r"[^\x00-\x7F\x{C0}-\x{131}\x{134}-\x{13E}\x{400}-\x{482}\x{4E00}-\x{9FFF}]"
+#: Texts that are Python's at once.
+TOGETHER = 64
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    parts = (texts.slice(i, TOGETHER).to_pylist() for i in range(0, len(texts), TOGETHER))
+    return pa.concat_arrays([pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part], pa.string()) for part in parts] or [pa.array([], pa.string())])
 
 
 def normalize_nfkc(c: Column) -> Column:
-    """Unicode NFKC. ASCII is its own normal form and never leaves the JVM."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    """Unicode NFKC. Texts of characters that are their own normal form never leave the JVM."""
+    odd = c.rlike(ODD)
+    # Functions of Python get all rows, so others are null there.
+    return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
 
 
 def strip_html(c: Column) -> Column:
