@@ -152,3 +152,12 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert (by_id["<urn:a>"].payload_digest, by_id["<urn:a>"].payload_bytes, by_id["<urn:a>"].page_id) == (digest, 4, None)
     assert by_id["<urn:b>"].error is None and by_id["<urn:c>"].error and by_id["<urn:d>"].payload_bytes == 5 and by_id["<urn:e>"].record_type == "request"
     assert sum(r.record_id == "<urn:a>" for r in rows) == 2 and sum(r.record_type is None for r in rows) == 1
+
+
+def test_contents_on_their_way_are_packed(spark, tmp_path):
+    """What is shuffled for the records' roles is compressed, and the same bytes when unpacked."""
+    rows = [(i, f"http://{i}", "word " * 50 * i) for i in range(1, 20)] + [(20, "http://20", None)]
+    warc.write_arc(table(spark, rows), f"{tmp_path}/arc")
+    plain, packed = ({r.key: bytes(r.content) for r in warc.arc_records(spark, f"{tmp_path}/arc", **how).collect()} for how in ({}, {"packed": True}))
+    assert {k: zlib.decompress(c) for k, c in packed.items()} == plain
+    assert 4 * sum(map(len, packed.values())) < sum(map(len, plain.values()))

@@ -29,6 +29,8 @@ WARC_BREAK = "\r\n\r\n"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "textloom:warc")
 #: Bytes of an archive file, about; a larger record is a file of its own.
 FILE_BYTES = 32 << 20
+#: The level at which contents are compressed on their way between tasks.
+PACKED = 3
 #: A gzip member that holds nothing. It may stand between members, and the writer needs something to end a row with.
 NOTHING = gzip.compress(b"", mtime=0)
 
@@ -261,11 +263,12 @@ def _key(content: bytes) -> int | None:
 _ARC = ["key", "digest", "size", "url", "ip", "date", "mime", "content", "error"]
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
+def arc_records(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """The records of ARC files: key, digest, size (of the payload) and the record's parts; or error, what is wrong in a file.
 
     Files are read whole, up to the 2 GB that a row may have, and unpacked record by record. Damaged parts are rows with
-    an error and nothing else. A folder without files gives no rows.
+    an error and nothing else. A folder without files gives no rows. packed: contents are compressed by zlib, for rows
+    that are going to be shuffled.
     """
 
     def batch(rows: list[ArcRecord | str]) -> pa.RecordBatch:
@@ -275,7 +278,7 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
                 found.append((None,) * 8 + (r,))
             else:
                 payload = payload_of(r.content)
-                found.append((_key(r.content), digest(payload), len(payload), r.url, r.ip, r.date, r.mime, r.content, None))
+                found.append((_key(r.content), digest(payload), len(payload), r.url, r.ip, r.date, r.mime, zlib.compress(r.content, PACKED) if packed else r.content, None))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], names=_ARC)
 
@@ -310,13 +313,13 @@ def convert_archives(spark: SparkSession, source: str, target: str, least: int =
     shared = first.filter("n > 1 and first is not null").select("digest", "first")
     # A payload that thousands share is one row here; its records aren't brought together.
     role = small.join(shared, "digest").filter("key is null or key <> first.key").select(F.col("key").alias("k"), F.col("digest").alias("d"), "first").distinct()
-    records = arc_records(spark, source).filter("error is null")
+    records = arc_records(spark, source, packed=True).filter("error is null")
     joined = records.join(role, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
 
     def made(parts: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for part in parts:
             for key, url, ip, date, mime, content, *one in zip(*(c.to_pylist() for c in part.columns)):
-                yield convert(ArcRecord(url, ip, date, mime, content), key, tuple(one) if one[0] is not None else None) + WARC_BREAK.encode()
+                yield convert(ArcRecord(url, ip, date, mime, zlib.decompress(content)), key, tuple(one) if one[0] is not None else None) + WARC_BREAK.encode()
 
     columns = joined.select("key", "url", "ip", "date", "mime", "content", "first.key", "first.url", "first.date").toDF("key", "url", "ip", "date", "mime", "content", "to", "to_url", "to_date")
     _write(columns, made, warcinfo() + WARC_BREAK.encode(), target)
