@@ -141,3 +141,14 @@ def test_batches_in_the_order_of_an_epoch(spark):
     rows = spark.createDataFrame([(b, k) for b in range(3) for k in range(40) for _ in range(2)], "bucket int, batch_id long")
     orders = [[(r.bucket, r.batch_id) for r in splits.batch_positions(rows, "bucket", "batch_id", epoch=e).orderBy("position").collect()] for e in (0, 0, 1)]
     assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) == [(b, k) for b in range(3) for k in range(40)]
+
+
+def test_interval_join_shuffles_what_is_used(spark):
+    """Of long rows only keys, ends and what is asked for come to the join; visitors of a cell don't meet each other; the join is by equality at any size."""
+    rows = spark.range(400).selectExpr("id", "id * 10 AS s", "id * 10 + CASE WHEN id % 100 = 0 THEN 3000 ELSE 4 END AS e", "repeat('x', 1000) AS note")
+    met = relational.interval_join(rows, rows, "s", "e").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "note" not in plan and "repeat" not in plan
+    ends = [(i * 10, i * 10 + (3000 if i % 100 == 0 else 4)) for i in range(400)]
+    want = sorted((i, j) for i, x in enumerate(ends) for j, y in enumerate(ends) if x[0] <= y[1] and y[0] <= x[1])
+    assert sorted((r.a, r.b) for r in met.collect()) == want
