@@ -81,6 +81,32 @@ def test_positions_over_many_files(spark, write, tmp_path):
     assert found == list(range(1, 101))
 
 
+def test_lines_of_parts_in_the_order_of_their_names(spark, write, tmp_path):
+    """Parts are read largest first; positions go by names, and by places in a part that is read in pieces."""
+    for k, n in enumerate((5, 900, 1, 300)):
+        write(f"parts/part-{k}.txt", "\n".join(f"{k}-{i}" for i in range(n)))
+    want = [(p + 1, x) for p, x in enumerate(f"{k}-{i}" for k, n in enumerate((5, 900, 1, 300)) for i in range(n))]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted((r.pos, r.line) for r in readers.numbered_lines(spark, str(tmp_path / "parts")).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_aligned_round_trip_is_many_tasks(spark, tmp_path, monkeypatch):
+    """No file of the round trip has all lines."""
+    from textloom.plans import texts
+
+    paths = {name: str(tmp_path / name) for name in ("left", "right")}
+    monkeypatch.setattr(texts, "fresh_path", lambda s, name: paths[name])
+    (row,) = texts._aligned(spark, "/root/testdata/sf0.001").collect()
+    for path in paths.values():
+        sizes = [len(p.read_text().splitlines()) for p in (tmp_path / path).glob("part-*")]
+        assert sum(sizes) == row.n and len(sizes) > 1 and max(sizes) < row.n
+
+
 def test_generated_and_sampled(spark):
     rows = readers.generate(spark, 5, [("a", "b"), ("c", "d")])
     assert [r.src for r in rows.orderBy("pair_id").collect()] == ["a", "c", "a", "c", "a"]

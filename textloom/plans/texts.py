@@ -134,12 +134,13 @@ def _tiers(s, d):
 
 
 def _aligned(s, d):
-    """Lines of documents as two files, and read again line by line."""
+    """Lines of documents as two folders of files, and read again line by line."""
     paths = [fresh_path(s, name) for name in ("left", "right")]
     rows = numbered(pairs(s, d).select("pair_id", F.trim("src").alias("src"), F.trim("tgt").alias("tgt")).filter("src <> '' AND tgt <> ''"), "pair_id")
+    # Files in the order of their names, none of which is a task's alone.
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
     for side, path in zip(("src", "tgt"), paths):
-        # One file, as it is given; Spark names the parts of several files in an order of its own.
-        rows.coalesce(1).sortWithinPartitions("pos").select(side).write.text(path)
+        rows.select("pos", side).repartitionByRange(parts, "pos").sortWithinPartitions("pos").select(side).write.text(path)
     read = readers.read_aligned_text(s, *paths)
     return read.agg(F.count("*").alias("n"), F.sum(F.col("pos") * F.length("src")).cast("long").alias("left"), F.sum(F.col("pos") * F.length("tgt")).cast("long").alias("right"))
 

@@ -92,24 +92,28 @@ def read_xml_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, drop_blank: bool = True) -> DataFrame:
-    """(pos, line) of a text file, trimmed; positions count after blank lines went.
+    """(pos, line) of a text file, or of a folder of parts in the order of their names, trimmed; positions count after blank lines went.
 
-    Lines are numbered within ranges of the file and ranges by their counts, so a splittable file isn't read by one task.
+    Lines are numbered within ranges of the files and ranges by their counts, so a splittable file isn't read by one task,
+    and parts may be read in any order.
     """
-    rows = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("id"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("id"), at.alias("part"))
     rows = rows.filter("line <> ''") if drop_blank else rows
-    return position(rows, "id").select("pos", "line")
+    return position(rows, "part", "id").select("pos", "line")
 
 
-def position(rows: DataFrame, order: str) -> DataFrame:
-    """rows with pos, from 1 on, in the order of a monotonically increasing id, whose upper bits are the partition."""
+def position(rows: DataFrame, part: str, order: str) -> DataFrame:
+    """rows with pos, from 1 on, in the order of parts, and within a part of an increasing id. A part is what a task can sort."""
     from pyspark.sql import Window
 
-    part = F.shiftright(F.col(order), 33)
-    inside = Window.partitionBy("part").orderBy(order)
-    counts = rows.select(part.alias("part")).groupBy("part").count()
+    rows = rows.withColumn("part", F.col(part))
+    counts = rows.groupBy("part").count()
+    # A row for each part, however many lines there are.
     before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.withColumn("part", part).join(F.broadcast(before), "part").withColumn("pos", F.col("before") + F.row_number().over(inside)).drop("part", "before")
+    # No part is empty, so the rows before it tell it from others.
+    inside = Window.partitionBy("before").orderBy(order)
+    return rows.join(F.broadcast(before), "part").drop("part").withColumn("pos", F.col("before") + F.row_number().over(inside)).drop("before")
 
 
 def read_aligned_text(spark: SparkSession, src_path: str, tgt_path: str, n: int | None = None, drop_blank: bool = True) -> DataFrame:
