@@ -96,3 +96,20 @@ def test_recall_of_the_trees():
             ends.append(set(paths.tolist()))
         missed += len(ends[0] & ends[1]) < 5
     assert missed / pairs < 0.05
+
+
+def test_sets_link_with_the_closest_by_parities(spark):
+    """Heads whose bits are alike but whose shingles differ don't take the places of one that is similar."""
+    from textloom.llm import chosen_path
+
+    clean, far = [0] * 16, [-1] * 16
+    # A set in eight nodes, each of which has one other set: seven are far in shingles and equal in bits, one is the other way round.
+    others = [(10 + k, 100, 0 if k < 7 else 1, far if k < 7 else clean) for k in range(8)]
+    schema = "path long, node long, n int, s long, t long, root long"
+    members = spark.createDataFrame([row for k, (node, n, s, _) in enumerate(others) for row in ((k, node, n, s, 0, node), (k, 1, 100, 0, 0, 1))], schema)
+    sets = spark.createDataFrame([(1, clean), *((node, odd) for node, _, _, odd in others)], "node long, odd array<long>")
+    # Whichever set a node has picked, pairs are of it and the other one.
+    assert {(r.a, r.b) for r in chosen_path._stars(members, sets, 80).collect()} <= {(1, 17)}
+    heads = members.filter("node = 17 OR node = 1")
+    assert {(r.a, r.b) for r in chosen_path._stars(heads, sets, 80).collect()} <= {(1, 17)}
+    assert (1, 17) in {(r.a, r.b) for r in chosen_path._stars(members, sets, 80).collect()}

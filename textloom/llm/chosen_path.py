@@ -139,17 +139,22 @@ def _ordered() -> list[Column]:
     return [f(F.col("x.node"), F.col("y.node")).alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
 
 
-def _stars(members: DataFrame, above: int) -> DataFrame:
-    """Pairs (a, b): each set and the closest, by bits, of the sets that its nodes have picked, of another component: STARS of them at most.
+def _stars(members: DataFrame, sets: DataFrame, above: int) -> DataFrame:
+    """Pairs (a, b): each set and the closest, by parities, of the sets that its nodes have picked, of another component: STARS of them at most.
 
-    A node picks one by hash, so that the nodes of a set, which share most of their sets, pick different ones.
+    A node picks one by hash, so that the nodes of a set, which share most of their sets, pick different ones. The bits of
+    minwise values only say which may be similar at all: in a group of near copies they would choose among the picked by chance.
     """
     me = F.struct("node", "n", "s", "t", "root")
     heads = members.groupBy("path").agg(F.min(F.struct(F.xxhash64("node", "path").alias("k"), me.alias("y"))).alias("first")).select("path", "first.y")
     met = members.select("path", me.alias("x")).join(heads, "path").filter("x.root <> y.root").filter(_can(above))
-    bits = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
     # A set has a node or two in each tree, so few heads.
-    near = met.groupBy("x.node").agg(F.slice(F.array_sort(F.collect_set(F.struct(bits.alias("bits"), F.col("y.node").alias("head")))), 1, STARS).alias("near"))
+    met = met.select(F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("y.node").alias("head"), F.col("y.n").alias("head_n")).distinct()
+    odd = lambda c, name: sets.select(F.col("node").alias(c), F.col("odd").alias(name))
+    both = met.join(odd("head", "y_odd"), "head").join(odd("node", "x_odd"), "node")
+    both = both.select("node", "head", F.struct("n", F.col("x_odd").alias("odd")).alias("x"), F.struct(F.col("head_n").alias("n"), F.col("y_odd").alias("odd")).alias("y")).filter(_few_differ(above))
+    share = _differing() / (F.col("x.n") + F.col("y.n"))
+    near = both.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct(share.alias("share"), "head"))), 1, STARS).alias("near"))
     best = near.select("node", F.explode("near.head").alias("head"))
     return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
@@ -161,10 +166,14 @@ def _unconnected(placed: DataFrame) -> DataFrame:
     return placed.join(nodes.filter("roots > 1").select("path", "major", "size", "minors"), "path")
 
 
+def _differing() -> Column:
+    """How many bits of parity() differ between sets x and y."""
+    return sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(CELLS // 64)), F.lit(0))
+
+
 def _few_differ(above: int) -> Column:
     """Whether sets x and y may be similar enough by the bits of parity(), each of which that differs is a shingle of one alone. Exact."""
-    bits = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(CELLS // 64)), F.lit(0))
-    return (100 + above) * bits <= (100 - above) * (F.col("x.n") + F.col("y.n"))
+    return (100 + above) * _differing() <= (100 - above) * (F.col("x.n") + F.col("y.n"))
 
 
 def _exhaustive(apart: DataFrame, above: int) -> DataFrame:
@@ -213,7 +222,7 @@ def _joined(sets: DataFrame, confirm: _Confirm, above: int) -> DataFrame:
         shared = grown.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1").select("path")
         members = materialise(grown.join(shared, "path"), "members")
         # Copies of one text are close to the first set of some node of theirs, and connected by that before pairs are made.
-        links.append(confirm.links(materialise(_stars(_placed(members, roots), above), "stars")))
+        links.append(confirm.links(materialise(_stars(_placed(members, roots), sets, above), "stars")))
         roots = _hung(roots, links[-1])
         placed = _placed(members, roots)
         apart = materialise(_unconnected(placed).join(sets.select("node", "odd"), "node"), "apart")
