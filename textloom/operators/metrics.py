@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import words
-from textloom.operators.edits import alike, distances, edit_distance
+from textloom.operators.edits import distances, edit_distance
 from textloom.session import materialise
 
 #: Fixed values of the published metrics.
@@ -72,38 +74,99 @@ def _ids(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[: len(a)], codes[len(a) :]
 
 
-def _lists(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all words of two arrays of lists, and the lengths of the lists; null is empty."""
-    n = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
-    codes = _ids(a.flatten(), b.flatten())
-    return codes[0], n[0], codes[1], n[1]
+#: (?U)\s of the JVM's patterns, and what Python and Arrow call white space besides.
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+NOT_SPACES = rb"[\x1c-\x1f]"
+#: What comes apart in tokenize_13a(), and what may make a difference there.
+APART = [(re.compile(a), b) for a, b in ((r"([{-~\[-`!-&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "), (SPACES, " "))]
+MAY_PART = re.compile(r"[^ '0-9A-Za-z\xc0-\u167f\u3001-\U0010ffff]")
+
+ENDS = frozenset("!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~")
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What words() gives, in a task: all words, and how many each text has; null has none."""
+    if not _otherwise_split(texts):
+        return _split(texts)
+    lists = [[w for w in re.split(SPACES, t or "") if w] for t in texts.to_pylist()]
+    return pa.array(list(chain.from_iterable(lists)), pa.large_string()), np.array([len(ws) for ws in lists], np.int64)
+
 
+def _otherwise_split(texts: pa.Array) -> bool:
+    return bool(re.search(NOT_SPACES, _bytes(texts.cast(pa.large_string()))[0]))
 
-def _bleu_sums(order: int):
+
+def split_13a(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What tokenize_13a() gives, in a task, as split_words().
+
+    What is between two spaces decides on its own how it comes apart, so each different one is looked at once.
+    """
+    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+    parts = lists.flatten().dictionary_encode()
+    apart = [_apart_13a(w) for w in parts.dictionary.to_pylist()]
+    of, many = parts.indices.to_numpy(zero_copy_only=False), np.array([len(x) for x in apart], np.int64)
+    n = many[of]
+    at = np.repeat((np.cumsum(many) - many)[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return pa.array(list(chain.from_iterable(apart)), pa.large_string()).take(pa.array(at)), _sums_of(n, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+def _apart_13a(w: str) -> list[str]:
+    if not MAY_PART.search(w):
+        return [w] if w else []
+    # One mark at an end always comes apart from what has none; most words with marks are such.
+    if w[-1] in ENDS and not MAY_PART.search(w, 0, len(w) - 1):
+        return [w[:-1], w[-1]] if len(w) > 1 else [w]
+    if w[0] in ENDS and not MAY_PART.search(w, 1):
+        return [w[0], w[1:]]
+    w = w.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, char in ENTITIES:
+        w = w.replace(entity, char)
+    w = f" {w} "
+    for a, b in APART:
+        w = a.sub(b, w)
+    return [x for x in w.split(" ") if x]
+
+
+Split = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
+
+
+def _lists(a: pa.Array, b: pa.Array, split: Split = split_words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words of two arrays of lists, or of texts that split() cuts into words, and the lengths of the lists; null is empty."""
+    if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        codes = _ids(a.flatten(), b.flatten())
+        n = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+        return codes[0], n[0], codes[1], n[1]
+    # Both sides at once, as they have most words in common.
+    found, n = split(pa.concat_arrays([a, b]))
+    codes, first = found.dictionary_encode().indices.to_numpy(zero_copy_only=False), int(n[: len(a)].sum())
+    return codes[:first], n[: len(a)], codes[first:], n[len(a) :]
+
+
+def _bleu_sums(order: int, split: Split = split_words):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((order, 3), np.int64)
         for part in parts:
-            sums += _gram_sums(*_lists(part.column(0), part.column(1)), order)
+            sums += _gram_sums(*_lists(part.column(0), part.column(1), split), order)
         yield pa.RecordBatch.from_arrays([pa.array(range(1, order + 1), pa.int32()), *(pa.array(sums[:, k]) for k in range(3))], names=["n", "matches", "total", "ref_total"])
 
     return run
 
 
-def bleu_counts(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
-    """(n, matches, total, ref_total): clipped n-gram matches over all rows; hyp and ref are arrays of words.
+def bleu_counts(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORDER, split: Split = split_words) -> DataFrame:
+    """(n, matches, total, ref_total): clipped n-gram matches over all rows; hyp and ref are arrays of words, or texts that split() cuts into words.
 
     A row holds both sides, so its n-grams are counted where it is, and only sums are shuffled.
     """
-    sums = rows.select(hyp.alias("hyp"), ref.alias("ref")).mapInArrow(_bleu_sums(order), "n int, matches long, total long, ref_total long")
+    sums = rows.select(hyp.alias("hyp"), ref.alias("ref")).mapInArrow(_bleu_sums(order, split), "n int, matches long, total long, ref_total long")
     return sums.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matches", "total", "ref_total")])
 
 
-def corpus_bleu(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORDER) -> DataFrame:
+def corpus_bleu(rows: DataFrame, hyp: Column, ref: Column, order: int = BLEU_ORDER, split: Split = split_words) -> DataFrame:
     """One row: bleu (0 to 100), bp, sys_len, ref_len and precisions. Zero matches are smoothed by halving for each order that has none.
 
     Where an order has no n-grams at all, or nothing matches, the score is 0. Lengths are the numbers of single words.
     """
-    return _bleu_of(bleu_counts(rows, hyp, ref, order), order)
+    return _bleu_of(bleu_counts(rows, hyp, ref, order, split), order)
 
 
 def _bleu_of(counts: DataFrame, order: int) -> DataFrame:
@@ -136,84 +199,148 @@ def _gram_sums(hyp: np.ndarray, hyp_n: np.ndarray, ref: np.ndarray, ref_n: np.nd
 
 
 def _gram_matches(hyp: np.ndarray, hyp_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray, order: int, referred: bool) -> np.ndarray:
-    """_gram_sums() of some rows. The n-grams of what both sides of a row begin and end with match; the others are sorted by hashes."""
-    start, end = alike(hyp, hyp_n, ref, ref_n)
+    """_gram_sums() of some rows. n-grams that are alike on both sides are paired off, the longest first.
+
+    Where two n-grams are alike, so are the shorter ones that they begin with, and a pair that is taken from both sides takes
+    one from what matches. So shorter n-grams are looked at only where no longer one has been paired.
+    """
     codes, n = np.concatenate([hyp, ref]).astype(np.uint64), np.concatenate([hyp_n, ref_n])
     rows = len(hyp_n)
-    low, high = np.tile(np.maximum(start - order + 1, 0), 2), n - np.tile(np.maximum(end - order + 1, 0), 2)
-    # Of each list only what n-grams that may not match are made of.
-    size = np.maximum(high - low, 0)
-    of = np.repeat(np.arange(2 * rows), size)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
-    codes = codes[(np.cumsum(n) - n)[of] + at]
-    first, last = at - np.tile(start, 2)[of], (n - np.tile(end, 2))[of] - at
-    rest = high[of] - at
-    row = (of % max(rows, 1)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    side = (of >= rows).astype(np.uint64)
-    h = np.zeros(len(of), np.uint64)
+    rest = np.repeat(np.cumsum(n), n) - np.arange(len(codes))
+    row = np.repeat(np.tile(np.arange(rows, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), 2), n)
+    # Two codes are 64 bits.
+    twos = codes.copy()
+    twos[:-1] |= codes[1:] << np.uint64(32)
     out = np.zeros((order, 3), np.int64)
-    one = np.uint64(1)
-    for k in range(1, order + 1):
-        h[: len(h) - k + 1] = h[: len(h) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[k - 1 :]
-        h ^= h >> np.uint64(29)
-        # n-grams of k that are neither within the common beginning nor within the common end.
-        open_ = (first > -k) & (last > 0) & (rest >= k)
-        keys = (h[open_] ^ row[open_]) * np.uint64(0xA24BAED4963EE407)
-        keys = keys & ~one | side[open_]
-        keys.sort()
-        matches = int((np.maximum(start - k + 1, 0) + np.maximum(end - k + 1, 0)).sum())
-        if len(keys):
-            cuts = np.flatnonzero(keys[1:] >> one != keys[:-1] >> one) + 1
-            cuts = np.concatenate([[0], cuts, [len(keys)]])
-            refs = np.concatenate([[0], np.cumsum(keys & one)]).astype(np.int64)
-            theirs = refs[cuts[1:]] - refs[cuts[:-1]]
-            matches += int(np.minimum(theirs, np.diff(cuts) - theirs).sum())
+    pairs, left = 0, [np.zeros(0, np.int64)] * 2
+    for k in range(order, 0, -1):
+        # Places that haven't been paired, and those whose list ends too soon for longer n-grams.
+        here = np.flatnonzero(rest >= k if k == order else rest == k)
+        cut = int(np.searchsorted(here, len(hyp)))
+        left = [np.concatenate([x, y]) for x, y in zip(left, (here[:cut], here[cut:]))]
+        if k == order:
+            every = _hashes(codes, twos, row, slice(None), k)
+            grams = [every[at] for at in left]
+        else:
+            grams = [_hashes(codes, twos, row, at, k) for at in left]
+        while len(grams[0]) and len(grams[1]):
+            i, j = _pairs(*grams)
+            pairs += len(i)
+            stay = [np.ones(len(x), bool) for x in grams]
+            stay[0][i] = stay[1][j] = False
+            left, grams = ([x[y] for x, y in zip(side, stay)] for side in (left, grams))
+            # Few pairs are left, or many n-grams that are the same.
+            if 4 * len(i) < len(grams[0]):
+                break
         totals = [np.maximum(x - k + 1, 0) for x in (hyp_n, ref_n)]
-        out[k - 1] = matches, int((totals[0] * (totals[1] > 0)).sum() if referred else totals[0].sum()), int(totals[1].sum())
+        out[k - 1] = pairs + _least(*grams), int((totals[0] * (totals[1] > 0)).sum() if referred else totals[0].sum()), int(totals[1].sum())
     return out
 
 
+def _hashes(codes: np.ndarray, twos: np.ndarray, row: np.ndarray, at: np.ndarray | slice, k: int) -> np.ndarray:
+    """A hash of the row and the k codes from each place on; of all places but the last k - 1 where a slice is given."""
+    everywhere = isinstance(at, slice)
+    h = row[: max(len(row) - k + 1, 0)].copy() if everywhere else row[at]
+    for i in range(0, k, 2):
+        taken = twos if i + 1 < k else codes
+        h += taken[i : i + len(h)] if everywhere else taken[at + i]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xA24BAED4963EE407)
+    return h
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the same values, none of them twice: the last of those in b that share the first bits, with one in a that has its value."""
+    bits = max(len(b).bit_length() + 2, 8)
+    shift = np.uint64(64 - bits)
+    last = np.zeros(1 << bits, np.int32)
+    last[b >> shift] = np.arange(len(b), dtype=np.int32)
+    j = last[a >> shift]
+    i = np.flatnonzero(b[j] == a)
+    j = j[i]
+    taken = np.zeros(len(b), np.int32)
+    taken[j] = np.arange(len(j), dtype=np.int32)
+    won = taken[j] == np.arange(len(j))
+    return i[won], j[won]
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values both have, as often as the one that has it less often."""
+    if not len(a) or not len(b):
+        return 0
+    one = np.uint64(1)
+    keys = np.concatenate([a & ~one, b | one])
+    keys.sort()
+    cuts = np.flatnonzero(keys[1:] >> one != keys[:-1] >> one) + 1
+    cuts = np.concatenate([[0], cuts, [len(keys)]])
+    theirs = np.diff(np.concatenate([[0], np.cumsum(keys & one)]).astype(np.int64)[cuts])
+    return int(np.minimum(theirs, np.diff(cuts) - theirs).sum())
+
+
 def _chrf_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of a partition: a row for each kind and n."""
     kinds = {"char": CHRF_CHARS, "word": CHRF_WORDS}
     sums = {kind: np.zeros((most, 3), np.int64) for kind, most in kinds.items()}
     for part in parts:
-        lengths = pc.fill_null(pc.utf8_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+        lengths = sum(pc.fill_null(pc.utf8_length(part.column(k)), 0).to_numpy(zero_copy_only=False) for k in (0, 1))
         for i, j in _slices(lengths):
-            sides = [[t or "" for t in part.column(k).slice(i, j - i).to_pylist()] for k in (0, 1)]
-            chars, split = [], []
-            for texts in sides:
-                bare = ["".join(t.split()) for t in texts]
-                chars += [np.frombuffer("".join(bare).encode("utf-32-le"), "<u4"), np.array([len(t) for t in bare], np.int64)]
-                split.append([_chrf_words(t) for t in texts])
-            sums["char"] += _gram_sums(*chars, CHRF_CHARS, referred=True)
-            sums["word"] += _gram_sums(*_word_lists(*split), CHRF_WORDS, referred=True)
+            sides = [_split(part.column(k).slice(i, j - i)) for k in (0, 1)]
+            sums["char"] += _gram_sums(*_chars(*sides[0]), *_chars(*sides[1]), CHRF_CHARS, referred=True)
+            hyp, ref = (_marks_apart(*side) for side in sides)
+            codes = _ids(hyp[0], ref[0])
+            sums["word"] += _gram_sums(codes[0], hyp[1], codes[1], ref[1], CHRF_WORDS, referred=True)
     keys = [(kind, n) for kind, most in kinds.items() for n in range(1, most + 1)]
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([n for _, n in keys], pa.int32()), *(pa.array([int(sums[k][n - 1, c]) for k, n in keys], pa.int64()) for c in range(3))], names=["kind", "n", "matches", "hyp", "ref"])
 
 
 def _word_lists(hyp: list[list[str]], ref: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """_lists() of Python's lists."""
-    codes = _ids(*(pa.array([w for ws in side for w in ws], pa.string()) for side in (hyp, ref)))
+    codes = _ids(*(pa.array(list(chain.from_iterable(side)), pa.string()) for side in (hyp, ref)))
     n = [np.array([len(ws) for ws in side], np.int64) for side in (hyp, ref)]
     return codes[0], n[0], codes[1], n[1]
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words between white space of all texts, and how many each text has; null has none."""
+    parts = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    found, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    # White space at an end leaves an empty word there.
+    full = pc.greater(pc.binary_length(found), 0)
+    return found.filter(full), _sums_of(full.to_numpy(zero_copy_only=False), n)
+
+
+def _sums_of(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of each list of values; lists lie one after the other with these lengths."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])])
+
+
+def _bytes(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What words are made of, one after the other, and where each begins, with the end."""
+    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    return np.frombuffer(found.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _chars(found: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of each text's words, and how many there are."""
+    return np.frombuffer(_bytes(found)[0].tobytes().decode().encode("utf-32-le"), "<u4"), _sums_of(pc.utf8_length(found).to_numpy(zero_copy_only=False), n)
+
+
 #: ASCII punctuation.
-MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+MARKS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
 
-def _chrf_words(text: str) -> list[str]:
-    """Words, from which one punctuation mark at the end, or else at the beginning, comes apart."""
-    out = []
-    for w in text.split():
-        if len(w) > 1 and w[-1] in MARKS:
-            out += [w[:-1], w[-1]]
-        elif len(w) > 1 and w[0] in MARKS:
-            out += [w[0], w[1:]]
-        else:
-            out.append(w)
-    return out
+def _marks_apart(found: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words, from which one punctuation mark at the end, or else at the beginning, comes apart: it is only cut off where it is."""
+    data, ends = _bytes(found)
+    if not len(found):
+        return found, n
+    start, end = ends[:-1], ends[1:]
+    long = end - start > 1
+    last = long & MARKS[data[end - 1]]
+    first = long & ~last & MARKS[data[start]]
+    cuts = np.sort(np.concatenate([ends, end[last] - 1, start[first] + 1]), kind="stable")
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)), _sums_of(1 + (last | first), n)
 
 
 def corpus_chrf(rows: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -243,8 +370,9 @@ def _wer_sums(few: int):
         for part in parts:
             hyp, ref = (part.column(k) for k in (0, 1))
             both = pc.and_(pc.is_valid(hyp), pc.is_valid(ref)).to_numpy(zero_copy_only=False)
-            edits = distances(*_lists(hyp, ref), few)
-            yield _sums(int(edits[both].sum()) if both.any() else None, int(pc.fill_null(pc.sum(pc.list_value_length(ref)), 0).as_py()) if pc.is_valid(ref).true_count else None)
+            lists = _lists(hyp, ref)
+            edits = distances(*lists, few)
+            yield _sums(int(edits[both].sum()) if both.any() else None, int(lists[3].sum()) if pc.is_valid(ref).true_count else None)
 
     return run
 
@@ -254,7 +382,7 @@ def _sums(edits: int | None, ref_words: int | None) -> pa.RecordBatch:
 
 
 def corpus_wer(rows: DataFrame, hyp: Column, ref: Column) -> DataFrame:
-    """One row: edits, ref_words and wer, edits in per cent of the references' words. hyp and ref are arrays of words, of any length.
+    """One row: edits, ref_words and wer, edits in per cent of the references' words. hyp and ref are arrays of words, or texts, of any length.
 
     Rows are counted where they are, and only sums are shuffled.
     """
@@ -353,10 +481,10 @@ def evaluate(rows: DataFrame, metrics: tuple[str, ...] = METRICS, hyp: str = "hy
     h, r = F.col(hyp), F.col(ref)
     # Of each metric the columns that it takes, and its sums over some rows.
     parts = {
-        "bleu": ([tokenize(h), tokenize(r)], _bleu_sums(BLEU_ORDER)),
+        "bleu": ([h, r], _bleu_sums(BLEU_ORDER, split_13a)) if tokenize is tokenize_13a else ([tokenize(h), tokenize(r)], _bleu_sums(BLEU_ORDER)),
         "chrf": ([h, r], _chrf_counts),
         "ter": ([F.lower(h), F.lower(r), _size(ref)], _ter_sums(FEW_WORDS)),
-        "wer": ([words(h), words(r)], _wer_sums(FEW_WORDS)),
+        "wer": ([h, r], _wer_sums(FEW_WORDS)),
     }
     parts = {name: part for name, part in parts.items() if name in metrics}
     columns = [c.alias(f"{name}{i}") for name, (taken, _) in parts.items() for i, c in enumerate(taken)]
