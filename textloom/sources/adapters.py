@@ -77,8 +77,9 @@ def eval_runs(part: DataFrame) -> DataFrame:
 def hyp_ref(documents: DataFrame) -> DataFrame:
     """(row_id, hyp, ref): a line, and the line without the words whose hash ends in 0. Lines without words are left out."""
     lines = F.split("text", "\n")
-    rows = documents.select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    # A line has words if it isn't all spaces; asking for words here would split each line once more.
+    rows = documents.select("doc_id", F.posexplode(lines).alias("pos", "line")).filter(F.trim("line") != "")
     words = F.filter(F.split("line", " "), lambda w: w != "")
     kept = F.filter("w", lambda w, i: ~F.md5(F.concat_ws(":", F.col("row_id").cast("string"), i.cast("string")).cast("binary")).endswith("0"))
-    rows = rows.select((F.col("doc_id") * LINES + F.col("pos")).alias("row_id"), words.alias("w")).filter(F.size("w") > 0)
+    rows = rows.select((F.col("doc_id") * LINES + F.col("pos")).alias("row_id"), words.alias("w"))
     return rows.select("row_id", F.array_join(kept, " ").alias("hyp"), F.array_join("w", " ").alias("ref"))
