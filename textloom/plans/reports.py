@@ -162,7 +162,7 @@ def _bleu(s, d):
 
 def _bleu_13a(s, d):
     rows = _marked(s, d)
-    return _rounded(metrics.corpus_bleu(rows, metrics.tokenize_13a(F.col("hyp")), metrics.tokenize_13a(F.col("ref"))), "bleu", "bp").drop("precisions")
+    return _rounded(metrics.corpus_bleu(rows, F.col("hyp"), F.col("ref"), split=metrics.split_13a), "bleu", "bp").drop("precisions")
 
 
 def _marked(s, d):
