@@ -362,7 +362,7 @@ SELECT step, round(pow(0.999::DOUBLE, step) * (head + part), 6) AS smoothed FROM
 SELECT round(sum(len(r) - len(h)) * 100.0::DOUBLE / sum(len(r)), 6) AS ter, round(sum(len(r) - len(h)) * 100.0::DOUBLE / sum(len(r)), 6) AS wer, round(avg(c), 6) AS comet, true AS no_bertscore FROM x""",
     ),
     "wer_corpus": (
-        lambda s, d: _rounded(metrics.corpus_wer(_hyp_ref(s, d), words(F.col("hyp")), words(F.col("ref"))), "wer"),
+        lambda s, d: _rounded(metrics.corpus_wer(_hyp_ref(s, d), F.col("hyp"), F.col("ref")), "wer"),
         # Hypotheses are references without some words, so the edits are the words that are missing.
         f"WITH {HYP} SELECT sum(len(r) - len(h))::BIGINT AS edits, sum(len(r))::BIGINT AS ref_words, round(sum(len(r) - len(h)) * 100.0::DOUBLE / sum(len(r)), 6) AS wer FROM hyp_ref",
     ),
