@@ -157,7 +157,7 @@ def _bootstrap(s, d):
 
 def _bleu(s, d):
     rows = _hyp_ref(s, d)
-    return _rounded(metrics.corpus_bleu(rows, words(F.col("hyp")), words(F.col("ref"))), "bleu", "bp").drop("precisions")
+    return _rounded(metrics.corpus_bleu(rows, F.col("hyp"), F.col("ref")), "bleu", "bp").drop("precisions")
 
 
 def _bleu_13a(s, d):
