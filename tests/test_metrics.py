@@ -195,6 +195,10 @@ def test_sums_of_texts_are_those_of_words(odd):
     assert metrics.corpus_bleu(odd, h, r, split=metrics.split_13a).first() == metrics.corpus_bleu(odd, metrics.tokenize_13a(h), metrics.tokenize_13a(r)).first()
     assert metrics.corpus_bleu(odd, h, r).first() == metrics.corpus_bleu(odd, words(h), words(r)).first()
     assert metrics.corpus_wer(odd, h, r).first() == metrics.corpus_wer(odd, words(h), words(r)).first()
+    row = metrics.corpus_ter(odd).first()
+    pairs = [((x.hyp or "").split(), (x.ref or "").split()) for x in odd.select(F.lower("hyp").alias("hyp"), F.lower("ref").alias("ref")).collect()]
+    assert row.edits == sum(metrics.shifted_edits(a, b) for a, b in pairs)
+    assert row.ref_words == odd.agg(F.sum(F.size(words(r))).alias("n")).first().n
 
 
 def test_chrf_of_odd_texts(odd):

@@ -434,22 +434,20 @@ def _moves(now: list[str], ref: list[str]) -> Iterator[tuple[int, int, int]]:
                 yield from ((n, i, j) for j in at[run] if abs(i - j) <= TER_SHIFT_DISTANCE)
 
 
-def _size(ref: str) -> Column:
-    return F.size(words(F.col(ref))).cast("long")
-
-
 def _ter_sums(few: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of a partition; a text that is null has no words."""
         for part in parts:
             for i, j in _slices(np.ones(len(part), np.int64), 4096):
-                hyp, ref = ([(t or "").split() for t in part.column(k).slice(i, j - i).to_pylist()] for k in (0, 1))
-                lists = _word_lists(hyp, ref)
-                edits = distances(*lists, few)
+                texts = [part.column(k).slice(i, j - i) for k in (0, 1)]
+                (hyp, hyp_n), (ref, ref_n) = (_split(x) for x in texts)
+                codes = _ids(hyp, ref)
+                edits = distances(codes[0], hyp_n, codes[1], ref_n, few)
                 # Where more words differ than there are more or less, some may only have moved.
-                for k in np.flatnonzero(edits > np.abs(lists[1] - lists[3])).tolist():
-                    edits[k] = shifted_edits(hyp[k], ref[k], int(edits[k]))
-                yield _sums(int(edits.sum()), pc.sum(part.column(2).slice(i, j - i)).as_py())
+                for k in np.flatnonzero(edits > np.abs(hyp_n - ref_n)).tolist():
+                    edits[k] = shifted_edits(*((x[k].as_py() or "").split() for x in texts), int(edits[k]))
+                words_n = split_words(texts[1])[1] if _otherwise_split(texts[1]) else ref_n
+                yield _sums(int(edits.sum()), int(words_n.sum()) if pc.is_valid(texts[1]).true_count else None)
 
     return run
 
@@ -460,7 +458,7 @@ def corpus_ter(rows: DataFrame, hyp: str = "hyp", ref: str = "ref", case: bool =
     Rows are counted where they are, and only sums are shuffled. Moves are looked for where edits are more than the words that a side has more.
     """
     h, r = (F.col(c) if case else F.lower(c) for c in (hyp, ref))
-    sums = rows.select(h.alias("hyp"), r.alias("ref"), _size(ref).alias("n")).mapInArrow(_ter_sums(FEW_WORDS), "edits long, ref_words long")
+    sums = rows.select(h.alias("hyp"), r.alias("ref")).mapInArrow(_ter_sums(FEW_WORDS), "edits long, ref_words long")
     return sums.agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words")).withColumn("ter", _rate())
 
 
@@ -483,7 +481,7 @@ def evaluate(rows: DataFrame, metrics: tuple[str, ...] = METRICS, hyp: str = "hy
     parts = {
         "bleu": ([h, r], _bleu_sums(BLEU_ORDER, split_13a)) if tokenize is tokenize_13a else ([tokenize(h), tokenize(r)], _bleu_sums(BLEU_ORDER)),
         "chrf": ([h, r], _chrf_counts),
-        "ter": ([F.lower(h), F.lower(r), _size(ref)], _ter_sums(FEW_WORDS)),
+        "ter": ([F.lower(h), F.lower(r)], _ter_sums(FEW_WORDS)),
         "wer": ([h, r], _wer_sums(FEW_WORDS)),
     }
     parts = {name: part for name, part in parts.items() if name in metrics}
