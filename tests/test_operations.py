@@ -152,3 +152,26 @@ def test_interval_join_shuffles_what_is_used(spark):
     ends = [(i * 10, i * 10 + (3000 if i % 100 == 0 else 4)) for i in range(400)]
     want = sorted((i, j) for i, x in enumerate(ends) for j, y in enumerate(ends) if x[0] <= y[1] and y[0] <= x[1])
     assert sorted((r.a, r.b) for r in met.collect()) == want
+
+
+@pytest.mark.parametrize("alike", [3, 512])
+def test_interval_join_of_equal_intervals(spark, monkeypatch, alike):
+    """Rows of one interval are joined as one for up to `alike` of them, and laid out again with all their columns, nulls too."""
+    monkeypatch.setattr(relational, "ALIKE", alike)
+    ends = [(0, 9), (0, 9), (5, 5), (9, 4000), (4000, 4001), (4002, 4002)]
+    rows = [(None if i % 5 == 0 else i, None if i % 3 == 0 else f"n{i % 4}", i % 2, *ends[i % 6]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, note string, k int, s long, e long").repartition(3)
+    for by in ([], ["k"]):
+        got = sorted(str((tuple(r.l), tuple(r.r))) for r in relational.interval_join(df, df, "s", "e", by).collect())
+        assert got == sorted(str((x, y)) for x in rows for y in rows if x[3] <= y[4] and y[3] <= x[4] and (not by or x[2] == y[2]))
+
+
+def test_pairs_of_equal_intervals_take_little_space(spark, tmp_path):
+    """A result that grows with the square of equal intervals is written in much less than its own numbers, as pairs of the same rows follow each other."""
+    rows = spark.range(60 * 300).selectExpr("id", "id % 300 * 97 AS s", "id % 300 * 97 + 100 + id % 300 * 7 % 211 AS e").repartition(5, F.xxhash64("id"))
+    met = relational.interval_join(rows, rows, "s", "e").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    met.write.parquet(str(tmp_path / "met"))
+    ends = [(i * 97, i * 97 + 100 + i * 7 % 211) for i in range(300)]
+    want = 3600 * sum(x[0] <= y[1] and y[0] <= x[1] for x in ends for y in ends)
+    assert spark.read.parquet(str(tmp_path / "met")).distinct().count() == want
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < want * 0.25
